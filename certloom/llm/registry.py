@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from .near_dedup import op10_near_dedup
+from .packing import op8_best_fit_packing
+from .piece_bpe import op3_piece_bpe
 from .substring_dedup import op1_substring_dedup
+from .token_counts import op9_token_counts
+from .toxicity import op2_toxicity
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_piece_bpe, op8_best_fit_packing, op9_token_counts, op10_near_dedup)}
 
 #: None of these ten can be put in SQL as a whole; tests compare them with brute force.
 ORACLES: dict[str, str] = {}

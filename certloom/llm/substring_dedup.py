@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, window_hashes, word_hashes
+from .common import mix, slices, text_bytes, window_hashes, word_hashes
 
 WINDOW = 50
 #: A perfect difference set: its differences modulo PERIOD are all of 1..30, each once.
@@ -95,7 +95,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, d, c = key[order], doc[order], cell[order]
         shared, lead = low != high, np.arange(len(k)) == first
         # a shared anchor marks its documents here; one row goes on to tell the other tasks
-        yield from _in_pieces(_rows(d[shared].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), d[shared], -1 - c[shared]))
+        yield from _in_pieces(_rows(mix(d[shared].view(np.uint64), c[shared].view(np.uint64)), d[shared], -1 - c[shared]))
         own = ~shared | lead
         yield from _in_pieces(_rows(k[own], d[own], c[own]))
         held.clear()
@@ -141,7 +141,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, _, low, _ = _groups(key, doc)
         k, d, a = key[order], doc[order], at[order]
         later = d > low
-        yield from _in_pieces(_rows(d[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), d[later], -1 - a[later]))
+        yield from _in_pieces(_rows(mix(d[later].view(np.uint64), a[later].view(np.uint64)), d[later], -1 - a[later]))
         yield from _in_pieces(_rows(k[~later], d[~later], a[~later]))
         held.clear()
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from certloom.llm import substring_dedup
+from certloom.llm import near_dedup, packing, substring_dedup, toxicity
 from certloom.llm.common import materialise
 
-STAGES = [("substring_dedup", substring_dedup.stage)]
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("near_dedup", near_dedup.stage),
+    ("substring_dedup", substring_dedup.stage),
+    ("packing", packing.stage),
+]
 
 #: Learned scores and signatures are not SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
