@@ -83,10 +83,10 @@ def learn_lexicon(sample: DataFrame) -> tuple[frozenset, frozenset]:
     share = (totals["toxic"] or 0) / totals["n"] if totals["n"] else 0
     tokens = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "token string, toxic long, n long")
     tokens = tokens.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).withColumn("rate", F.col("toxic") / F.col("n"))
-    few = max(3, totals["n"] // 2000)
+    few = 3 if totals["n"] < 300 else max(4, totals["n"] // 2000)  # few tokens of clean texts pass this by chance
     tiers = []
     for low, high in ((0.9, 1.01), (max(0.5, min(0.89, 3 * share)), 0.9)):
-        best = tokens.filter((F.col("toxic") >= few) & (F.col("rate") >= low) & (F.col("rate") < high))
+        best = tokens.filter((F.col("toxic") >= (few if low == 0.9 else 2 * few)) & (F.col("rate") >= low) & (F.col("rate") < high))
         tiers.append(frozenset(r["token"] for r in best.orderBy(F.desc("toxic"), "token").limit(LEXICON_SIZE).collect()))
     return tiers[0] | SEED_WORDS, tiers[1]
 
