@@ -2,7 +2,7 @@
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, in disjoint parts: remainders 1 and 2 give the
 lexicon (words, and beginnings of words for inflected ones, found mostly in toxic texts), 3 grows the trees, 4
-calibrates. At most SAMPLE labelled rows are used, those of the smallest hash; this bound also bounds the one broadcast
+calibrates; scoring then uses the lexicon of all four parts. At most SAMPLE labelled rows are used, those of the smallest hash; this bound also bounds the one broadcast
 (ids and labels of the sample). Every text is then scored in one pass, without a shuffle.
 
 Features of a whole text: density and number of strong and weak lexicon words, words that are in the lexicon only
@@ -83,10 +83,16 @@ def learn_lexicon(sample: DataFrame) -> tuple[frozenset, frozenset]:
     share = (totals["toxic"] or 0) / totals["n"] if totals["n"] else 0
     tokens = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "token string, toxic long, n long")
     tokens = tokens.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).withColumn("rate", F.col("toxic") / F.col("n"))
-    few = 3 if totals["n"] < 300 else max(4, totals["n"] // 2000)  # few tokens of clean texts pass this by chance
+    few = max(3, totals["n"] // 2000)
+    # a beginning counts with several words behind it, which chance tokens and copied texts do not have; a word needs more texts
+    words = tokens.filter(~F.col("token").startswith("^") & (F.col("toxic") > 0))
+    starts = F.explode(F.array(*[F.when(F.length("token") > k, F.concat(F.lit("^"), F.substring("token", 1, k))) for k in BEGINNINGS])).alias("token")
+    kinds = words.select(starts).filter("token is not null").groupBy("token").agg(F.count("*").alias("kinds"))
+    tokens = tokens.filter(F.col("toxic") >= few + 2).join(kinds, "token", "left").filter((F.col("kinds") >= 3) | (~F.col("token").startswith("^") & (F.col("toxic") >= few + 3)))
+    tokens = materialise(tokens.select("token", "toxic", "rate"), "tokens")
     tiers = []
     for low, high in ((0.9, 1.01), (max(0.5, min(0.89, 3 * share)), 0.9)):
-        best = tokens.filter((F.col("toxic") >= (few if low == 0.9 else 2 * few)) & (F.col("rate") >= low) & (F.col("rate") < high))
+        best = tokens.filter((F.col("rate") >= low) & (F.col("rate") < high))
         tiers.append(frozenset(r["token"] for r in best.orderBy(F.desc("toxic"), "token").limit(LEXICON_SIZE).collect()))
     return tiers[0] | SEED_WORDS, tiers[1]
 
@@ -206,6 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Toxicity(lexicon, trees, None, 0.0)
     if both(CALIBRATION_PART):
         model.isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(model._raw(own.filter(F.col("part") == CALIBRATION_PART)).select("raw", "label"))
+    # trees and calibration saw texts that their lexicon was not learnt from; scoring uses all that may be learnt
+    model.lexicon = learn_lexicon(rows)
     return model
 
 
