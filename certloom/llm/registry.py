@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .audio import op7_audio
+from .licenses import op5_licenses
 from .near_dedup import op10_near_dedup
 from .neighbours import op6_nearest
 from .packing import op8_best_fit_packing
@@ -11,7 +13,7 @@ from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
 from .warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_piece_bpe, op4_warc, op6_nearest, op8_best_fit_packing, op9_token_counts, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_piece_bpe, op4_warc, op5_licenses, op6_nearest, op7_audio, op8_best_fit_packing, op9_token_counts, op10_near_dedup)}
 
 #: None of these ten can be put in SQL as a whole; tests compare them with brute force.
 ORACLES: dict[str, str] = {}
