@@ -8,11 +8,10 @@ the same point there with probability equal to their weighted Jaccard similarity
 point is later than all registers of the text, for long texts after a few points.
 
 *Candidates.* 24 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.99993. Equal multisets
-are one *node*. Within each band's bucket, members are compared with two leaders, the member that shares most buckets
-and the smallest, so candidates grow with the input and not with the square of a bucket. Leaders join almost all that
-belongs together; buckets that still hold several components are then gone through again, with further leaders
-while the pairs across components would be too many, and finally pair by pair across components, until nothing is left
-untested. Every candidate is verified by the exact multiset overlap of its texts (sum of minima over sum of maxima).
+are one *node*. A node is compared with two leaders of its buckets first, the member that shares most buckets and the smallest, so
+candidates grow with the input and not with the square of a bucket. Leaders join almost all that belongs together. Rows
+of a bucket that are still in different components are then compared in blocks, text against text, so no link is missed
+that any band holds; only links leave a block. Every candidate is verified by the exact multiset overlap of its texts (sum of minima over sum of maxima).
 
 *Classes.* Connected components of the verified links, by least labels with pointer jumping; each round is written to the
 shared folder. The class id is the smallest doc_id of the class.
@@ -38,9 +37,8 @@ from .common import materialise, mix, slices, text_bytes, window_hashes, word_ha
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Pairs across components are gone through at once when they are at most this many times the bucket rows.
-FEW = 4
-LEADER_ROUNDS = 4
+#: Rows of a bucket that are compared with each other, or with as many others, in one task.
+BLOCK_ROWS = 256
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +161,60 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _link_block(table: pa.Table, similarity: float) -> pa.Table:
+    """The similar pairs of different components among one block's rows, each in the first band that it shares only."""
+    nodes, labels, band = (table.column(c).to_numpy() for c in ("node", "label", "band"))
+    bags = [shingles(t) for t in text_bytes(table.column("text").combine_chunks())]
+    # a shingle that occurs w times is w elements, so that overlaps are products of 0/1 rows
+    times = np.concatenate([c for _, c in bags])
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    keys = mix(np.repeat(np.concatenate([k for k, _ in bags]), times), nth.astype(np.uint64))
+    sizes = np.array([int(c.sum()) for _, c in bags])
+    _, column = np.unique(keys, return_inverse=True)
+    row = np.repeat(np.arange(len(bags)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(bags), len(bags)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(bags), 4096), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    a, b = np.nonzero(np.triu(common >= similarity * (sizes[:, None] + sizes[None, :] - common), 1) & (labels[:, None] != labels[None, :]))
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    if len(a):
+        first = (bands[a] == bands[b]).argmax(axis=1)
+        own = bands[a, first] == band[a]
+        a, b = a[own], b[own]
+    x, y = nodes[a], nodes[b]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def across(ranked: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components that share a bucket: each bucket's rows in blocks, exactly, texts against
+    texts. Rows of the bucket's largest component are only compared with the rest, so a bucket that its leaders joined
+    costs its size times the few rows left over. No pair leaves a task unless it is a link."""
+    named = ranked.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    count = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    mixed = materialise(mixed.select("band", "all", F.col("main.label").alias("main"), count(F.col("main.n")).alias("mains"), count(F.col("all") - F.col("main.n")).alias("rests")), "mixed")
+    left = named.join(mixed, "band")
+    at = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
+    block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    up = lambda n: F.sequence(F.lit(0), n - 1)
+    rest, main = at(F.col("rests")), at(F.col("mains"))
+    of_rest = F.concat(F.transform(up(F.col("rests")), lambda j: block("rest", F.least(rest, j), F.greatest(rest, j))), F.transform(up(F.col("mains")), lambda m: block("main", m, rest)))
+    of_main = F.transform(up(F.col("rests")), lambda r: block("main", main, r))
+    small = F.array(block("all", F.lit(0), F.lit(0)))
+    blocks = F.when(F.col("all") <= BLOCK_ROWS, small).when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)
+    left = materialise(left.select("band", "node", "label", F.explode(blocks).alias("block")), "blocks")
+    wanted = left.select("node").distinct()
+    texts = base.join(nodes.join(wanted, "node"), "doc").select("node", "bands", "text")
+    rows = left.join(texts, "node").select("band", "block", "node", "label", "bands", "text")
+    return materialise(rows.groupBy("band", "block").applyInArrow(lambda t: _link_block(t, similarity), "a long, b long").distinct(), "links")
+
+
 def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -178,37 +230,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialise(rows.join(shared, "band"), "buckets")
     central = buckets.groupBy("node").agg(F.sum("n").alias("central"))
     ranked = materialise(buckets.join(central, "node").select("band", "node", "central"), "ranked")
-    leaders = materialise(ranked.groupBy("band").agg(F.max_by("node", F.struct("central", "node")).alias("lead"), F.min("node").alias("least")), "leaders")
-    pairs = ranked.join(leaders, "band").select("node", F.explode(F.array("lead", "least")).alias("lead")).filter("node <> lead")
+    leaders = materialise(ranked.groupBy("band").agg(F.max(F.struct("central", "node")).alias("lead"), F.min("node").alias("least")), "leaders")
+    # a node is first compared with the most central of its buckets' leaders and with the smallest: two pairs for each node
+    own = ranked.join(leaders, "band").groupBy("node").agg(F.max(F.when(F.col("lead.node") != F.col("node"), F.col("lead"))).node.alias("lead"), F.min("least").alias("least"))
+    pairs = own.select("node", F.explode(F.array("lead", "least")).alias("lead")).filter("node <> lead")
     tested = materialise(pairs.select(*_ordered("node", "lead")).distinct(), "tested")
     edges = verified(tested, nodes, base, similarity)
-    for turn in range(LEADER_ROUNDS + 1):
-        labels = components(edges)
-        named = ranked.join(labels, "node", "left").select("band", "node", "central", F.coalesce("label", "node").alias("label"))
-        parts = named.groupBy("band", "label").agg(F.count("*").alias("n"), F.max(F.struct("central", "node")).alias("top"))
-        mixed = parts.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max(F.struct("n", "label")).label.alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-        mixed = materialise(mixed, "mixed")
-        cross = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
-        if not cross:
-            break
-        left = materialise(named.join(mixed.select("band", "largest"), "band"), "left")
-        last = cross <= FEW * left.count() + 1_000_000 or turn == LEADER_ROUNDS
-        if last:  # all pairs across components; their number was counted above
-            other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            more = left.join(other, "band").filter("node < other and label <> other_label").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        else:  # a further leader outside each bucket's largest component
-            further = materialise(left.filter("label <> largest").groupBy("band").agg(F.max_by("node", F.struct("central", F.xxhash64("node", F.lit(turn)))).alias("lead"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other")), "further")
-            more = left.join(further, "band").select("node", F.explode(F.array("lead", "other")).alias("lead")).filter("node <> lead").select(*_ordered("node", "lead"))
-        more = materialise(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        edges = materialise(edges.union(verified(more, nodes, base, similarity)), "links")
-        tested = tested.union(more)
-        if last:
-            labels = components(edges)
-            break
+    labels = components(edges)
+    edges = materialise(edges.union(across(ranked, labels, nodes, base, similarity)), "links")
+    labels = components(edges)
     names = labels.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("class_id"))
     joined = labels.join(names, "label").select("node", "class_id")
     named = materialise(nodes.select("node", "doc").join(joined, "node", "left").select("node", F.coalesce("class_id", "doc").alias("class_id")), "classes")
