@@ -1 +1,98 @@
-"""Placeholder."""
+"""Domain-infrastructure graph: components, merges, campaigns and their summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions.storage import materialise
+from ..tables import EDGES, edges
+
+STRONG, MEDIUM = 0.6, 0.3
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the least node of each component of (a, b) links; rounds are written to the shared folder."""
+    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        moved = materialise(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        labels = moved.select("node", "label")
+        if moved.filter("old <> label").isEmpty():
+            return labels
+
+
+def strong_components(e: DataFrame) -> DataFrame:
+    """(domain, component): domains joined by nodes of strong edges; every domain has one (G03). Nodes are linked as
+    negative numbers, so the least label is decided among domains by the group's minimum afterwards."""
+    strong = e.filter(F.col("weight") >= STRONG)
+    links = strong.select(F.col("domain").alias("a"), (-F.col("node") - 1).alias("b"))
+    own = components(links).filter("node >= 0").withColumnRenamed("node", "domain")
+    names = own.groupBy("label").agg(F.min("domain").alias("component"))
+    found = own.join(names, "label").select("domain", "component")
+    return e.select("domain").distinct().join(found, "domain", "left").select("domain", F.coalesce("component", "domain").alias("component"))
+
+
+def merged_components(e: DataFrame) -> DataFrame:
+    """Components that share two or more nodes of medium edges become one."""
+    own = materialise(strong_components(e), "components")
+    medium = e.filter((F.col("weight") >= MEDIUM) & (F.col("weight") < STRONG)).join(own, "domain").select("node", "component").distinct()
+    pairs = medium.join(medium.select("node", F.col("component").alias("other")), "node").filter("component < other")
+    links = pairs.groupBy("component", "other").agg(F.count("*").alias("n")).filter("n >= 2").select(F.col("component").alias("a"), F.col("other").alias("b"))
+    merged = components(links).select(F.col("node").alias("component"), F.col("label").alias("campaign"))
+    return own.join(merged, "component", "left").select("domain", F.coalesce("campaign", "component").alias("campaign"))
+
+
+def campaigns(e: DataFrame) -> DataFrame:
+    """(campaign, domain) without singletons."""
+    own = materialise(merged_components(e), "campaigns")
+    return own.join(own.groupBy("campaign").count().filter("count >= 2").select("campaign"), "campaign", "left_semi").select("campaign", "domain")
+
+
+STRONG_SQL = f"""WITH RECURSIVE e AS {EDGES}, s AS (SELECT a.domain AS x, b.domain AS y FROM e a JOIN e b USING (node) WHERE a.weight >= 0.6 AND b.weight >= 0.6),
+ r(x, y) AS (SELECT domain, domain FROM e UNION SELECT r.x, s.y FROM r JOIN s ON s.x = r.y), c AS (SELECT x AS domain, min(y) AS component FROM r GROUP BY x)"""
+MERGED_SQL = f"""{STRONG_SQL}, m AS (SELECT DISTINCT e.node, c.component FROM e JOIN c USING (domain) WHERE weight >= 0.3 AND weight < 0.6),
+ l AS (SELECT a.component AS p, b.component AS q FROM m a JOIN m b USING (node) WHERE a.component <> b.component GROUP BY 1, 2 HAVING count(*) >= 2),
+ t(p, q) AS (SELECT component, component FROM (SELECT DISTINCT component FROM c) UNION SELECT t.p, l.q FROM t JOIN l ON l.p = t.q), k AS (SELECT p, min(q) AS campaign FROM t GROUP BY p), d AS (SELECT c.domain, k.campaign FROM c JOIN k ON k.p = c.component)"""
+
+
+@query(f"{STRONG_SQL} SELECT domain, component FROM c")
+def g03_components(spark, sf):
+    return strong_components(edges(spark, sf))
+
+
+@query(f"{MERGED_SQL} SELECT domain, campaign FROM d")
+def g04_merged_components(spark, sf):
+    return merged_components(edges(spark, sf))
+
+
+@query(f"{MERGED_SQL} SELECT campaign, domain FROM d WHERE campaign IN (SELECT campaign FROM d GROUP BY 1 HAVING count(*) >= 2)")
+def g05_campaigns(spark, sf):
+    return campaigns(edges(spark, sf))
+
+
+@query(f"""{MERGED_SQL}, k2 AS (SELECT campaign, domain FROM d WHERE campaign IN (SELECT campaign FROM d GROUP BY 1 HAVING count(*) >= 2))
+ SELECT campaign, count(DISTINCT domain) AS domains, count(DISTINCT node) AS nodes, round(avg(weight) FILTER (weight >= 0.6), 4) AS confidence FROM k2 JOIN e USING (domain) GROUP BY campaign""")
+def a12_campaign_summary(spark, sf):
+    e = edges(spark, sf)
+    j = campaigns(e).join(e, "domain")
+    return j.groupBy("campaign").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("node").alias("nodes"), F.round(F.avg(F.when(F.col("weight") >= STRONG, F.col("weight"))), 4).alias("confidence"))
+
+
+@query(f"SELECT domain, string_agg(node::VARCHAR || ':' || weight::VARCHAR, ',' ORDER BY node) AS document FROM {EDGES} GROUP BY 1")
+def a11_document(spark, sf):
+    listed = F.array_sort(F.collect_list(F.struct("node", "weight")))
+    return edges(spark, sf).groupBy("domain").agg(F.array_join(F.transform(listed, lambda x: F.concat(x.node.cast("string"), F.lit(":"), x.weight.cast("string"))), ",").alias("document"))
+
+
+@query(f"SELECT kind, count(*) AS n, round(sum(weight), 4) AS total FROM (SELECT 'ip' AS kind, 0.6 AS weight, s_suppkey FROM supplier UNION ALL SELECT 'nameserver', 0.35, s_suppkey FROM supplier WHERE s_nationkey % 2 = 0 UNION ALL SELECT 'registrar', 0.15, s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY kind")
+def g01_edges_from_enrichment(spark, sf):
+    from ..tables import table
+
+    kinds = (("ip", 0.6, F.lit(True)), ("nameserver", 0.35, F.col("s_nationkey") % 2 == 0), ("registrar", 0.15, F.col("s_acctbal") > 0))
+    made = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(w).alias("weight"))) for k, w, c in kinds]))
+    return table(spark, sf, "supplier").select(F.inline(made)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))

@@ -1 +1,123 @@
-"""Placeholder."""
+"""Takedown plans for all campaigns at once: reductions, greedy cover, exact pairs, checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions.storage import materialise
+from ..tables import DEPENDENCIES, dependencies
+
+
+def collapse(dep: DataFrame) -> DataFrame:
+    """(campaign, nodes, domains): domains with the same node set become one group."""
+    sets = dep.groupBy("campaign", "domain").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    return sets.groupBy("campaign", "nodes").agg(F.count("*").alias("domains"))
+
+
+def greedy(dep: DataFrame, k: int) -> DataFrame:
+    """(campaign, rank, node, gain): k rounds over all campaigns together; ties go to the smaller node as text."""
+    left, chosen = materialise(dep.select("campaign", "domain", "node"), "cover"), None
+    for rank in range(1, k + 1):
+        gains = left.groupBy("campaign", "node").agg(F.count("*").alias("gain"))
+        best = gains.groupBy("campaign").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("node").cast("string").alias("s"), "node")).alias("b"))
+        best = materialise(best.select("campaign", F.lit(rank).alias("rank"), "b.node", (-F.col("b.g")).alias("gain")), "picks")
+        chosen = best if chosen is None else chosen.union(best)
+        if rank < k:
+            hit = left.join(best.select("campaign", "node"), ["campaign", "node"], "left_semi").select("campaign", "domain")
+            left = materialise(left.join(hit, ["campaign", "domain"], "left_anti"), "cover")
+            if left.isEmpty():
+                break
+    return chosen
+
+
+def coverage(dep: DataFrame, targets: DataFrame) -> DataFrame:
+    """(campaign, killed, total, pct) of target sets."""
+    killed = dep.join(targets.select("campaign", "node"), ["campaign", "node"], "left_semi").groupBy("campaign").agg(F.count_distinct("domain").alias("killed"))
+    total = dep.groupBy("campaign").agg(F.count_distinct("domain").alias("total"))
+    out = total.join(killed, "campaign", "left").withColumn("killed", F.coalesce("killed", F.lit(0)))
+    return out.select("campaign", "killed", "total", F.round(100 * F.col("killed") / F.col("total"), 6).alias("pct"))
+
+
+def co_coverage(dep: DataFrame) -> DataFrame:
+    """(campaign, a, b, both): domains of each node pair, a <= b (A32); the node sets of a domain are short."""
+    return dep.join(dep.select("campaign", "domain", F.col("node").alias("other")), ["campaign", "domain"]).filter("node <= other").groupBy("campaign", F.col("node").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("both"))
+
+
+GREEDY1 = "SELECT campaign, node, gain FROM (SELECT campaign, node, count(*) AS gain, row_number() OVER (PARTITION BY campaign ORDER BY count(*) DESC, node::VARCHAR) AS n FROM {} GROUP BY 1, 2) WHERE n = 1"
+GREEDY2 = f"WITH d AS {DEPENDENCIES}, p1 AS ({GREEDY1.format('d')}), l1 AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d x JOIN p1 USING (campaign, node) WHERE x.campaign = d.campaign AND x.domain = d.domain)), p2 AS ({GREEDY1.format('l1')})"
+
+
+@query(f"SELECT campaign, sig, count(*) AS domains FROM (SELECT campaign, domain, string_agg(node::VARCHAR, ',' ORDER BY node) AS sig FROM {DEPENDENCIES} GROUP BY 1, 2) GROUP BY 1, 2")
+def a19_collapse(spark, sf):
+    return collapse(dependencies(spark, sf)).select("campaign", F.array_join("nodes", ",").alias("sig"), "domains")
+
+
+@query(f"{GREEDY2} SELECT campaign, 1 AS rank, node, gain FROM p1 UNION ALL SELECT campaign, 2, node, gain FROM p2")
+def i04_greedy(spark, sf):
+    return greedy(dependencies(spark, sf), 2)
+
+
+@query(f"{GREEDY2}, u AS (SELECT campaign, 1 AS k, node, gain FROM p1 UNION ALL SELECT campaign, 2, node, gain FROM p2) SELECT campaign, k, sum(gain) OVER (PARTITION BY campaign ORDER BY k) AS killed FROM u")
+def i05_budget_sweep(spark, sf):
+    """Greedy plans are nested, so one run gives every budget."""
+    w = Window.partitionBy("campaign").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return greedy(dependencies(spark, sf), 2).select("campaign", F.col("rank").alias("k"), F.sum("gain").over(w).alias("killed"))
+
+
+@query(f"SELECT campaign, node AS a, other AS b, count(*) AS n FROM (SELECT x.campaign, x.node, y.node AS other FROM {DEPENDENCIES} x JOIN {DEPENDENCIES} y USING (campaign, domain) WHERE x.node <= y.node) GROUP BY 1, 2, 3")
+def a32_co_coverage(spark, sf):
+    return co_coverage(dependencies(spark, sf)).withColumnRenamed("both", "n")
+
+
+@query(f"""WITH d AS {DEPENDENCIES}, w AS (SELECT campaign, node, count(*) AS w FROM d GROUP BY 1, 2), c AS (SELECT x.campaign, x.node AS a, y.node AS b, count(*) AS n FROM d x JOIN d y USING (campaign, domain) WHERE x.node < y.node GROUP BY 1, 2, 3),
+ p AS (SELECT x.campaign, x.node AS a, y.node AS b, x.w + y.w - coalesce(c.n, 0) AS killed FROM w x JOIN w y ON x.campaign = y.campaign AND x.node < y.node LEFT JOIN c ON c.campaign = x.campaign AND c.a = x.node AND c.b = y.node)
+ SELECT campaign, max(killed) AS killed FROM p GROUP BY 1""")
+def i06_exact_pairs(spark, sf):
+    """Pairs that share no domain are best taken as the heaviest two nodes, so only pairs that share one are formed:
+    the best of those, and for each node its heaviest partner outside its own pairs among the campaign's leaders."""
+    dep = dependencies(spark, sf)
+    both = materialise(co_coverage(dep), "pairs")
+    weight = both.filter("a = b").select("campaign", F.col("a").alias("node"), F.col("both").alias("w"))
+    shared = both.filter("a <> b")
+    side = lambda c: weight.select("campaign", F.col("node").alias(c), F.col("w").alias(f"w_{c}"))
+    joint = shared.join(side("a"), ["campaign", "a"]).join(side("b"), ["campaign", "b"]).select("campaign", (F.col("w_a") + F.col("w_b") - F.col("both")).alias("killed"))
+    # a disjoint pair beats all others only if it holds no better replacement: try each node with its first partner by weight that it shares nothing with
+    degree = shared.select("campaign", F.explode(F.array("a", "b")).alias("node")).groupBy("campaign", "node").agg(F.count("*").alias("degree"))
+    most = degree.groupBy("campaign").agg((F.max("degree") + 2).alias("depth"))
+    top = weight.withColumn("n", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("w"), "node"))).join(most, "campaign", "left").filter(F.col("n") <= F.coalesce("depth", F.lit(2)))
+    pairs = weight.filter("w > 0").join(top.select("campaign", F.col("node").alias("other"), F.col("w").alias("w_other")), "campaign").filter("node <> other")
+    linked = shared.select("campaign", F.col("a").alias("node"), F.col("b").alias("other")).union(shared.select("campaign", "b", "a"))
+    apart = pairs.join(linked, ["campaign", "node", "other"], "left_anti").select("campaign", (F.col("w") + F.col("w_other")).alias("killed"))
+    return joint.union(apart).groupBy("campaign").agg(F.max("killed").alias("killed"))
+
+
+@query(f"{GREEDY2}, t AS (SELECT campaign, node FROM p1 UNION ALL SELECT campaign, node FROM p2) SELECT campaign, count(DISTINCT domain) FILTER (EXISTS (SELECT 1 FROM t WHERE t.campaign = d.campaign AND t.node = d.node)) AS killed, count(DISTINCT domain) AS total, round(100 * count(DISTINCT domain) FILTER (EXISTS (SELECT 1 FROM t WHERE t.campaign = d.campaign AND t.node = d.node)) / count(DISTINCT domain), 6) AS pct FROM d GROUP BY 1")
+def a34_coverage(spark, sf):
+    dep = dependencies(spark, sf)
+    return coverage(dep, greedy(dep, 2))
+
+
+@query(f"SELECT campaign, node, n FROM (SELECT campaign, node, count(*) AS n, row_number() OVER (PARTITION BY campaign ORDER BY count(*) DESC, node) AS r FROM {DEPENDENCIES} GROUP BY 1, 2) WHERE r <= 12")
+def k04_top_nodes(spark, sf):
+    by = dependencies(spark, sf).groupBy("campaign", "node").agg(F.count("*").alias("n"))
+    return by.withColumn("r", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("n"), "node"))).filter("r <= 12").select("campaign", "node", "n")
+
+
+@query(f"""WITH d AS {DEPENDENCIES}, s AS (SELECT campaign, node, count(*) AS w FROM d GROUP BY 1, 2), c AS (SELECT x.campaign, x.node AS v, y.node AS u, count(*) AS n FROM d x JOIN d y USING (campaign, domain) WHERE x.node <> y.node GROUP BY 1, 2, 3)
+ SELECT DISTINCT c.campaign, c.v AS node FROM c JOIN s a ON a.campaign = c.campaign AND a.node = c.v JOIN s b ON b.campaign = c.campaign AND b.node = c.u WHERE c.n = a.w AND (b.w > a.w OR (b.w = a.w AND c.u < c.v))""")
+def j28_dominated_nodes(spark, sf):
+    dep = dependencies(spark, sf)
+    size = dep.groupBy("campaign", "node").agg(F.count("*").alias("w"))
+    common = dep.join(dep.select("campaign", "domain", F.col("node").alias("u")), ["campaign", "domain"]).filter("node <> u").groupBy("campaign", "node", "u").agg(F.count("*").alias("n"))
+    j = common.join(size, ["campaign", "node"]).filter("n = w").join(size.select("campaign", F.col("node").alias("u"), F.col("w").alias("wu")), ["campaign", "u"])
+    return j.filter("wu > w or (wu = w and u < node)").select("campaign", "node").distinct()
+
+
+@query("SELECT p_size AS campaign, count(*) AS uncoverable FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 4 = 0 AND l_quantity > 40) GROUP BY 1")
+def a35_uncoverable(spark, sf):
+    from ..tables import table
+
+    usable = table(spark, sf, "lineitem").filter("l_suppkey % 4 = 0 and l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf, "part").join(usable, "p_partkey", "left_anti").groupBy(F.col("p_size").alias("campaign")).agg(F.count("*").alias("uncoverable"))
