@@ -1 +1,58 @@
-"""Placeholder."""
+"""Data sets for models: de-duplication, negatives, splits, gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..tables import HOSTS, hosts, table
+from .metrics import nearest_rank
+
+
+@query(f"SELECT key, min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(host, '[0-9]+', '#', 'g') AS key FROM {HOSTS}) GROUP BY 1")
+def l01_deduplicated_positives(spark, sf):
+    return hosts(spark, sf).groupBy(F.regexp_replace("host", "[0-9]+", "#").alias("key")).agg(F.min("page_id").alias("page_id"))
+
+
+@query(f"SELECT DISTINCT host FROM {HOSTS} WHERE contains(split_part(host, '.', 1), 'th') AND host NOT IN (SELECT host FROM {HOSTS} WHERE page_id % 4 = 0)")
+def l02_hard_negatives(spark, sf):
+    h = hosts(spark, sf)
+    return h.filter(F.substring_index("host", ".", 1).contains("th")).select("host").distinct().join(h.filter("page_id % 4 = 0").select("host"), "host", "left_anti")
+
+
+@query("SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives, CASE WHEN count(*) FILTER (quality = 1) < 5000 THEN 'stop' ELSE 'go' END AS rule FROM labels")
+def l03_counts_with_stop_rule(spark, sf):
+    c = table(spark, sf, "labels").agg(F.sum((F.col("quality") == 1).cast("long")).alias("positives"), F.sum((F.col("quality") == 0).cast("long")).alias("negatives"))
+    return c.withColumn("rule", F.when(F.col("positives") < 5000, "stop").otherwise("go"))
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM labels) SELECT doc_id, doc_id >= (SELECT doc_id FROM r WHERE rn = floor(0.67 * (n - 1)) + 1) AS test FROM labels")
+def l04_temporal_split(spark, sf):
+    l = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("all"))
+    cut = nearest_rank(l, ["all"], "doc_id", 0.67, "floor").select(F.col("value").alias("cut"))
+    return l.crossJoin(cut).select("doc_id", (F.col("doc_id") >= F.col("cut")).alias("test"))
+
+
+@query()
+def l05_campaign_disjoint_split(spark, sf):
+    """A campaign key falls on one side as a whole, by its hash."""
+    key = F.regexp_replace("host", "[0-9]+", "#")
+    return hosts(spark, sf).select("page_id", (F.pmod(F.xxhash64(key, F.lit(13)), F.lit(100)) < 30).alias("test"))
+
+
+@query()
+def l07_logistic_regression(spark, sf):
+    """Standardised, class-balanced logistic regression over name features; its coefficients as rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    from .names import c02_name_features
+
+    names = ["segments", "hyphens", "longest", "depth", "digit_ratio"]
+    rows = c02_name_features(spark, sf).withColumn("y", (F.col("page_id") % 3 == 0).cast("double"))
+    share = rows.agg(F.avg("y")).first()[0] or 0.5
+    rows = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / max(1e-9, 1 - share))))
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
+    model = LogisticRegression(labelCol="y", weightCol="w", maxIter=20).fit(scaled)
+    total = sum(abs(c) for c in model.coefficients) or 1.0
+    return spark.createDataFrame([(n, float(c), float(abs(c) / total)) for n, c in zip(names, model.coefficients)], "feature string, coefficient double, share double")
