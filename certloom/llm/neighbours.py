@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample (SAMPLE vectors of the smallest hash) and has at most MAX_LEAVES leaves, so it
+The tree is fitted on a bounded sample (SAMPLE vectors of the smallest hash, 2,000,000 numbers at most) and has at most MAX_LEAVES leaves, so it
 is small enough for each task whatever the table. Every vector is put in the leaf that it reaches. A query goes through
 the tree with a priority queue of centroids' inner products and visits the best leaves; how many is *calibrated*: sample
 queries are compared with brute force over the sample, and visits are widened until recall is TARGET. (The sample is
 sparser than the table, so its neighbours are spread over more leaves; the figure errs on the safe side.)
 
+The sample itself is compared with every query. Its 21 nearest are candidates, and the last of them is a bound below
+which nothing found in a leaf can be among the nearest, so leaves pass on few rows.
+
 Leaves and visits meet in a join by leaf of packed blocks. Large leaves are dealt to several blocks by salt. Of
 equal vectors only the 21 of smallest id can ever be among the 20 nearest of a row, and equal queries are searched once,
 so a vector that a third of all rows share costs no more than 21 rows; nothing is lost by it.
@@ -32,7 +35,7 @@ from .common import materialise
 
 K = 20
 QUERY_EVERY = 20
-SAMPLE = 20_000
+SAMPLE, SAMPLE_NUMBERS = 20_000, 2_000_000
 MAX_LEAVES, LEAF_ROWS, BRANCHES = 4096, 256, 8
 TARGET = 0.98
 CALIBRATION_QUERIES = 200
@@ -167,13 +170,14 @@ def nearest(table: DataFrame, id_col: str, vector_col: str, is_query, k: int = K
     rows = rows.filter(F.size("v") == dim).dropDuplicates(["id", "v"])
     kept = materialise(rows.withColumn("nth", first).filter(F.col("nth") <= k + 1).select("id", "v", "nth"), "vectors")
     total = kept.count()
-    sample = kept.filter("nth = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    sample = _arrays(sample.column("v")).reshape(-1, dim)
+    sample = kept.filter("nth = 1").orderBy(F.xxhash64("id"), "id").limit(max(k + 1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("id", "v").toArrow()
+    sample_ids, sample = sample.column("id").to_numpy(), _arrays(sample.column("v")).reshape(-1, dim)
     tree = Tree(sample, int(min(MAX_LEAVES, max(1, total // LEAF_ROWS))))
     visits = tree.calibrate(sample, k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column("id").to_numpy(), sample_ids)))  # those are compared with every query
             v = _arrays(batch.column("v")).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(v)), batch.column("id"), pa.array([x.tobytes() for x in v], pa.binary())], names=["leaf", "id", "vector"])
 
@@ -181,12 +185,21 @@ def nearest(table: DataFrame, id_col: str, vector_col: str, is_query, k: int = K
         for batch in batches:
             leaves, ids, vectors = [], [], []
             for i, v in zip(batch.column("id").to_pylist(), _arrays(batch.column("v")).reshape(-1, dim)):
+                worth = sample @ v
+                least = np.partition(worth, len(worth) - k - 1)[len(worth) - k - 1] if len(worth) > k else -np.inf
                 own = tree.visits(v, visits)
                 leaves += own
                 ids += [i] * len(own)
-                vectors += [v.tobytes()] * len(own)
+                vectors += [np.r_[least, v].tobytes()] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], names=["leaf", "id", "vector"])
 
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                own, ids, score = best(_arrays(part.column("v")).reshape(-1, dim), sample_ids, sample, k + 1)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(own)), pa.array(ids), pa.array(score)], names=["asked", "vec_id", "score"])
+
     ddl = "leaf long, id long, vector binary"
     placed = kept.mapInArrow(place, ddl)
 
@@ -204,11 +217,13 @@ def nearest(table: DataFrame, id_col: str, vector_col: str, is_query, k: int = K
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                queries, vectors = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("queries", "vectors"))
-                at, ids, score = best(queries, np.frombuffer(row["ids"], np.int64), vectors, k + 1)
+                queries, vectors = (np.frombuffer(row[c], np.float64).reshape(-1, n) for c, n in (("queries", dim + 1), ("vectors", dim)))
+                at, ids, score = best(queries[:, 1:], np.frombuffer(row["ids"], np.int64), vectors, k + 1)
+                enough = score >= queries[at, 0] - 1e-9 * (1 + np.abs(queries[at, 0]))
+                at, ids, score = at[enough], ids[enough], score[enough]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["query_ids"], np.int64)[at]), pa.array(ids), pa.array(score)], names=["asked", "vec_id", "score"])
 
-    hits = left.join(right, "leaf").select("ids", "vectors", "query_ids", "queries").mapInArrow(search, "asked long, vec_id long, score double")
+    hits = left.join(right, "leaf").select("ids", "vectors", "query_ids", "queries").mapInArrow(search, "asked long, vec_id long, score double").union(asked.mapInArrow(seed, "asked long, vec_id long, score double"))
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     top = hits.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
     lists = top.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
