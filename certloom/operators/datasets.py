@@ -14,10 +14,10 @@ def l01_deduplicated_positives(spark, sf):
     return hosts(spark, sf).groupBy(F.regexp_replace("host", "[0-9]+", "#").alias("key")).agg(F.min("page_id").alias("page_id"))
 
 
-@query(f"SELECT DISTINCT host FROM {HOSTS} WHERE contains(split_part(host, '.', 1), 'th') AND host NOT IN (SELECT host FROM {HOSTS} WHERE page_id % 4 = 0)")
+@query(f"SELECT DISTINCT host FROM {HOSTS} WHERE contains(split_part(host, '.', 1), 'th') AND host NOT IN (SELECT host FROM {HOSTS} WHERE contains(url, 'ref='))")
 def l02_hard_negatives(spark, sf):
     h = hosts(spark, sf)
-    return h.filter(F.substring_index("host", ".", 1).contains("th")).select("host").distinct().join(h.filter("page_id % 4 = 0").select("host"), "host", "left_anti")
+    return h.filter(F.substring_index("host", ".", 1).contains("th")).select("host").distinct().join(h.filter("contains(url, 'ref=')").select("host"), "host", "left_anti")
 
 
 @query("SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives, CASE WHEN count(*) FILTER (quality = 1) < 5000 THEN 'stop' ELSE 'go' END AS rule FROM labels")

@@ -40,11 +40,11 @@ def s22_artifacts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' WHEN a.h <> b.h THEN 'hash_mismatch' ELSE 'valid' END AS status FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN lang ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0) b USING (doc_id)) GROUP BY 1")
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' WHEN a.h <> b.h THEN 'hash_mismatch' ELSE 'valid' END AS status FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE n_chars >= 60) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN lang = 'es' THEN lang ELSE text END) AS h FROM documents WHERE n_chars < 4000) b USING (doc_id)) GROUP BY 1")
 def a41_reverification(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").alias("name"), "text", "lang")
-    a = d.filter("name % 7 <> 0").select("bundle", "name", F.sha2("text", 256).alias("sha"))
-    b = d.filter("name % 5 <> 0").select("bundle", "name", F.sha2(F.when(F.col("name") % 11 == 0, F.col("lang")).otherwise(F.col("text")), 256).alias("sha"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").alias("name"), "text", "lang", "n_chars")
+    a = d.filter("n_chars >= 60").select("bundle", "name", F.sha2("text", 256).alias("sha"))
+    b = d.filter("n_chars < 4000").select("bundle", "name", F.sha2(F.when(F.col("lang") == "es", F.col("lang")).otherwise(F.col("text")), 256).alias("sha"))
     return verify(a, b).groupBy("status").agg(F.count("*").alias("n"))
 
 

@@ -135,10 +135,10 @@ def c31_mask(spark, sf):
     return hosts(spark, sf).select("page_id", F.concat(first.substr(F.lit(1), cut), F.lit("***")).alias("masked"))
 
 
-@query(f"""WITH l AS (SELECT host AS name, min(page_id) AS first_seen FROM {HOSTS} WHERE page_id % 3 = 0 GROUP BY 1) SELECT h.page_id, min(l.first_seen) AS earliest FROM {HOSTS} h JOIN l ON h.host = l.name OR h.host LIKE '%.' || l.name GROUP BY 1""")
+@query(f"""WITH l AS (SELECT host AS name, min(page_id) AS first_seen FROM {HOSTS} GROUP BY 1) SELECT h.page_id, min(l.first_seen) AS earliest FROM {HOSTS} h JOIN l ON h.host = l.name OR h.host LIKE '%.' || l.name GROUP BY 1""")
 def j13_suffix_join(spark, sf):
     h = hosts(spark, sf)
-    listed = h.filter("page_id % 3 = 0").groupBy(F.col("host").alias("tail")).agg(F.min("page_id").alias("first_seen"))
+    listed = h.groupBy(F.col("host").alias("tail")).agg(F.min("page_id").alias("first_seen"))
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return h.select("page_id", F.explode(tails).alias("tail")).join(listed, "tail").groupBy("page_id").agg(F.min("first_seen").alias("earliest"))

@@ -115,9 +115,9 @@ def j28_dominated_nodes(spark, sf):
     return j.filter("wu > w or (wu = w and u < node)").select("campaign", "node").distinct()
 
 
-@query("SELECT p_size AS campaign, count(*) AS uncoverable FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 4 = 0 AND l_quantity > 40) GROUP BY 1")
+@query("SELECT p_size AS campaign, count(*) AS uncoverable FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) GROUP BY 1")
 def a35_uncoverable(spark, sf):
     from ..tables import table
 
-    usable = table(spark, sf, "lineitem").filter("l_suppkey % 4 = 0 and l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
+    usable = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").join(usable, "p_partkey", "left_anti").groupBy(F.col("p_size").alias("campaign")).agg(F.count("*").alias("uncoverable"))

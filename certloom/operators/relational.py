@@ -69,10 +69,10 @@ def a38_organisation_rollup(spark, sf):
     return table(spark, sf, "nation").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").select("n_name", zero("c").alias("customers"), zero("s").alias("suppliers"))
 
 
-@query("SELECT o_orderkey, coalesce(l_returnflag, 'candidate') AS status, coalesce(l_quantity, 1.0) AS weight FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 AND l_suppkey % 2 = 0 WHERE o_custkey % 5 = 1 OR o_custkey % 5 = 3")
+@query("SELECT o_orderkey, coalesce(l_returnflag, 'candidate') AS status, coalesce(l_quantity, 1.0) AS weight FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 AND l_returnflag <> 'N' WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM')")
 def p10_tenant_view(spark, sf):
-    v = table(spark, sf, "lineitem").filter("l_linenumber = 1 and l_suppkey % 2 = 0")
-    o = table(spark, sf, "orders").filter("o_custkey % 5 in (1, 3)")
+    v = table(spark, sf, "lineitem").filter("l_linenumber = 1 and l_returnflag <> 'N'")
+    o = table(spark, sf, "orders").filter("o_orderpriority in ('1-URGENT', '3-MEDIUM')")
     return o.join(v, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("l_returnflag", F.lit("candidate")).alias("status"), F.coalesce("l_quantity", F.lit(1.0)).alias("weight"))
 
 
@@ -161,8 +161,12 @@ def w12_backoff(spark, sf):
 
 @query("SELECT p_partkey, printf('CAMP-%04d', 7 + row_number() OVER (ORDER BY p_size DESC, p_partkey)) AS label FROM part WHERE p_retailprice > 950")
 def w15_labels(spark, sf):
-    """Numbers over campaigns: one row each, so the single ordered task sees the short list only."""
-    return table(spark, sf, "part").filter("p_retailprice > 950").select("p_partkey", F.format_string("CAMP-%04d", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")) + 7).alias("label"))
+    """Numbered within each size, behind the running count of all larger sizes: no task orders all campaigns."""
+    p = table(spark, sf, "part").filter("p_retailprice > 950").select("p_partkey", "p_size")
+    larger = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("p_size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = p.groupBy("p_size").agg(F.count("*").alias("n")).select("p_size", larger.alias("before"))  # one row a size
+    nth = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    return p.withColumn("nth", nth).join(before, "p_size").select("p_partkey", F.format_string("CAMP-%04d", F.col("before") + F.col("nth") + 7).alias("label"))
 
 
 @query("SELECT DISTINCT k FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier)")

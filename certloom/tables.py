@@ -33,12 +33,13 @@ HOSTS = r"(SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)'
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """A sparse slice of ``lineitem`` as domain-infrastructure edges with a weight by return flag."""
-    weight = F.when(F.col("l_returnflag") == "A", 0.85).when(F.col("l_returnflag") == "N", 0.35).otherwise(0.15)
-    return table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_suppkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("domain"), F.col("l_partkey").alias("node")).agg(F.max(weight).alias("weight"))
+    """All of ``lineitem`` as domain-infrastructure edges; large quantities with some return flags are strong or medium, the rest weak."""
+    large = F.col("l_quantity") >= 49
+    weight = F.when(large & (F.col("l_returnflag") == "A"), 0.85).when(large & (F.col("l_returnflag") == "N"), 0.35).otherwise(0.15)
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("domain"), F.col("l_partkey").alias("node")).agg(F.max(weight).alias("weight"))
 
 
-EDGES = "(SELECT l_orderkey AS domain, l_partkey AS node, max(CASE WHEN l_returnflag = 'A' THEN 0.85 WHEN l_returnflag = 'N' THEN 0.35 ELSE 0.15 END)::DOUBLE AS weight FROM lineitem WHERE l_quantity >= 49 AND l_suppkey % 3 <> 0 GROUP BY 1, 2)"
+EDGES = "(SELECT l_orderkey AS domain, l_partkey AS node, max(CASE WHEN l_quantity >= 49 AND l_returnflag = 'A' THEN 0.85 WHEN l_quantity >= 49 AND l_returnflag = 'N' THEN 0.35 ELSE 0.15 END)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2)"
 
 
 def dependencies(spark: SparkSession, sf: str) -> DataFrame:
