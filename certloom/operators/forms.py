@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -22,7 +22,7 @@ def attribute(tag, name: str):
 
 
 def forms(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, form, action, method, has_password, site) of every form (C18); ``form`` counts from 0 within its page.
+    """(id, form, action, method, has_password, host) of every form (C18); ``form`` counts from 0 within its page.
 
     A missing or empty action is the page itself; absolute, scheme-relative, rooted and relative ones are resolved
     against the page's URL. Null pages have no forms."""
