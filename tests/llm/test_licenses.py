@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from certloom.llm import licenses as L
@@ -42,3 +43,22 @@ def test_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
     assert {(r.doc_id, r.license) for r in L.scan_licenses(d).collect()} == set(brute(rows))
+
+
+def test_every_passage(spark):
+    """Beginnings, middles and ends of whole templates, not of the passages the module keeps."""
+    L.check_templates()
+    with pytest.raises(ValueError):
+        L.check_templates([("X", "Licensed under X. " + "some words that hold nothing of note here " * 12)])
+    rows, want = [], set()
+    for name, text in L.TEMPLATES:
+        w = re.findall("[A-Za-z0-9]+", text)
+        for at in range(0, max(1, len(w) - 24), 24):
+            rows.append((len(rows), "xx yy zz " * 30 + " ".join(w[at : at + 48]) + " xx yy zz" * 30))
+            want.add((rows[-1][0], name))
+    grant = L.TEMPLATES[2][1].split()
+    for n in (40, 50, 60, 79):
+        rows.append((len(rows), " ".join(grant[:n])))
+        want.add((rows[-1][0], "MIT"))
+    got = {(r.doc_id, r.license) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got
