@@ -9,7 +9,8 @@ of one minimum: a window of similarity 0.3 to a passage is retrieved with probab
 window of a true match has 0.5 or more. Candidates are verified by the exact share of the passage's five-word shingles
 in the text around the window, at least 0.8.
 
-Result: one row for each (id, license), with the best containment and where the first such passage starts (in words).
+Result: one row for each (id, license), with the best containment and where the first such passage starts (in words). Near-equal
+notices (two versions of one license) share most shingles; the query keeps the better one on the same words, and both if they are equal.
 
 Defined cases: null and empty texts have no rows; a text without a notice has none; rows that repeat an id count as
 one; a null id is an id of its own; a notice repeated in a text counts once; other columns are not read.
@@ -96,8 +97,29 @@ def bands(shingles):
     return F.array(*[F.xxhash64(F.lit(j), least(j)) for j in range(BANDS)])
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
-    """(id, license, containment, first_word) of every notice found."""
+def unexplained(hits: DataFrame) -> DataFrame:
+    """The hits that no better hit of another license on the same words explains. Hits are compared within cells of a text, so
+    their number is bounded by a cell's windows and the templates."""
+    row = ["id", "license", "passage", "start", "size", "containment"]
+    cell = 4 * PASSAGE
+    spread = hits.select(*row, F.size("wanted").alias("wanted"), "found", F.explode(F.array_distinct(F.transform("found", lambda x: F.floor(x["at"] / cell)))).alias("cell"))
+    whole = F.struct("license", "passage", "start", "size", "containment", "wanted", "found").alias("hit")
+    cells = spread.select("id", "cell", whole).groupBy("id", "cell").agg(F.collect_set("hit").alias("hits"))
+
+    def explains(x, y):
+        apart = F.filter(x["found"], lambda f: ~F.exists(y["found"], lambda g: g["at"] == f["at"]))
+        alone = F.size(F.array_distinct(F.transform(apart, lambda f: f["h"])))
+        return (y["license"] != x["license"]) & (y["containment"] > x["containment"]) & (alone < CONTAINMENT * x["wanted"])
+
+    # another license's hit elsewhere in the cell takes no shingle away, so it explains nothing
+    each = cells.select("id", F.explode(F.transform("hits", lambda x: F.struct(x.alias("hit"), F.exists("hits", lambda y: explains(x, y)).alias("beaten")))).alias("e"))
+    each = each.select("id", "e.hit.license", "e.hit.passage", "e.hit.start", "e.hit.size", "e.hit.containment", "e.beaten")
+    return each.groupBy(*row).agg(F.max("beaten").alias("beaten")).filter(~F.col("beaten"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, best_only: bool = False) -> DataFrame:
+    """(id, license, containment, first_word) of every notice found. With ``best_only``, a notice that a better one of another
+    license explains is left out: without the words of the better one it has less than four fifths of its shingles."""
     check_templates(templates)
     spark: SparkSession = docs.sparkSession
     found = passages(templates)
@@ -122,11 +144,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = keyed.join(F.broadcast(table), "band").filter((F.col("length") <= F.col("size")) & (F.col("length") * 1.25 >= F.col("size")))
     around = F.slice("region", F.greatest(F.lit(1), F.col("start") - F.col("low") + 1 - F.col("size")), 3 * F.col("size"))
     share = F.size(F.array_intersect("wanted", shingle_hashes(around))) / F.size("wanted")
-    hits = hits.select("id", "low", "region", "start", "size", "passage", "license", "wanted").dropDuplicates(["id", "start", "size", "passage"])
-    checked = hits.select("id", "license", "start", share.alias("containment")).filter(F.col("containment") >= CONTAINMENT)
+    texts_too = ["id", "text", "start", "size", "passage"]
+    hits = hits.select("id", F.xxhash64("region", "low").alias("text"), "low", "region", "start", "size", "passage", "license", "wanted").dropDuplicates(texts_too)
+    if best_only:
+        base = F.greatest(F.lit(0), F.col("start") - F.col("size"))
+        found = F.transform(F.sequence(F.lit(1), F.size(around) - SHINGLE + 1), lambda i: F.struct((base + i).alias("at"), F.xxhash64(F.concat_ws(" ", F.slice(around, i, SHINGLE))).alias("h")))
+        hits = hits.withColumn("found", F.filter(found, lambda x: F.array_contains("wanted", x.h)))
+    checked = hits.withColumn("containment", share).filter(F.col("containment") >= CONTAINMENT)
+    if best_only:
+        checked = unexplained(checked)
     out = checked.groupBy("id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
     return out.withColumnRenamed("id", id_col)
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), best_only=True)

@@ -62,3 +62,22 @@ def test_every_passage(spark):
         want.add((rows[-1][0], "MIT"))
     got = {(r.doc_id, r.license) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert want <= got
+
+
+def test_best_of_near_equal_templates(spark):
+    notice = "This work is licensed under the GNU General Public License, version {}."
+    lesser = "This library is free software: " + dict(L.TEMPLATES)["LGPL-3.0"]
+    far = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, notice.format(3)), (2, notice.format(2)), (3, f"{notice.format(2)} {notice.format(3)}"), (4, f"{notice.format(3)} {far} {notice.format(2)}"), (5, lesser), (6, L.TEMPLATES[7][1]), (None, notice.format(3)), (7, " ".join([notice.format(3)] * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in L.scan_licenses(df, best_only=True).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {1: {"GPL-3.0"}, 2: {"GPL-2.0"}, 3: {"GPL-2.0", "GPL-3.0"}, 4: {"GPL-2.0", "GPL-3.0"}, 5: {"LGPL-3.0"}, 6: {"GPL-3.0"}, None: {"GPL-3.0"}, 7: {"GPL-3.0"}}
+    every = {(r.doc_id, r.license) for r in L.scan_licenses(df).collect()}
+    assert {(1, "GPL-2.0"), (2, "GPL-3.0"), (5, "GPL-3.0")} <= every
+
+
+def test_query_keeps_the_best(spark):
+    found = L.op5_licenses(spark, "/root/testdata/sf0.01")
+    assert found.filter("license = 'GPL-3.0'").count() and not found.filter("license = 'GPL-2.0'").count()
