@@ -9,6 +9,9 @@ from ..catalog import query
 from ..functions.storage import materialise
 from ..tables import DEPENDENCIES, dependencies
 
+#: Largest budget of the sweep.
+BUDGETS = 15
+
 
 def collapse(dep: DataFrame) -> DataFrame:
     """(campaign, nodes, domains): domains with the same node set become one group."""
@@ -66,6 +69,19 @@ def i05_budget_sweep(spark, sf):
     return greedy(dependencies(spark, sf), 2).select("campaign", F.col("rank").alias("k"), F.sum("gain").over(w).alias("killed"))
 
 
+@query()
+def i05_full_sweep(spark, sf):
+    """Killed domains and share for every budget of 1 to 15, also where a campaign is covered sooner; the SQL twin of
+    ``i05_budget_sweep`` ends at 2."""
+    dep = materialise(dependencies(spark, sf), "dependencies")
+    total = dep.groupBy("campaign").agg(F.count_distinct("domain").alias("total"))
+    budgets = total.select("campaign", "total", F.explode(F.sequence(F.lit(1), F.lit(BUDGETS))).alias("k"))
+    gains = greedy(dep, BUDGETS).select("campaign", F.col("rank").alias("k"), "node", "gain")
+    w = Window.partitionBy("campaign").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # BUDGETS rows a campaign
+    swept = budgets.join(gains, ["campaign", "k"], "left").withColumn("killed", F.sum(F.coalesce("gain", F.lit(0))).over(w))
+    return swept.select("campaign", "k", "node", "killed", F.round(100 * F.col("killed") / F.col("total"), 6).alias("pct"))
+
+
 @query(f"SELECT campaign, node AS a, other AS b, count(*) AS n FROM (SELECT x.campaign, x.node, y.node AS other FROM {DEPENDENCIES} x JOIN {DEPENDENCIES} y USING (campaign, domain) WHERE x.node <= y.node) GROUP BY 1, 2, 3")
 def a32_co_coverage(spark, sf):
     return co_coverage(dependencies(spark, sf)).withColumnRenamed("both", "n")
