@@ -18,7 +18,8 @@ shared folder. The class id is the smallest doc_id of the class.
 
 Defined cases: words are what stands between ASCII white space, unchanged; a text of one to four words is one shingle; a
 text without words, or null, is in a class of its own; rows that repeat a text or a doc_id are in one class if
-their texts are similar; a null doc_id never names a class that has another; other columns are not read.
+their texts are similar, and apart if not; a null doc_id never names a class that has another; very long texts are signed and compared
+whole, in a task's memory one after another; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Rows of a bucket that are compared with each other, or with as many others, in one task.
 BLOCK_ROWS = 256
+#: 128 bits that tell apart rows by id and text, so that rows with one id, or none, are never taken for each other.
+KEY = ["key_a", "key_b"]
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +118,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(len(bags)), sizes)
         signatures = bag_minhash(doc, np.concatenate([k for k, _ in bags]), np.concatenate([c for _, c in bags]), len(bags))
         bands = pa.array(list(band_hashes(signatures).view(np.int64)), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([node_of(b) for b in bags], pa.int64()), bands], names=["doc", "node", "bands"])
+        own = [batch.column(c) for c in ("doc", *KEY)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array([node_of(b) for b in bags], pa.int64()), bands], names=["doc", *KEY, "node", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -134,14 +138,19 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         keep = []
         for x, y, s, t in zip(a.to_pylist(), b.to_pylist(), text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))):
             p, q = bag(x, s), bag(y, t)
-            keep.append(node_of(p) == x and node_of(q) == y and overlap(p, q) >= similarity)
+            keep.append(overlap(p, q) >= similarity)
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def texts_of(wanted: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, text): one text of each wanted node, found by the row's key; rows repeated in full have one."""
+    rows = base.join(nodes.join(wanted, "node").select("node", *KEY), KEY)
+    return rows.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = base.join(nodes.join(wanted, "node").select("node", "doc"), "doc").select("node", "text")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, base)
     with_a = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
     return materialise(both.mapInArrow(lambda it: _verify(it, similarity), "a long, b long").distinct(), "links")
@@ -209,8 +218,7 @@ def across(ranked: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFra
     small = F.array(block("all", F.lit(0), F.lit(0)))
     blocks = F.when(F.col("all") <= BLOCK_ROWS, small).when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)
     left = materialise(left.select("band", "node", "label", F.explode(blocks).alias("block")), "blocks")
-    wanted = left.select("node").distinct()
-    texts = base.join(nodes.join(wanted, "node"), "doc").select("node", "bands", "text")
+    texts = texts_of(left.select("node").distinct(), nodes, base).join(nodes.select("node", "bands"), "node")
     rows = left.join(texts, "node").select("band", "block", "node", "label", "bands", "text")
     return materialise(rows.groupBy("band", "block").applyInArrow(lambda t: _link_block(t, similarity), "a long, b long").distinct(), "links")
 
@@ -219,12 +227,22 @@ def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, node, class_id) of each row; ``node`` is null for texts without words."""
-    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """(doc, text, key_a, key_b) and the other columns. Names of ``docs`` may clash with these, so others go in as a struct."""
+    text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    more = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []
+    return docs.select(doc.alias("doc"), text.alias("text"), F.xxhash64(doc.isNull(), doc, text).alias("key_a"), F.xxhash64(text, F.lit(7), doc).alias("key_b"), *more)
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, node, bands) of each row, and (node, label, first) of each node: its class and the class's first row, as
+    (no id, doc, key_a, key_b): that of the smallest doc_id, rows without one last, ties to the smaller key."""
+    base = keyed(docs, id_col, text_col)
     kind = base.schema["doc"].dataType.simpleString()
-    signed = materialise(base.mapInArrow(_sign, f"doc {kind}, node long, bands array<long>"), "signed")
-    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")), "nodes")
+    signed = materialise(base.mapInArrow(_sign, f"doc {kind}, key_a long, key_b long, node long, bands array<long>"), "signed")
+    first = F.min(F.struct(F.col("doc").isNull().alias("missing"), "doc", *KEY)).alias("first")
+    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(first, F.first("bands").alias("bands")), "nodes")
+    nodes = nodes.select("node", "first", *[F.col(f"first.{c}").alias(c) for c in KEY], "bands")
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialise(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     buckets = materialise(rows.join(shared, "band"), "buckets")
@@ -238,11 +256,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = verified(tested, nodes, base, similarity)
     labels = components(edges)
     edges = materialise(edges.union(across(ranked, labels, nodes, base, similarity)), "links")
-    labels = components(edges)
-    names = labels.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("class_id"))
-    joined = labels.join(names, "label").select("node", "class_id")
-    named = materialise(nodes.select("node", "doc").join(joined, "node", "left").select("node", F.coalesce("class_id", "doc").alias("class_id")), "classes")
-    return signed.select("doc", "node").join(named, "node", "left").select(F.col("doc").alias(id_col), "node", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"))
+    named = nodes.select("node", "first").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
+    named = materialise(named, "named")
+    firsts = named.groupBy("label").agg(F.min("first").alias("first"))
+    return signed, materialise(named.select("node", "label").join(firsts, "label"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, node, class_id) of each row; ``node`` is null for texts without words."""
+    signed, classes = classify(docs, id_col, text_col, similarity)
+    class_id = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("first.doc"))
+    return signed.select("doc", "node").join(classes.select("node", "first"), "node", "left").select(F.col("doc").alias(id_col), "node", class_id.alias("class_id"))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -250,10 +274,11 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each class, once; documents without words all stay."""
-    found = near_duplicates(docs)
-    ids = materialise(found.filter("class_id is not null and class_id = doc_id").select("doc_id").distinct(), "kept")
-    words = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    empty = docs.filter(~F.coalesce(words, F.lit(False)) | F.col("doc_id").isNull())
-    full = docs.filter(F.coalesce(words, F.lit(False)) & F.col("doc_id").isNotNull())
-    return full.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(empty)
+    """Pipeline stage: one row of each class stays, that of the smallest doc_id (rows without one last), whatever other rows
+    have its id; of rows that repeat id and text any one. Documents without words all stay."""
+    _, classes = classify(docs)
+    kept = materialise(classes.select("first.*").select(*KEY).distinct(), "kept")
+    rows = keyed(docs, "doc_id", "text", *docs.columns)
+    words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    full = rows.filter(words).join(kept, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row"))
+    return full.select("row.*").union(rows.filter(~words).select("row.*"))

@@ -81,3 +81,48 @@ def test_star_whose_centre_is_not_the_smallest(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id) for r in N.near_duplicates(df).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_stage_keeps_one_row_of_each_class(spark):
+    """By row, not by id: rows that repeat an id with other texts stay, copies under null ids go."""
+    rng = random.Random(12)
+    text = lambda: " ".join("v%d" % rng.randrange(5000) for _ in range(90))
+    a, b, c, d = text(), text(), text(), text()
+    near = " ".join(["x"] + a.split()[1:])
+    rows = [(3, a), (5, a), (5, b), (5, c), (7, b), (None, a), (None, a), (None, d), (None, d), (9, near), (5, c), (11, None), (12, " "), (None, None)]
+    df = spark.createDataFrame([(i, t, k, "z") for k, (i, t) in enumerate(rows)], "doc_id long, text string, key_a int, row string")
+    kept = [(r.doc_id, r.text) for r in N.stage(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (5, c), (None, d), (11, None), (12, " "), (None, None)], key=str)
+    assert N.stage(spark, df, "").columns == df.columns and N.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_given_table_against_all_pairs(spark):
+    """All documents of a given table: classes equal those of every pair that shares a shingle."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    bags, holders, parent = [bag(t) for _, t in rows], {}, list(range(len(rows)))
+    for i, x in enumerate(bags):
+        for s in x:
+            holders.setdefault(s, []).append(i)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    total = [sum(x.values()) for x in bags]
+    for i, x in enumerate(bags):
+        common = Counter()
+        for s, n in x.items():
+            for j in holders[s]:
+                if j < i:
+                    common[j] += min(n, bags[j][s])
+        for j, n in common.items():
+            if n / (total[i] + total[j] - n) >= 0.8:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    want = sorted((d, least[root(i)]) for i, (d, _) in enumerate(rows))
+    got = sorted((r.doc_id, r.class_id) for r in N.op10_near_dedup(spark, sf).collect())
+    assert got == want and any(a != b for a, b in want)

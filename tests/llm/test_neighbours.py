@@ -23,10 +23,16 @@ def test_recall_ties_and_odd_vectors(spark):
     rows += [(10_000 + i, rows[17][1]) for i in range(3000)]  # a vector that a third of all rows share
     odd = [(20_000, None), (20_020, [0.0] * 8), (20_040, [1.0] * 7 + [None]), (20_060, [float("nan")] * 8), (20_080, [1.0]), (None, [1.0] * 8), rows[0], rows[0]]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("v", F.lit(0))
+    want = brute(rows + odd, 20)
+    # fitted on all distinct vectors but few, and on a sample far smaller than the table with many groups
+    for more in ({}, {"sample": 400, "group_numbers": 8 * 500}):
+        check_lists(N.nearest(df, "vec_id", "embedding", F.expr("id % 20 = 0"), **more).collect(), want, rows)
+
+
+def check_lists(found_rows, want, rows):
     got = {}
-    for r in N.nearest(df, "vec_id", "embedding", F.expr("id % 20 = 0")).collect():
+    for r in found_rows:
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    want = brute(rows + odd, 20)
     assert set(got) == set(want)
     found = total = 0
     for q, w in want.items():
@@ -39,6 +45,27 @@ def test_recall_ties_and_odd_vectors(spark):
     assert all([i for _, i, _ in sorted(got[q])] == [i for i, _ in want[q]] for q in same)
 
 
+def test_search_visits_few_leaves():
+    """Clustered vectors, searched through trees fitted without them; the recall is that of unsampled rows."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 16)) * 3
+    rows = centres[rng.integers(200, size=20_000)] + rng.normal(size=(20_000, 16)) * 0.5
+    ids, queries = np.arange(20_000), rows[:400] + rng.normal(size=(400, 16)) * 0.1
+    truth = np.argsort(-(queries @ rows.T), axis=1)[:, :20]
+    upper = N.Upper(rows[rng.permutation(20_000)[:2_000]], 16, 20)
+    bounds = upper.bounds(queries)
+    q, own, _, share = N.search(rows, ids, queries, bounds, np.zeros(400, bool), 20)
+    hit = {(a, b) for a, b in zip(q.tolist(), own.tolist())}
+    recall = np.mean([(a, b) in hit for a in range(400) for b in truth[a]])
+    print("recall", recall, "share of leaves", share)
+    assert recall >= 0.9 and share < 0.3
+    upper.sizes = np.bincount(upper.tree.assign(rows), minlength=len(upper.sizes))
+    group = upper.tree.assign(rows)
+    upper.calibrate(queries, np.repeat(np.arange(400), 20), group[truth].ravel())
+    visited = [set(own) for _, own, _ in upper.visits(queries)]
+    assert np.mean([group[b] in visited[a] for a in range(400) for b in truth[a]]) >= N.UPPER_TARGET and np.mean([len(v) for v in visited]) < 0.6 * len(upper.sizes)
+
+
 def test_few_rows_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (40, [3.0, 1.0])], "vec_id long, embedding array<float>")
     ask = lambda d: sorted(tuple(r) for r in N.nearest(d, "vec_id", "embedding", F.expr("id % 20 = 0")).collect())
