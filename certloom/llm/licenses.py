@@ -9,11 +9,13 @@ of one minimum: a window of similarity 0.3 to a passage is retrieved with probab
 window of a true match has 0.5 or more. Candidates are verified by the exact share of the passage's five-word shingles
 in the text around the window, at least 0.8.
 
-Result: one row for each (id, license), with the best containment and where the first such passage starts (in words). Near-equal
+Result: one row for each (id, license), with the best containment and the word (from 0) at which the first shingle of such a passage stands. Near-equal
 notices (two versions of one license) share most shingles; the query keeps the better one on the same words, and both if they are equal.
 
 Defined cases: null and empty texts have no rows; a text without a notice has none; rows that repeat an id count as
-one; a null id is an id of its own; a notice repeated in a text counts once; other columns are not read.
+one, with the notices of all their texts; rows without an id come as one of a null id; a notice repeated in a text counts once; an empty
+table gives no rows; very long texts are read whole, in windows around their key words (each window once, so a
+text of nothing but key words has a few windows a word); other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 SHINGLE, CONTAINMENT, BANDS, PASSAGE = 5, 0.8, 24, 48
 KEY = "licen[sc]|copyright|permission|warrant|redistribut|liab|unencumber|granted|software|conditions|modif"
 
-#: Fixed texts of public licenses, by their SPDX names.
+#: Texts of public licenses' notices, as SPDX lists them, by their SPDX names.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -45,6 +47,11 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
 ]
 
 
@@ -113,8 +120,8 @@ def unexplained(hits: DataFrame) -> DataFrame:
 
     # another license's hit elsewhere in the cell takes no shingle away, so it explains nothing
     each = cells.select("id", F.explode(F.transform("hits", lambda x: F.struct(x.alias("hit"), F.exists("hits", lambda y: explains(x, y)).alias("beaten")))).alias("e"))
-    each = each.select("id", "e.hit.license", "e.hit.passage", "e.hit.start", "e.hit.size", "e.hit.containment", "e.beaten")
-    return each.groupBy(*row).agg(F.max("beaten").alias("beaten")).filter(~F.col("beaten"))
+    each = each.select("id", "e.hit.license", "e.hit.passage", "e.hit.start", "e.hit.size", "e.hit.containment", (F.get("e.hit.found", F.lit(0))["at"] - 1).alias("first"), "e.beaten")
+    return each.groupBy(*row).agg(F.max("beaten").alias("beaten"), F.min("first").alias("first")).filter(~F.col("beaten"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, best_only: bool = False) -> DataFrame:
@@ -130,30 +137,33 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(max(1, (n - SHINGLE + 1) // 6)).alias("step")) for n in classes(found)])
     texts = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low")).filter(F.regexp_like("low", F.lit(KEY)))
     words = texts.select("id", F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    keys = words.select("id", "words", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.regexp_like(F.element_at("words", i + 1), F.lit(KEY)))).alias("key")).filter(F.size("words") >= SHINGLE)
+    words = words.filter(F.size("words") >= SHINGLE).withColumn("keys", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.regexp_like(F.get("words", i), F.lit(KEY))))
+    # each window is formed for the first key word in it only; outer, as Spark would else test the size of ``keys`` before it has ``words``
+    keys = words.select("id", "words", "keys", F.posexplode_outer("keys").alias("nth", "key")).filter("key is not null").withColumn("last", F.coalesce(F.get("keys", F.col("nth") - 1), F.lit(-1)))
     # only what a passage around the key word can reach goes on
     low = F.greatest(F.lit(0), F.col("key") - 2 * PASSAGE)
-    near = keys.select("id", "key", low.alias("low"), F.slice("words", low + 1, 4 * PASSAGE).alias("region"))
+    near = keys.select("id", "key", "last", low.alias("low"), F.slice("words", low + 1, 4 * PASSAGE).alias("region"))
     spans = near.select("*", F.explode(sizes).alias("c"))
-    first = F.ceil(F.greatest(F.lit(0), F.col("key") - F.col("c.size") + 1) / F.col("c.step")) * F.col("c.step")
-    starts = F.when(first <= F.col("key"), F.sequence(first.cast("int"), F.col("key"), F.col("c.step"))).otherwise(F.array(F.col("key")))
+    first = F.ceil(F.greatest(F.col("last") + 1, F.col("key") - F.col("c.size") + 1) / F.col("c.step")) * F.col("c.step")
+    starts = F.when(first <= F.col("key"), F.sequence(first.cast("int"), F.col("key"), F.col("c.step"))).otherwise(F.array().cast("array<int>"))
     windows = spans.select("id", "low", "region", F.col("c.size").alias("size"), F.explode(starts).alias("start"))
     windows = windows.withColumn("shingles", shingle_hashes(F.slice("region", F.col("start") - F.col("low") + 1, F.col("size")))).filter(F.size("shingles") > 0)
     keyed = windows.select("id", "low", "region", "start", "size", F.explode(bands(F.col("shingles"))).alias("band"))
     # the templates are a fixed list, so their side is bounded and broadcast
     hits = keyed.join(F.broadcast(table), "band").filter((F.col("length") <= F.col("size")) & (F.col("length") * 1.25 >= F.col("size")))
     around = F.slice("region", F.greatest(F.lit(1), F.col("start") - F.col("low") + 1 - F.col("size")), 3 * F.col("size"))
-    share = F.size(F.array_intersect("wanted", shingle_hashes(around))) / F.size("wanted")
     texts_too = ["id", "text", "start", "size", "passage"]
     hits = hits.select("id", F.xxhash64("region", "low").alias("text"), "low", "region", "start", "size", "passage", "license", "wanted").dropDuplicates(texts_too)
-    if best_only:
-        base = F.greatest(F.lit(0), F.col("start") - F.col("size"))
-        found = F.transform(F.sequence(F.lit(1), F.size(around) - SHINGLE + 1), lambda i: F.struct((base + i).alias("at"), F.xxhash64(F.concat_ws(" ", F.slice(around, i, SHINGLE))).alias("h")))
-        hits = hits.withColumn("found", F.filter(found, lambda x: F.array_contains("wanted", x.h)))
+    share = F.size(F.array_intersect("wanted", shingle_hashes(around))) / F.size("wanted")
     checked = hits.withColumn("containment", share).filter(F.col("containment") >= CONTAINMENT)
+    # where the shingles of the hits that remain stand
+    base = F.greatest(F.lit(0), F.col("start") - F.col("size"))
+    found = F.transform(F.sequence(F.lit(1), F.size(around) - SHINGLE + 1), lambda i: F.struct((base + i).alias("at"), F.xxhash64(F.concat_ws(" ", F.slice(around, i, SHINGLE))).alias("h")))
     if best_only:
-        checked = unexplained(checked)
-    out = checked.groupBy("id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
+        checked = unexplained(checked.withColumn("found", F.filter(found, lambda x: F.array_contains("wanted", x.h))))
+    else:
+        checked = checked.withColumn("first", F.array_min(F.transform(F.filter(found, lambda x: F.array_contains("wanted", x.h)), lambda x: x["at"])) - 1)
+    out = checked.groupBy("id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("first_word"))
     return out.withColumnRenamed("id", id_col)
 
 

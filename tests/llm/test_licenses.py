@@ -81,3 +81,11 @@ def test_best_of_near_equal_templates(spark):
 def test_query_keeps_the_best(spark):
     found = L.op5_licenses(spark, "/root/testdata/sf0.01")
     assert found.filter("license = 'GPL-3.0'").count() and not found.filter("license = 'GPL-2.0'").count()
+
+
+def test_first_word_is_where_the_notice_starts(spark):
+    grant = L.TEMPLATES[2][1]
+    rows = [(1, "xx " * 100 + L.TEMPLATES[7][1]), (2, "Released under the MIT License."), (3, "yy " * 37 + grant + " zz" * 9), (4, "license " * 60 + "xx " * 50 + L.TEMPLATES[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): r.first_word for r in L.scan_licenses(df, best_only=True).collect()}
+    assert got == {(1, "GPL-3.0"): 100, (2, "MIT"): 0, (3, "MIT"): 37, (4, "GPL-3.0"): 110}
