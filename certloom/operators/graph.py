@@ -6,24 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.storage import materialise
+from ..functions.storage import forget, materialise
 from ..tables import EDGES, edges
 
 STRONG, MEDIUM = 0.6, 0.3
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component of (a, b) links; rounds are written to the shared folder."""
+    """(node, label): the least node of each component of (a, b) links, by least labels with pointer jumping. Rounds are written to
+    the shared folder, and the one before is deleted."""
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    stored = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
+        labels = stored.select("node", "label")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = materialise(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("old <> label").isEmpty():
-            return labels
+        done = moved.filter("old <> label").isEmpty()
+        forget(stored)
+        stored = moved
+        if done:
+            forget(both)
+            return stored.select("node", "label")
 
 
 def strong_components(e: DataFrame) -> DataFrame:
