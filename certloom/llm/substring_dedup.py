@@ -6,18 +6,21 @@ an aligned anchor of 20 words (50 - 31 + 1) there. Only 6 of 31 positions are ha
 
 1. *Anchors.* Each task hashes the 20-word anchors of its documents. An anchor met in two documents of the task is
    known to be shared at once; the shuffle gets one row for each anchor and task, so a passage in a third of all
-   documents costs a row for each task, not for each document. After the shuffle, anchors of several documents mark
-   the period of their document that they start in.
-2. *Extension.* Around marked periods only, windows of 50 words are hashed in full and settled the same way: within the
-   task first, then one row for each window and task by hash. Windows whose first document is an earlier one go.
-3. The removals of each document meet its text, which is rewritten.
+   documents costs a row for each task, not for each document. After the shuffle, anchors of several documents are
+   sent to those documents.
+2. *Extension.* Only around the periods in which such anchors start, windows of 50 words are hashed in full and settled the same way: within
+   the task first, then one row for each window and task by hash. Windows whose first document is an earlier one go.
+3. The hashes of the windows to remove meet the document's text, which is rewritten.
 
-No pairs of documents are formed anywhere. Two 64-bit hashes of different windows could coincide with probability
-about n^2 / 2^65.
+Rows name an anchor or window and its document, never a position, so a document that repeats one line a million times
+gives as many rows as one that has it once. Shuffled rows come sorted and are read as a stream; a task holds its documents
+at hand and the rows of one hash, of which there are as many as tasks. No pairs of documents are formed
+anywhere. Two 64-bit hashes of different windows could coincide with probability about n^2 / 2^65.
 
 Defined cases: a null or empty text has no words; a null ``doc_id`` is neither earlier nor later than any other and
-keeps all its words; rows that repeat a ``doc_id`` are not earlier than each other; documents shorter than the window
-keep everything; further columns pass through untouched (their names may clash with those used inside).
+keeps all its words; rows that repeat a ``doc_id`` are not earlier than each other, and what is removed from one of them is removed from
+all; documents shorter than the window keep everything; very long texts are read whole, one after another; an empty table gives no rows;
+further columns pass through untouched (their names may clash with those used inside).
 """
 
 from __future__ import annotations
@@ -40,13 +43,18 @@ ANCHOR = WINDOW - PERIOD + 1
 BUFFER = 2_000_000
 
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
-_ROWS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
-_ROWS_DDL = "key long, doc long, at long"
-#: ``at`` of rows that need no comparison any more is stored as -1 - at.
+#: ``route`` decides the partition: the hash itself for rows that are still to be compared, any other number for those that are settled.
+_ROWS = pa.schema([("route", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64())])
+_ROWS_DDL = "route long, doc long, hash long"
+_FOUND = pa.schema([("doc", pa.int64()), ("hash", pa.int64())])
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at)], schema=_ROWS)
+def _rows(key: np.ndarray, doc: np.ndarray, settled: bool) -> pa.RecordBatch:
+    route = key
+    if settled:
+        route = mix(doc.view(np.uint64), key)
+        route = np.where(route == key, ~route, route)
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), pa.array(key.view(np.int64))], schema=_ROWS)
 
 
 def _in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -54,13 +62,17 @@ def _in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, 200_000)
 
 
-def _groups(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (key, doc); first row, smallest and largest document of each row's key."""
+def _groups(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, doc) in order, whether each is the first of its key, and the smallest and largest document of its key."""
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    if len(k):
+        new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+        k, d = k[new], d[new]
+    first = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    starts = np.flatnonzero(first)
     sizes = np.diff(np.r_[starts, len(k)])
-    return order, np.repeat(starts, sizes), np.repeat(d[starts], sizes), np.repeat(d[starts + sizes - 1], sizes)
+    return k, d, first, np.repeat(d[starts], sizes), np.repeat(d[starts + sizes - 1], sizes)
 
 
 class _Docs:
@@ -79,6 +91,10 @@ class _Docs:
         self.pos = np.arange(len(words)) - np.repeat(self.starts, sizes)
         self.left = np.repeat(sizes, sizes) - self.pos
 
+    def covered(self) -> np.ndarray:
+        """Where an anchor of a document with a whole window starts on a cover position."""
+        return _IS_COVER[self.pos % PERIOD] & (self.left >= ANCHOR) & (self.pos + self.left >= WINDOW)
+
     def windows(self, length: int) -> np.ndarray:
         out = np.zeros(len(self.pos), np.uint64)
         found = window_hashes(self.hashes, length)
@@ -90,111 +106,93 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def settle():
-        key, doc, cell = (np.concatenate(x) for x in zip(*held))
-        order, first, low, high = _groups(key, doc)
-        k, d, c = key[order], doc[order], cell[order]
-        shared, lead = low != high, np.arange(len(k)) == first
-        # a shared anchor marks its documents here; one row goes on to tell the other tasks
-        yield from _in_pieces(_rows(mix(d[shared].view(np.uint64), c[shared].view(np.uint64)), d[shared], -1 - c[shared]))
+        k, d, lead, low, high = _groups(*(np.concatenate(x) for x in zip(*held)))
+        shared = low != high
+        # a shared anchor is known to its documents here; one row goes on to tell the other tasks
+        yield from _in_pieces(_rows(k[shared], d[shared], True))
         own = ~shared | lead
-        yield from _in_pieces(_rows(k[own], d[own], c[own]))
+        yield from _in_pieces(_rows(k[own], d[own], False))
         held.clear()
 
     for batch in slices(batches):
         batch = batch.filter(batch.column("doc").is_valid())
         docs = _Docs(batch.column("doc").to_pylist(), text_bytes(batch.column("text")))
-        use = _IS_COVER[docs.pos % PERIOD] & (docs.left >= ANCHOR) & (docs.pos + docs.left >= WINDOW)
-        held.append((docs.windows(ANCHOR)[use], docs.doc[use], docs.pos[use] // PERIOD))
+        use = docs.covered()
+        held.append((docs.windows(ANCHOR)[use], docs.doc[use]))
         if sum(len(x[0]) for x in held) > BUFFER:
             yield from settle()
     if held:
         yield from settle()
 
 
-def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition by anchor: the (document, period) that hold an anchor of several documents."""
-    held, out = [], pa.schema([("doc", pa.int64()), ("cell", pa.int32())])
+def _compared(batches: Iterator[pa.RecordBatch], all_sharers: bool) -> Iterator[pa.RecordBatch]:
+    """Of one partition ordered by (hash, document): the settled rows, and those of hashes of several documents, all of them
+    or all but the first document's."""
 
-    def cells(doc, cell):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(cell.astype(np.int32))], schema=out)
+    def found(d, k):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k)], schema=_FOUND)
 
+    k, d = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        key, doc, at = (batch.column(i).to_numpy() for i in range(3))
-        done = at < 0
-        if done.any():
-            pairs = np.unique(np.stack([doc[done], -1 - at[done]]), axis=1)
-            yield cells(*pairs)
-        held.append((key[~done], doc[~done], at[~done]))
-    if held:
-        key, doc, at = (np.concatenate(x) for x in zip(*held))
-        order, _, low, high = _groups(key, doc)
-        shared = order[low != high]
-        if len(shared):
-            yield cells(*np.unique(np.stack([doc[shared], at[shared]]), axis=1))
+        route, doc, key = (batch.column(i).to_numpy() for i in range(3))
+        done = route != key
+        yield found(doc[done], key[done])
+        k, d = np.r_[k, key[~done]], np.r_[d, doc[~done]]
+        cut = np.searchsorted(k, k[-1]) if len(k) else 0  # the last hash may go on in the next batch
+        yield from _chosen(k[:cut], d[:cut], all_sharers, found)
+        k, d = k[cut:], d[cut:]
+    yield from _chosen(k, d, all_sharers, found)
+
+
+def _chosen(key: np.ndarray, doc: np.ndarray, all_sharers: bool, found) -> Iterator[pa.RecordBatch]:
+    k, d, _, low, high = _groups(key, doc)
+    own = low != high if all_sharers else d != low
+    if own.any():
+        yield found(d[own], k[own])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def settle():
-        key, doc, at = (np.concatenate(x) for x in zip(*held))
-        order, _, low, _ = _groups(key, doc)
-        k, d, a = key[order], doc[order], at[order]
+        k, d, _, low, _ = _groups(*(np.concatenate(x) for x in zip(*held)))
         later = d > low
-        yield from _in_pieces(_rows(mix(d[later].view(np.uint64), a[later].view(np.uint64)), d[later], -1 - a[later]))
-        yield from _in_pieces(_rows(k[~later], d[~later], a[~later]))
+        yield from _in_pieces(_rows(k[later], d[later], True))
+        yield from _in_pieces(_rows(k[~later], d[~later], False))
         held.clear()
 
     for batch in slices(batches):
-        batch = batch.filter(batch.column("cells").is_valid())
+        batch = batch.filter(batch.column("anchors").is_valid())
+        if not batch.num_rows:
+            continue
         docs = _Docs(batch.column("doc").to_pylist(), text_bytes(batch.column("text")))
+        hashes, use = docs.windows(ANCHOR).view(np.int64), docs.covered()
         marked = np.zeros(len(docs.pos), bool)
-        for start, size, cells in zip(docs.starts, docs.sizes, batch.column("cells").to_pylist()):
+        for start, size, anchors in zip(docs.starts, docs.sizes, batch.column("anchors")):
+            at = np.flatnonzero(use[start : start + size])
+            at = at[np.isin(hashes[start + at], anchors.values.to_numpy())]
             own = np.zeros(size // PERIOD + 2, bool)
-            own[[c for c in cells if c < len(own)]] = True
+            own[at // PERIOD] = True
             own[:-1] |= own[1:]  # a window may start up to 30 words before its anchor
             marked[start : start + size] = np.repeat(own, PERIOD)[:size]
         use = marked & (docs.left >= WINDOW)
-        key = docs.windows(WINDOW)[use]
-        # 16 bits of the hash tell apart the texts of rows that repeat a doc_id
-        held.append((key, docs.doc[use], (docs.pos[use] << 16) | (key & np.uint64(0xFFFF)).astype(np.int64)))
+        held.append((docs.windows(WINDOW)[use], docs.doc[use]))
         if sum(len(x[0]) for x in held) > BUFFER:
             yield from settle()
     if held:
         yield from settle()
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition by window: the starts in other than the first document."""
-    held, out = [], pa.schema([("doc", pa.int64()), ("at", pa.int64())])
-    for batch in batches:
-        key, doc, at = (batch.column(i).to_numpy() for i in range(3))
-        done = at < 0
-        if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(-1 - at[done])], schema=out)
-        held.append((key[~done], doc[~done], at[~done]))
-    if held:
-        key, doc, at = (np.concatenate(x) for x in zip(*held))
-        order, _, low, _ = _groups(key, doc)
-        gone = order[doc[order] > low]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(at[gone])], schema=out)
-
-
-def kept_text(text: bytes, starts: list[int] | None) -> tuple[list[bytes], np.ndarray]:
-    """Words of a text and which of them stay, given the removed windows' starts (with 16 bits of their hashes)."""
+def kept_text(text: bytes, gone: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+    """Words of a text and which of them stay, given the hashes of the windows to remove."""
     words = text.split()
     keep = np.ones(len(words), bool)
-    if starts:
-        at = np.array(starts, np.int64)
-        pos, bits = at >> 16, (at & 0xFFFF).astype(np.uint64)
-        if len(words) >= WINDOW:
-            own = window_hashes(word_hashes(words), WINDOW) & np.uint64(0xFFFF)
-            ok = pos < len(own)
-            pos = pos[ok][own[pos[ok]] == bits[ok]]
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, pos, 1)
-            np.add.at(edge, pos + WINDOW, -1)
-            keep = np.cumsum(edge)[:-1] == 0
+    if gone is not None and len(words) >= WINDOW:
+        pos = np.flatnonzero(np.isin(window_hashes(word_hashes(words), WINDOW).view(np.int64), gone))
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, pos, 1)
+        np.add.at(edge, pos + WINDOW, -1)
+        keep = np.cumsum(edge)[:-1] == 0
     return words, keep
 
 
@@ -203,8 +201,8 @@ def _rewrite(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
         n, gone, kept, sha = [], [], [], []
         raw = text_bytes(batch.column("text"))
         nulls = batch.column("text").is_null().to_pylist()
-        for text, null, starts in zip(raw, nulls, batch.column("starts").to_pylist()):
-            words, keep = kept_text(text, starts)
+        for text, null, windows in zip(raw, nulls, batch.column("windows")):
+            words, keep = kept_text(text, windows.values.to_numpy() if windows.is_valid else None)
             some = not keep.all()
             joined = b" ".join([w for w, k in zip(words, keep) if k] if some else words)
             n.append(len(words))
@@ -223,18 +221,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row (a struct of the carried columns), n_words, n_removed and kept: the new text, or the old one where nothing went."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    anchors = base.mapInArrow(_anchors, _ROWS_DDL)
-    cells = anchors.repartition(parts, "key").mapInArrow(_shared_cells, "doc long, cell int")
-    cells = cells.groupBy("doc").agg(F.collect_set("cell").alias("cells"))
+    compared = lambda rows, all_sharers: rows.repartition(parts, "route").sortWithinPartitions("hash", "doc").mapInArrow(lambda it: _compared(it, all_sharers), "doc long, hash long")
+    shared = compared(base.mapInArrow(_anchors, _ROWS_DDL), True).groupBy("doc").agg(F.collect_set("hash").alias("anchors"))
     # A left join, as below, so that Spark shuffles the texts once and reuses that exchange.
-    near = base.repartition(parts, "doc").join(cells, "doc", "left").select("doc", "text", "cells")
-    later = near.mapInArrow(_windows, _ROWS_DDL).repartition(parts, "key").mapInArrow(_later, "doc long, at long")
-    starts = later.groupBy("doc").agg(F.collect_set("at").alias("starts"))
+    near = base.repartition(parts, "doc").join(shared, "doc", "left").select("doc", "text", "anchors")
+    windows = compared(near.mapInArrow(_windows, _ROWS_DDL), False).groupBy("doc").agg(F.collect_set("hash").alias("windows"))
     if carry is None:
-        both = base.repartition(parts, "doc").join(starts, "doc", "left").select("doc", "text", "starts")
+        both = base.repartition(parts, "doc").join(windows, "doc", "left").select("doc", "text", "windows")
         return both.mapInArrow(lambda it: _rewrite(it, False), "doc long, n_words long, n_removed long, kept_sha256 string")
-    full = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row"))
-    both = full.repartition(parts, "doc").join(starts, "doc", "left").select("doc", "row", "text", "starts")
+    full = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("row"))
+    both = full.repartition(parts, "doc").join(windows, "doc", "left").select("doc", "row", "text", "windows")
     ddl = both.schema["row"].dataType.simpleString()
     return both.mapInArrow(lambda it: _rewrite(it, True), f"doc long, row {ddl}, n_words long, n_removed long, kept string")
 
