@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialise, mix, slices, text_bytes, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -156,20 +157,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, similarity: fl
     return materialise(both.mapInArrow(lambda it: _verify(it, similarity), "a long, b long").distinct(), "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, for the nodes of ``edges`` (a, b)."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = materialise(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("old <> label").isEmpty():
-            return labels
-
-
 def _link_block(table: pa.Table, similarity: float) -> pa.Table:
     """The similar pairs of different components among one block's rows, each in the first band that it shares only."""
     nodes, labels, band = (table.column(c).to_numpy() for c in ("node", "label", "band"))

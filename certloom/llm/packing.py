@@ -11,7 +11,7 @@ Tokens: byte-level BPE of the file ``byte_bpe_50k.json``, computed from its rank
 the end-of-text string treated as the tokenizer itself treats it. A document is its ids and then id 2.
 
 Defined cases: null text counts as empty (one piece of one token); repeated rows are packed each; a null id is kept;
-an empty table gives no rows; other columns are not read.
+very long texts are cut into full pieces; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ merges cross neither a boundary before a space mark nor a byte-fallback characte
 remembered within a task (bounded), as most repeat.
 
 Defined cases: null counts as empty; an empty text gives the begin and end ids alone; characters outside the vocabulary
-become the byte pieces of their UTF-8 form; repeated rows give repeated results; other columns are not read.
+become the byte pieces of their UTF-8 form; repeated rows give repeated results; a null id is kept; very
+long texts are encoded whole; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

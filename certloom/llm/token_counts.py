@@ -10,7 +10,8 @@ No unigram vocabulary is on the box: the pieces and scores of ``piece_bpe_32k.mo
 pieces have no text of their own). Texts are cut before each space, as the library's space-mark splitter does, so the
 scores of one chunk are added exactly.
 
-Defined cases: null and empty texts count 0; repeated rows are counted each; other columns are not read.
+Defined cases: null and empty texts count 0; repeated rows are counted each; a null id is kept; very long texts are
+counted whole; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

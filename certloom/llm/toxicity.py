@@ -1,16 +1,18 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, in disjoint parts: remainders 1 and 2 give the
-lexicon (words, and beginnings of words for inflected ones, found mostly in toxic texts), 3 grows the trees, 4
-calibrates; scoring then uses the lexicon of all four parts. At most SAMPLE labelled rows are used, those of the smallest hash; this bound also bounds the one broadcast
-(ids and labels of the sample). Every text is then scored in one pass, without a shuffle.
+Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, in disjoint parts: remainders 1 and 2 give a first
+lexicon (words, and beginnings of words for inflected ones, found mostly in toxic texts), under which 3 grows the trees; 1 to 3
+give the lexicon that scores, under which 4 calibrates. So neither trees nor calibration see texts that their lexicon was learnt from, and the
+calibration belongs to the features that are scored. At most SAMPLE labelled rows are used, those of the smallest hash; this bound also
+bounds the one broadcast (ids and labels of the sample) and the lexicon. Every text is then scored in one pass, without a shuffle.
 
 Features of a whole text: density and number of strong and weak lexicon words, words that are in the lexicon only
 after undoing obfuscation (digits and signs for letters, repeated letters), lexicon words within five words of a
 second-person word, second-person density, capitals, words all in capitals, punctuation, exclamation marks, words that
 mix letters with digits or signs, repeated letters, and the length.
 
-Defined cases: null and empty texts have all densities 0 and are scored too; rows without a usable label only get a
+Defined cases: null and empty texts have all densities 0 and are scored too; very long texts are read whole, one after another; an empty table of
+documents gives no rows; rows without a usable label only get a
 score; labels that repeat a doc_id count once, toxic if any says so; a null doc_id is not held out and is never learnt
 from; where labels lack one of the classes, scores are the share of toxic rows (0 without rows); columns other than the
 text never enter a score.
@@ -36,8 +38,6 @@ from .common import Memo, materialise, slices
 #: Labelled rows that are learnt from at most, over all parts.
 SAMPLE = 40_000
 LEXICON_PARTS, TREE_PART, CALIBRATION_PART = (1, 2), 3, 4
-#: Words and beginnings in each tier of the learnt lexicon at most: a bound of the model, not of the data it sees.
-LEXICON_SIZE = 3000
 BEGINNINGS = (4, 5, 6)
 NEAR = 5
 
@@ -93,7 +93,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[frozenset, frozenset]:
     tiers = []
     for low, high in ((0.9, 1.01), (max(0.5, min(0.89, 3 * share)), 0.9)):
         best = tokens.filter((F.col("rate") >= low) & (F.col("rate") < high))
-        tiers.append(frozenset(r["token"] for r in best.orderBy(F.desc("toxic"), "token").limit(LEXICON_SIZE).collect()))
+        tiers.append(frozenset(r["token"] for r in best.select("token").collect()))  # bounded by the sample
     return tiers[0] | SEED_WORDS, tiers[1]
 
 
@@ -201,19 +201,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialise(texts.join(F.broadcast(bounded), "id"), "labelled")
     lexicon = learn_lexicon(rows.filter(F.col("part").isin(*LEXICON_PARTS)))
-    own = with_features(rows.filter(F.col("part").isin(TREE_PART, CALIBRATION_PART)), "text", lexicon, ["toxic", "part"])
+    scoring = learn_lexicon(rows.filter(F.col("part") != CALIBRATION_PART))
+    seen = lambda part, words: with_features(rows.filter(F.col("part") == part), "text", words, ["toxic", "part"])
+    own = seen(TREE_PART, lexicon).union(seen(CALIBRATION_PART, scoring))
     own = materialise(own.select(F.col("row.toxic").alias("label"), F.col("row.part").alias("part"), *FEATURES), "features")
     counts = {(r["part"], r["label"]): r["count"] for r in own.groupBy("part", "label").count().collect()}
     both = lambda part: all(counts.get((part, y), 0) for y in (0.0, 1.0))
     if not both(TREE_PART):
-        return Toxicity(lexicon, None, None, sum(n for (_, y), n in counts.items() if y) / max(1, sum(counts.values())))
+        return Toxicity(scoring, None, None, sum(n for (_, y), n in counts.items() if y) / max(1, sum(counts.values())))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=15, maxDepth=3, stepSize=0.3, seed=7, maxMemoryInMB=256).fit(vector.transform(own.filter(F.col("part") == TREE_PART)).select("features", "label").coalesce(4))
-    model = Toxicity(lexicon, trees, None, 0.0)
+    model = Toxicity(scoring, trees, None, 0.0)
     if both(CALIBRATION_PART):
         model.isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(model._raw(own.filter(F.col("part") == CALIBRATION_PART)).select("raw", "label"))
-    # trees and calibration saw texts that their lexicon was not learnt from; scoring uses all that may be learnt
-    model.lexicon = learn_lexicon(rows)
     return model
 
 

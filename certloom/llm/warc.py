@@ -5,13 +5,13 @@ inflates such a file once, as a stream, cuts it into records, writes each as its
 index of offsets beside the archive. Records are then read by seeking.
 
 Tasks write to new names in the shared folder and tell their files as rows; the rows are written as a table before they
-are used, so files of lost or repeated attempts are never read. No file or payload passes through the driver, and a
-task holds one record at a time.
+are used, so files of lost or repeated attempts are never read. No file or payload passes through the driver. A task holds
+a few rows at a time: ROWS_AT_ONCE when it writes, and when it reads the records since OUT_BYTES of them went on, beside Spark's own batch.
 
 Defined cases: a null payload is empty; of records with equal payloads the one with the smallest page_id (null last, then
 any one of repeated rows) is the response and the others revisit it; payloads shorter than ``least`` bytes are
 all responses; line breaks and spaces in URLs are percent-encoded and a null URL is left out; a null page_id stays null;
-other columns are not read; an empty table gives no archive.
+very long payloads are one record each, held whole; other columns are not read, whatever their names; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, slices
 
 #: Inflated bytes after which a task starts another archive.
 ARCHIVE_BYTES = 128 << 20
 CHUNK = 1 << 20
+ROWS_AT_ONCE, OUT_BYTES = 32, 8 << 20
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -137,7 +138,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         fs, base = file_system(folder)
         out = pack = None
         done, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, ROWS_AT_ONCE):
             for row in batch.to_pylist():
                 if out is None:
                     name = f"raw-{uuid.uuid4().hex}.warc.gz"
@@ -180,8 +181,9 @@ def read_records(index: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple = (None, None)
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for batch in batches:
-            out = []
+            out, held = [], 0
             for row in batch.to_pylist():
                 if opened[0] != row["path"]:
                     if opened[1]:
@@ -204,7 +206,11 @@ def read_records(index: DataFrame) -> DataFrame:
                     "record_type": fields["WARC-Type"],
                     "refers_to": int(fields["Page-Refers-To"]) if "Page-Refers-To" in fields else None,
                 })
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
+                held += 0 if revisit else size
+                if held > OUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, held = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = index.filter(F.col("type").isin("response", "revisit")).repartition(parts, "path", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("path", "offset")
