@@ -112,8 +112,27 @@ def a08_coverage(spark, sf):
 @query(f"""WITH s AS (SELECT us, CASE WHEN us - lag(us) OVER (ORDER BY us) >= {GAP_US} THEN 1 ELSE 0 END AS new FROM {MESSAGES}), n AS (SELECT us, sum(new) OVER (ORDER BY us ROWS UNBOUNDED PRECEDING) AS seg FROM s)
  SELECT min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM n GROUP BY seg""")
 def t10_segments(spark, sf):
-    m = messages(spark, sf).select("us", F.timestamp_micros("us").alias("ts"))
-    return m.groupBy(F.session_window("ts", "299999999 microseconds")).agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.count("*").alias("n")).select("start_us", "last_us", "n")
+    return segments(messages(spark, sf).select("us"))
+
+
+def segments(stream: DataFrame, time: str = "us", bucket_us: int = 86_400_000_000, gap_us: int = GAP_US) -> DataFrame:
+    """(start_us, last_us, n) of stretches without a silence (T10). Stretches are found within days; those that go on across
+    the edge of days are put together by one row a day."""
+    days = stream.select(F.floor(F.col(time) / bucket_us).alias("day"), F.col(time).alias("t"))
+    w = Window.partitionBy("day").orderBy("t")
+    new = F.coalesce((F.col("t") - F.lag("t").over(w) >= gap_us).cast("int"), F.lit(0))
+    inside = days.withColumn("new", new).withColumn("part", F.sum("new").over(w)).groupBy("day", "part").agg(F.min("t").alias("start"), F.max("t").alias("last"), F.count("*").alias("n"))
+    edges = inside.groupBy("day").agg(F.min("start").alias("first"), F.max("last").alias("end"), F.max("part").alias("parts"))
+    order = Window.orderBy("day")  # one row a day
+    apart = F.coalesce((F.col("first") - F.lag("end").over(order) >= gap_us).cast("int"), F.lit(0))
+    more = (F.col("parts") > 0).cast("int")
+    chains = edges.withColumn("apart", apart).withColumn("after", F.sum(F.col("apart") + more).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chains.select("day", "parts", "after", (F.col("after") - more).alias("before"))
+    # the first stretch of a day belongs to the chain that comes in, the last to the one that goes out, others to themselves
+    chain = F.when(F.col("part") == 0, F.col("before")).when(F.col("part") == F.col("parts"), F.col("after"))
+    own = F.when(chain.isNull(), F.struct("day", "part"))
+    joined = inside.join(chains, "day").groupBy(chain.alias("chain"), own.alias("own")).agg(F.min("start").alias("start_us"), F.max("last").alias("last_us"), F.sum("n").alias("n"))
+    return joined.select("start_us", "last_us", "n")
 
 
 @query(f"""SELECT max(us - prev) AS gap_us, max_by(us, us - prev) AS at_us FROM (SELECT us, lag(us) OVER (ORDER BY us) AS prev FROM (SELECT DISTINCT us FROM {MESSAGES} WHERE value >= 90))""")
@@ -146,12 +165,10 @@ def j12_lead_time(spark, sf):
  SELECT n, CASE WHEN n >= 10 THEN max(x) FILTER (rn = floor(0.5 * (n - 1) + 0.5) + 1) END AS median_us, CASE WHEN n >= 10 THEN max(x) FILTER (rn = floor(0.25 * (n - 1) + 0.5) + 1) END AS p25_us,
  CASE WHEN n >= 10 THEN max(x) FILTER (rn = floor(0.75 * (n - 1) + 0.5) + 1) END AS p75_us, CASE WHEN n >= 10 THEN max(x) END AS max_us, CASE WHEN n >= 10 THEN 'measured' ELSE 'withheld' END AS status FROM r GROUP BY n""")
 def a24_lead_time_summary(spark, sf):
-    from .metrics import ranked
+    from .metrics import half_up, percentiles
 
-    r = ranked(j12_lead_time(spark, sf).withColumn("all", F.lit(1)), ["all"], "lead_us")
-    at = lambda q: F.max(F.when(F.col("rn") == F.floor(q * (F.col("n") - 1) + 0.5) + 1, F.col("lead_us")))
     enough = lambda c: F.when(F.col("n") >= 10, c)
-    out = r.groupBy("n").agg(at(0.5).alias("m"), at(0.25).alias("a"), at(0.75).alias("b"), F.max("lead_us").alias("x"))
+    out = percentiles(j12_lead_time(spark, sf).withColumn("all", F.lit(1)), ["all"], "lead_us", {"m": half_up(0.5), "a": half_up(0.25), "b": half_up(0.75)}).withColumnRenamed("largest", "x")
     return out.select("n", enough(F.col("m")).alias("median_us"), enough(F.col("a")).alias("p25_us"), enough(F.col("b")).alias("p75_us"), enough(F.col("x")).alias("max_us"), F.when(F.col("n") >= 10, "measured").otherwise("withheld").alias("status"))
 
 
@@ -171,10 +188,21 @@ def j14_previous_poll(spark, sf):
 
 @query(f"SELECT l.cert, count(g.start_us) AS gaps FROM {LISTED} l LEFT JOIN {GAPS} g ON g.start_us < l.listed AND g.end_us > l.seen WHERE l.listed > l.seen GROUP BY l.cert")
 def j15_gap_overlap(spark, sf):
-    g = gaps(messages(spark, sf))
-    l = lead_times(spark, sf).filter("listed > seen")
-    # Spark broadcasts the gaps only while they are small; a range join of the two otherwise
-    return l.join(g, (g.start_us < l.listed) & (g.end_us > l.seen), "left").groupBy("cert").agg(F.count("start_us").alias("gaps"))
+    """Silences are disjoint, so those that overlap an interval are those that start before its end less those that end by its
+    start. Both are running counts within days plus the counts of the days before; no pair of interval and silence is formed."""
+    g, l = gaps(messages(spark, sf)), lead_times(spark, sf).filter("listed > seen")
+    none, zero, one = F.lit(None).cast("long"), F.lit(0), F.lit(1)
+    row = lambda t, side, cert, starts, ends, sign: F.struct(F.col(t).alias("t"), side.alias("side"), cert.alias("cert"), starts.alias("starts"), ends.alias("ends"), sign.alias("sign"))
+    # at equal times: ends, then the intervals' own times, then starts
+    points = g.select(F.inline(F.array(row("start_us", F.lit(2), none, one, zero, zero), row("end_us", zero, none, zero, one, zero))))
+    asked = l.select(F.inline(F.array(row("listed", one, F.col("cert"), zero, zero, one), row("seen", one, F.col("cert"), zero, zero, F.lit(-1)))))
+    both = points.union(asked).withColumn("day", F.floor(F.col("t") / 86_400_000_000))
+    upto = Window.partitionBy("day").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("s", F.sum("starts").over(upto)).withColumn("e", F.sum("ends").over(upto)).filter("sign <> 0")
+    order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = both.groupBy("day").agg(F.sum("starts").alias("ds"), F.sum("ends").alias("de")).select("day", F.coalesce(F.sum("ds").over(order), zero).alias("bs"), F.coalesce(F.sum("de").over(order), zero).alias("be"))
+    count = F.when(F.col("sign") == 1, F.col("s") + F.col("bs")).otherwise(-(F.col("e") + F.col("be")))
+    return inside.join(days, "day").groupBy("cert").agg(F.sum(count).alias("gaps"))
 
 
 @query(f"SELECT operator, us // 5000000 * 5000000 AS start_us, count(*) AS certs, round(sum(value), 4) AS total FROM {MESSAGES} GROUP BY 1, 2")

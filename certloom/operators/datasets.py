@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..tables import HOSTS, hosts, table
-from .metrics import nearest_rank
+from .metrics import floor_index, nearest_rank
 
 
 @query(f"SELECT key, min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(host, '[0-9]+', '#', 'g') AS key FROM {HOSTS}) GROUP BY 1")
@@ -29,7 +29,7 @@ def l03_counts_with_stop_rule(spark, sf):
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM labels) SELECT doc_id, doc_id >= (SELECT doc_id FROM r WHERE rn = floor(0.67 * (n - 1)) + 1) AS test FROM labels")
 def l04_temporal_split(spark, sf):
     l = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("all"))
-    cut = nearest_rank(l, ["all"], "doc_id", 0.67, "floor").select(F.col("value").alias("cut"))
+    cut = nearest_rank(l, ["all"], "doc_id", 0.67, floor_index).select(F.col("value").alias("cut"))
     return l.crossJoin(cut).select("doc_id", (F.col("doc_id") >= F.col("cut")).alias("test"))
 
 

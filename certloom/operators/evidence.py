@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -12,10 +12,14 @@ from ..tables import table
 
 def merkle_roots(leaves: DataFrame, group: str, name: str, sha: str) -> DataFrame:
     """(group, root) over the name-sorted leaves of each group; all groups advance together, an odd node is promoted."""
-    from pyspark.sql import Window
-
     leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.col(name).cast("binary"), F.unhex(F.lit("00")), F.unhex(sha)), 256)
-    level = leaves.select(group, (F.row_number().over(Window.partitionBy(group).orderBy(name)) - 1).alias("i"), leaf.alias("h"))
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of (group, name), so a large group is numbered by several tasks: its place in the range, and the counts of ranges before
+    ranged = materialise(leaves.select(group, name, leaf.alias("h")).repartitionByRange(parts, group, name).withColumn("part", F.spark_partition_id()), "leaves")
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "part").agg(F.count("*").alias("n")).select(group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(group, "part").orderBy(name)) - 1
+    level = ranged.withColumn("own", place).join(counts, [group, "part"]).select(group, (F.col("before") + F.col("own")).alias("i"), "h")
     level = materialise(level, "merkle")
     while (level.agg(F.max("i")).first()[0] or 0) > 0:
         half = level.groupBy(group, F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", F.col("i")).alias("l"), F.max_by("h", F.col("i")).alias("r"), F.count("*").alias("n"))

@@ -112,11 +112,10 @@ def t12_retry_queue(spark, sf):
  SELECT operator, slot, max(value) FILTER (rn = round_even(0.5 * (n - 1), 0) + 1) AS p50, max(value) FILTER (rn = round_even(0.95 * (n - 1), 0) + 1) AS p95, n FROM r GROUP BY operator, slot, n""")
 def a39_endpoint_latency(spark, sf):
     """Half-even percentiles of each operator in windows of five minutes, which bound the ordered groups."""
-    from .metrics import ranked
+    from .metrics import half_even, percentiles
 
     m = messages(spark, sf).select("operator", F.floor(F.col("us") / 300_000_000).alias("slot"), "value")
-    at = lambda q: F.max(F.when(F.col("rn") == F.bround(F.lit(q) * (F.col("n") - 1)) + 1, F.col("value")))
-    return ranked(m, ["operator", "slot"], "value").groupBy("operator", "slot", "n").agg(at(0.5).alias("p50"), at(0.95).alias("p95")).select("operator", "slot", "p50", "p95", "n")
+    return percentiles(m, ["operator", "slot"], "value", {"p50": half_even(0.5), "p95": half_even(0.95)}).select("operator", "slot", "p50", "p95", "n")
 
 
 @query(f"SELECT domain, node, weight FROM (SELECT domain, e.node, weight, row_number() OVER (PARTITION BY domain ORDER BY weight DESC, n DESC, e.node) AS r FROM {EDGES} e JOIN (SELECT node, count(*) AS n FROM {EDGES} GROUP BY 1) c ON c.node = e.node) WHERE r = 1")

@@ -9,18 +9,48 @@ from ..catalog import query
 from ..tables import MESSAGES, count_if, messages, table
 
 
-def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds rn (place of the value in its group) and n (size of the group)."""
-    counts = rows.groupBy(*keys).agg(F.count(value).alias("n"))
-    order = rows.filter(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    return order.join(counts, keys)
+#: Ranges of values that a group is counted in before one of them is ordered.
+RANGES = 4096
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float, index: str = "half_up") -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict) -> DataFrame:
+    """(keys, n, largest, and a column for each of ``places``): the values at 1-based places, each a function of the column n.
+
+    No group is ordered as a whole. Equal values are counted before the shuffle; a group is counted in RANGES ranges of equal width, running
+    counts over the ranges say which one holds a place, and only the distinct values of that range are ordered."""
+    own = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    extent = own.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("largest"))
+    width = F.col("largest") - F.col("low")
+    cell = F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("v") - F.col("low")) / width * RANGES))).otherwise(0).cast("int")
+    celled = own.join(extent, keys).withColumn("cell", cell)
+    run = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows a group
+    cells = celled.groupBy(*keys, "cell").agg(F.sum("c").alias("m")).withColumn("upto", F.sum("m").over(run))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("place")) for k, f in places.items()])).alias("p")
+    wanted = cells.join(extent.select(*keys, "n"), keys).select(*keys, "cell", "m", "upto", asked)
+    wanted = wanted.filter((F.col("p.place") <= F.col("upto")) & (F.col("p.place") > F.col("upto") - F.col("m")))
+    wanted = wanted.select(*keys, "cell", "p.name", (F.col("p.place") - F.col("upto") + F.col("m")).alias("left"))
+    inside = Window.partitionBy(*keys, "cell", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = celled.select(*keys, "cell", "v", "c").join(wanted, [*keys, "cell"]).withColumn("upto", F.sum("c").over(inside))
+    found = found.filter((F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("c")))
+    chosen = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in places])
+    return extent.select(*keys, "n", "largest").join(chosen, keys)
+
+
+def half_up(q: float):
+    return lambda n: F.floor(q * (n - 1) + 0.5) + 1
+
+
+def half_even(q: float):
+    return lambda n: F.bround(F.lit(q) * (n - 1)) + 1
+
+
+def floor_index(q: float):
+    return lambda n: F.floor(F.lit(q) * (n - 1)) + 1
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float, index=half_up) -> DataFrame:
     """(keys, value, n): the percentile by index floor(q(n-1)+0.5), or the half-even or floor variants."""
-    at = F.lit(q) * (F.col("n") - 1)
-    place = {"half_up": F.floor(at + 0.5), "half_even": F.bround(at), "floor": F.floor(at)}[index]
-    return ranked(rows, keys, value).filter(F.col("rn") == place + 1).select(*keys, F.col(value).alias("value"), "n")
+    return percentiles(rows, keys, value, {"at": index(q)}).select(*keys, F.col("at").alias("value"), "n")
 
 
 def _percentile_sql(q: float, index: str) -> str:
@@ -34,12 +64,12 @@ def a20_percentile_nearest(spark, sf):
 
 @query(_percentile_sql(0.5, "round_even({}, 0)"))
 def a21_percentile_half_even(spark, sf):
-    return nearest_rank(messages(spark, sf), ["operator"], "value", 0.5, "half_even")
+    return nearest_rank(messages(spark, sf), ["operator"], "value", 0.5, half_even)
 
 
 @query(_percentile_sql(0.99, "floor({})"))
 def a22_percentile_floor(spark, sf):
-    return nearest_rank(messages(spark, sf), ["operator"], "value", 0.99, "floor")
+    return nearest_rank(messages(spark, sf), ["operator"], "value", 0.99, floor_index)
 
 
 @query(f"""WITH s AS (SELECT cert, min(us) FILTER (operator='view') AS a, min(us) FILTER (operator='click') AS b, min(us) FILTER (operator='purchase') AS c FROM {MESSAGES} GROUP BY cert),
@@ -49,8 +79,8 @@ def a23_latency_stages(spark, sf):
     first = lambda op: F.min(F.when(F.col("operator") == op, F.col("us")))
     s = messages(spark, sf).groupBy("cert").agg(first("view").alias("a"), first("click").alias("b"), first("purchase").alias("c"))
     long = s.select(F.inline(F.array(F.struct(F.lit("seen_to_candidate").alias("stage"), (F.col("b") - F.col("a")).alias("x")), F.struct(F.lit("candidate_to_verdict").alias("stage"), (F.col("c") - F.col("b")).alias("x"))))).filter("x is not null")
-    at = lambda q: F.max(F.when(F.col("rn") == F.floor(q * (F.col("n") - 1) + 0.5) + 1, F.col("x")))
-    return ranked(long, ["stage"], "x").groupBy("stage", "n").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("x").alias("longest")).select("stage", "p50", "p95", "longest", "n")
+    found = percentiles(long, ["stage"], "x", {"p50": half_up(0.5), "p95": half_up(0.95)})
+    return found.select("stage", "p50", "p95", F.col("largest").alias("longest"), "n")
 
 
 SCORED = "(SELECT d.doc_id, d.n_chars / 20000.0 AS score, l.quality AS y, l.toxic AS hard, d.lang FROM documents d JOIN labels l USING (doc_id))"
