@@ -9,9 +9,9 @@ from ..catalog import query
 from ..tables import DEPENDENCIES, dependencies, table
 from .plans import GREEDY2, greedy
 
-#: What marks a password or one-time-code input.
-PASSWORD_INPUT = r"""<input\b[^>]*\btype\s*=\s*["']?password"""
-CODE_INPUT = r"""<input\b[^>]*(autocomplete\s*=\s*["']?one-time-code|\b(name|id|placeholder|aria-label)\s*=\s*["'][^"']*\b(otp|one[- ]time)\b)"""
+#: Attributes and words that mark an input for a one-time code.
+CODE_ATTRIBUTES, CODE_WORDS = ("name", "id", "placeholder", "aria-label"), ("otp", "one time", "one-time")
+INPUT = r"(?is)<input\b[^>]*>"
 FORM = r"(?is)<form\b.*?(?=</form|<form\b|$)"
 
 
@@ -39,7 +39,7 @@ def forms(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         .when(action.rlike(r"^[?#]"), F.concat(base, action))
         .otherwise(F.concat(folder, action))
     )
-    out = found.select(F.col(id_col), "form", resolved.alias("action"), F.lower(F.coalesce(F.nullif(attribute(F.col("tag"), "method"), F.lit("")), F.lit("get"))).alias("method"), F.col("tag").rlike("(?is)" + PASSWORD_INPUT).alias("has_password"))
+    out = found.select(F.col(id_col), "form", resolved.alias("action"), F.lower(F.coalesce(F.nullif(attribute(F.col("tag"), "method"), F.lit("")), F.lit("get"))).alias("method"), F.exists(F.regexp_extract_all("tag", F.lit(INPUT), F.lit(0)), asks_password).alias("has_password"))
     return out.withColumn("host", F.lower(F.regexp_extract("action", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)))
 
 
@@ -59,16 +59,25 @@ def c18_form_counts(spark, sf):
     return pages.select("page_id").join(n, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_forms"))
 
 
-CODE_SQL = CODE_INPUT.replace("'", "''")
-PASSWORD_SQL = PASSWORD_INPUT.replace("'", "''")
+def asks_password(tag):
+    return F.coalesce(F.startswith(F.lower(attribute(tag, "type")), F.lit("password")), F.lit(False))
+
+
+def asks_code(tag):
+    words = "(?i)(?<!\\w)(?:" + "|".join(CODE_WORDS) + ")(?!\\w)"
+    named = [F.coalesce(attribute(tag, a).rlike(words), F.lit(False)) for a in CODE_ATTRIBUTES]
+    out = F.coalesce(F.startswith(F.lower(attribute(tag, "autocomplete")), F.lit("one-time-code")), F.lit(False))
+    for n in named:
+        out = out | n
+    return out
 
 
 def credential_input(html):
-    """Whether a page asks for a password or one-time code; null pages do not."""
-    return F.coalesce(html.rlike("(?i)" + PASSWORD_INPUT) | html.rlike("(?i)" + CODE_INPUT), F.lit(False))
+    """Whether an input of a page asks for a password or one-time code; null pages do not."""
+    return F.coalesce(F.exists(F.regexp_extract_all(html, F.lit(INPUT), F.lit(0)), lambda t: asks_password(t) | asks_code(t)), F.lit(False))
 
 
-@query(f"SELECT page_id, coalesce(regexp_matches(html, '{PASSWORD_SQL}', 'i') OR regexp_matches(html, '{CODE_SQL}', 'i'), false) AS asks FROM pages")
+@query("SELECT page_id, coalesce(regexp_matches(html, '<input[^>]*(password|one-time-code|otp)', 'i'), false) AS asks FROM pages")
 def c24_credential_input(spark, sf):
     return table(spark, sf, "pages").select("page_id", credential_input(F.col("html")).alias("asks"))
 

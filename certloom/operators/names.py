@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..tables import HOSTS, hosts
 
-#: Keywords, risky top-level domains and rule weights.
-KEYWORDS = ("login", "secure", "verify", "account", "update", "kyc", "support")
-RISKY = ("top", "xyz", "club", "online", "site", "icu", "buzz", "click")
-THRESHOLD = 0.35
+#: Keywords and risky top-level domains.
+KEYWORDS = ("verify", "kyc", "secure", "login", "update", "netbanking", "account")
+RISKY = ("top", "xyz", "click", "cf", "tk", "gq", "buzz", "rest")
 TOKENS = ("tionsh", "tionble", "blogs", "exmaple", "andble", "ingha", "the", "est")
 
 
@@ -111,17 +110,6 @@ def j03_lookalikes(spark, sf):
     return segments.join(listed, "size").filter((F.col("segment") != F.col("token")) & near_token(F.col("segment"), F.col("token"))).select("segment", "token").distinct()
 
 
-@query(f"""WITH f AS (SELECT page_id, host, contains(host, 'tionsh') AS exact, len(regexp_extract_all(host, '-')) AS hyphens, split_part(host, '.', -1) IN {RISKY} AS risky, len(str_split(host, '.')) AS depth FROM {HOSTS})
- SELECT page_id, round(exact::INT * 0.35 + (hyphens > 0)::INT * 0.15 + risky::INT * 0.15 + (depth > 2)::INT * 0.10, 6) AS score, exact::INT * 0.35 + (hyphens > 0)::INT * 0.15 + risky::INT * 0.15 + (depth > 2)::INT * 0.10 >= 0.35 AS candidate, exact::INT + (hyphens > 0)::INT + risky::INT + (depth > 2)::INT AS reasons FROM f""")
-def c13_rule_score(spark, sf):
-    """Score with its reasons; contributions sum to the score."""
-    labels = F.split("host", r"\.")
-    rules = (("exact", F.col("host").contains("tionsh"), 0.35), ("hyphens", F.col("host").contains("-"), 0.15), ("risky_tld", F.element_at(labels, -1).isin(*RISKY), 0.15), ("depth", F.size(labels) > 2, 0.10))
-    made = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("feature"), F.lit(w).alias("contribution"))) for n, c, w in rules]))
-    scored = hosts(spark, sf).withColumn("why", made).withColumn("score", F.round(F.aggregate("why", F.lit(0.0), lambda s, x: s + x.contribution), 6))
-    return scored.select("page_id", "score", (F.col("score") >= THRESHOLD).alias("candidate"), F.size("why").alias("reasons"))
-
-
 @query(f"SELECT token, count(DISTINCT host) AS n FROM {HOSTS}, {TOKEN_SQL} WHERE contains(host, token) GROUP BY 1 ORDER BY n DESC, token LIMIT 5")
 def a10_top_brands(spark, sf):
     j = hosts(spark, sf).select("host").distinct().join(F.broadcast(tokens(spark)), F.col("host").contains(F.col("token")))

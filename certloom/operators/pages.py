@@ -51,10 +51,10 @@ def c22_page_predicates(spark, sf):
 SIGNALS = "(SELECT l_orderkey AS domain, CASE l_linenumber % 3 WHEN 0 THEN 'kit' WHEN 1 THEN 'icon' ELSE 'form' END AS name, CASE WHEN l_quantity > 35 THEN 'strong' WHEN l_quantity > 20 THEN 'moderate' ELSE 'weak' END AS strength, l_suppkey % 4 AS artifact FROM lineitem)"
 
 
-def signals(spark, sf):
+def signals(spark, sf, artifact=None):
     q, n = F.col("l_quantity"), F.col("l_linenumber") % 3
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("domain"), F.when(n == 0, "kit").when(n == 1, "icon").otherwise("form").alias("name"), F.when(q > 35, "strong").when(q > 20, "moderate").otherwise("weak").alias("strength"), (F.col("l_suppkey") % 4).alias("artifact")
+        F.col("l_orderkey").alias("domain"), F.when(n == 0, "kit").when(n == 1, "icon").otherwise("form").alias("name"), F.when(q > 35, "strong").when(q > 20, "moderate").otherwise("weak").alias("strength"), (F.col("l_suppkey") % 4 if artifact is None else artifact).alias("artifact")
     )
 
 
@@ -68,12 +68,3 @@ def j25_independent_strong(spark, sf):
     """Two strong signals of different names without a common artifact, by arrays of each domain's few signals."""
     s = signals(spark, sf).filter("strength = 'strong'").groupBy("domain").agg(F.collect_set(F.struct("name", "artifact")).alias("s"))
     return s.filter(F.exists("s", lambda a: F.exists("s", lambda b: (a["name"] < b["name"]) & (a["artifact"] != b["artifact"])))).select("domain")
-
-
-@query(f"SELECT domain, CASE WHEN s >= 2 THEN 'confirmed' WHEN s = 0 AND m = 0 THEN 'dismissed' ELSE 'candidate' END AS verdict, CASE WHEN s + m + w = 0 THEN 0 ELSE round(least(0.99, 0.5 + 0.2 * s + 0.08 * m + 0.02 * w), 2) END AS confidence FROM (SELECT domain, count(*) FILTER (strength = 'strong') AS s, count(*) FILTER (strength = 'moderate') AS m, count(*) FILTER (strength = 'weak') AS w FROM {SIGNALS} GROUP BY 1)")
-def c30_verdict(spark, sf):
-    n = lambda k: F.sum((F.col("strength") == k).cast("long"))
-    v = signals(spark, sf).groupBy("domain").agg(n("strong").alias("s"), n("moderate").alias("m"), n("weak").alias("w"))
-    s, m, w = F.col("s"), F.col("m"), F.col("w")
-    sure = F.round(F.least(F.lit(0.99), 0.5 + 0.2 * s + 0.08 * m + 0.02 * w), 2)
-    return v.select("domain", F.when(s >= 2, "confirmed").when((s == 0) & (m == 0), "dismissed").otherwise("candidate").alias("verdict"), F.when(s + m + w == 0, 0.0).otherwise(sure).alias("confidence"))

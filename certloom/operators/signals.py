@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from ..catalog import query
 from ..tables import HOSTS, MESSAGES, hosts, messages, table
 from .mail import ADDRESS
-from .names import ETLD_SQL, RISKY, SEG, TOKENS, etld1, suffix_table
+from .names import ETLD_SQL, SEG, TOKENS, etld1, suffix_table
 from .pages import SIGNALS, TAGS, signals, tags
 
 #: Letters of other scripts and their Latin look-alikes, members of visual classes, letter groups.
@@ -132,21 +132,6 @@ def c27_token_in_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.exists(F.array(*map(F.lit, LONG_TOKENS)), lambda t: F.contains(title, t)).alias("hit"))
 
 
-#: Families of endpoints that data may leave by.
-FAMILIES = (("telegram", r"api[.]telegram[.]org/bot[0-9]+"), ("discord", r"discord(?:app)?[.]com/api/webhooks/[0-9]+"), ("mail", r"mailto:[^<>\s]+"), ("call", r"track[(][0-9]+[)]"), ("form", r"action=[^<>\s]+"))
-
-
-@query(" UNION ALL ".join(f"SELECT page_id, '{k}' AS family, hit FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '{p}')) AS hit FROM pages)" for k, p in FAMILIES))
-def c25_endpoints(spark, sf):
-    """Distinct hits of each pattern family in one pass over the page."""
-
-    def hits(family, pattern):
-        found = F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)))
-        return F.transform(found, lambda h: F.struct(F.lit(family).alias("family"), h.alias("hit")))
-
-    return table(spark, sf, "pages").select("page_id", F.inline(F.concat(*[hits(*f) for f in FAMILIES])))
-
-
 @query(f"SELECT name, strength, CASE WHEN name = 'icon' AND strength = 'strong' THEN 'moderate' WHEN name = 'form' THEN 'weak' ELSE strength END AS effective, count(*) AS n FROM {SIGNALS} GROUP BY 1, 2, 3")
 def c28_effective_strength(spark, sf):
     """A configured ceiling can lower a signal, never raise it."""
@@ -235,15 +220,6 @@ def j20_icon_matches(spark, sf):
     return j.groupBy("l_suppkey").agg(hits("e").alias("exact"), hits("a").alias("any_brand"))
 
 
-@query(f"""SELECT page_id, concat_ws(',', CASE WHEN contains(host, 'tionsh') THEN 'exact' END, CASE WHEN contains(host, '-') THEN 'hyphens' END, CASE WHEN split_part(host, '.', -1) IN {RISKY} THEN 'risky_tld' END, CASE WHEN len(str_split(host, '.')) > 2 THEN 'depth' END) AS reasons FROM {HOSTS}""")
-def k08_ordered_reasons(spark, sf):
-    """Reasons by falling contribution, equal ones by name."""
-    labels = F.split("host", r"\.")
-    rules = (("depth", F.size(labels) > 2, 0.10), ("risky_tld", F.element_at(labels, -1).isin(*RISKY), 0.15), ("hyphens", F.col("host").contains("-"), 0.15), ("exact", F.col("host").contains("tionsh"), 0.35))
-    made = F.array_sort(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(-w).alias("w"), F.lit(n).alias("feature"))) for n, c, w in rules])))
-    return hosts(spark, sf).select("page_id", F.array_join(F.transform(made, lambda x: x.feature), ",").alias("reasons"))
-
-
 @query(f"SELECT domain, sum(CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) AS points FROM {SIGNALS} GROUP BY 1")
 def f01_sql_function(spark, sf):
     """A temporary SQL function, inlined by the optimizer."""
