@@ -20,5 +20,5 @@ def query(oracle: str | None = None):
     return add
 
 
-for _name in ("capture", "metrics", "relational", "names", "pages", "graph", "plans", "evidence", "mail", "datasets", "signals", "lookups", "forms", "triage", "exfil"):
+for _name in ("capture", "metrics", "relational", "names", "pages", "graph", "plans", "evidence", "mail", "datasets", "signals", "lookups", "forms", "triage", "exfil", "letters", "enrichment"):
     import_module(f"certloom.operators.{_name}")

@@ -92,12 +92,3 @@ def a12_campaign_summary(spark, sf):
 def a11_document(spark, sf):
     listed = F.array_sort(F.collect_list(F.struct("node", "weight")))
     return edges(spark, sf).groupBy("domain").agg(F.array_join(F.transform(listed, lambda x: F.concat(x.node.cast("string"), F.lit(":"), x.weight.cast("string"))), ",").alias("document"))
-
-
-@query(f"SELECT kind, count(*) AS n, round(sum(weight), 4) AS total FROM (SELECT 'ip' AS kind, 0.6 AS weight, s_suppkey FROM supplier UNION ALL SELECT 'nameserver', 0.35, s_suppkey FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT 'registrar', 0.15, s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY kind")
-def g01_edges_from_enrichment(spark, sf):
-    from ..tables import table
-
-    kinds = (("ip", 0.6, F.lit(True)), ("nameserver", 0.35, F.col("s_acctbal") > 5000), ("registrar", 0.15, F.col("s_acctbal") > 0))
-    made = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(w).alias("weight"))) for k, w, c in kinds]))
-    return table(spark, sf, "supplier").select(F.inline(made)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))

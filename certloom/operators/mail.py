@@ -18,19 +18,6 @@ def c38_address_domains(spark, sf):
     return d.select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("domains"))
 
 
-@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1))[:200]) AS links FROM pages")
-def c39_links(spark, sf):
-    """Ordered, distinct, at most 200 as the record format has it."""
-    return table(spark, sf, "pages").select("page_id", F.size(F.slice(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))), 1, 200)).alias("links"))
-
-
-@query("WITH s AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(text) > 400) AS strong, count(*) FILTER (length(text) > 200) AS any_signal FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN strong >= 2 THEN 'malicious' WHEN any_signal > 0 THEN 'suspicious' ELSE 'clean' END AS verdict FROM s")
-def c43_mail_verdict(spark, sf):
-    n = lambda c: F.sum(c.cast("int"))
-    s = table(spark, sf, "conversations").groupBy("conv_id").agg(n((F.col("role") == "user") & (F.length("text") > 400)).alias("strong"), n(F.length("text") > 200).alias("some"))
-    return s.select("conv_id", F.when(F.col("strong") >= 2, "malicious").when(F.col("some") > 0, "suspicious").otherwise("clean").alias("verdict"))
-
-
 @query("SELECT DISTINCT conv_id FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS prev FROM conversations) WHERE prev > turn")
 def w11_out_of_order_hops(spark, sf):
     hops = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("text").alias("at"), "turn"))), lambda x: x.turn).alias("t"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..tables import MICROS, count_if, table
+from ..tables import MESSAGES, MICROS, count_if, messages, table
 
 
 def keyset_page(rows: DataFrame, keys: list[str], cursor: tuple | None, n: int) -> DataFrame:
@@ -219,3 +219,17 @@ def m07_demo_removal(spark, sf):
     """Rows derived from demo rows go with them (J29): the kept table is an anti join."""
     demo = table(spark, sf, "orders").filter("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf, "lineitem").join(demo, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+
+
+def recent(rows: DataFrame, time: str, as_of, micros: int) -> DataFrame:
+    """Rows of the last ``micros`` before ``as_of`` (P13), a parameter, so that results can be had again."""
+    return rows.filter((F.col(time) > as_of - micros) & (F.col(time) <= as_of))
+
+
+@query(f"SELECT operator, count(*) FILTER (us > t - 3600000000) AS last_hour, count(*) FILTER (us > t - 86400000000) AS last_day, count(*) AS last_90_days FROM {MESSAGES}, (SELECT max(us) - 7200000000 AS t FROM {MESSAGES}) WHERE us <= t AND us > t - 7776000000000 GROUP BY operator")
+def p13_recent(spark, sf):
+    """Messages of the last hour, day and 90 days, as of two hours before the last one."""
+    m = messages(spark, sf)
+    as_of = m.agg(F.max("us") - 7_200_000_000).first()[0] or 0
+    within = lambda micros: F.count_if(F.col("us") > as_of - micros)
+    return recent(m, "us", F.lit(as_of), 7_776_000_000_000).groupBy("operator").agg(within(3_600_000_000).alias("last_hour"), within(86_400_000_000).alias("last_day"), F.count("*").alias("last_90_days"))

@@ -112,16 +112,6 @@ def c45_public_addresses(spark, sf):
     return a.withColumn("o", o).filter(F.array_max("o") <= 255).withColumn("n", n).select("doc_id", "ip", (~F.expr(NOT_PUBLIC)).alias("public"))
 
 
-@query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events")
-def c46_document_fields(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k int").k.alias("k"))
-
-
-@query("SELECT page_id, split_part(url, ':', 1) AS scheme, split_part(url, '/', 4) AS first FROM pages")
-def c47_record_fields(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme"), F.split_part("url", F.lit("/"), F.lit(4)).alias("first"))
-
-
 LONG_TOKENS = [t for t in TOKENS if len(t) > 3]
 TITLE = "<title>([^<]*)</title>"
 
@@ -141,38 +131,6 @@ def c28_effective_strength(spark, sf):
     return signals(spark, sf).groupBy("name", "strength", lowered.alias("effective")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) - turn AS hop, role FROM conversations")
-def c37_reversed_hops(spark, sf):
-    """Hops counted from the last one; the last is found by an aggregate, so a long conversation is not one task's."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return c.join(c.groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id").select("conv_id", "turn", (F.col("last") - F.col("turn")).alias("hop"), "role")
-
-
-@query("SELECT conv_id, array_to_string(list_filter(['assistant', 'system', 'tool', 'user'], lambda r: NOT list_contains(h, r)), ',') AS absent FROM (SELECT conv_id, list(DISTINCT role) AS h FROM conversations GROUP BY 1)")
-def c40_absent_headers(spark, sf):
-    tracked = F.array(*map(F.lit, ("assistant", "system", "tool", "user")))
-    has = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_set(F.when(F.array_contains(tracked, F.col("role")), F.col("role"))).alias("h"))
-    return has.select("conv_id", F.array_join(F.array_except(tracked, "h"), ",").alias("absent"))
-
-
-CLAIMS = ("ringwidget", "widget", "redring", "small", "bolt")
-
-
-@query("SELECT p_partkey, CASE " + " ".join(f"WHEN contains(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), '{c}') THEN '{c}'" for c in CLAIMS) + " END AS brand FROM part")
-def c41_claimed_brand(spark, sf):
-    squashed, first = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", ""), F
-    for c in CLAIMS:
-        first = first.when(squashed.contains(c), c)
-    return table(spark, sf, "part").select("p_partkey", first.alias("brand"))
-
-
-@query("SELECT conv_id, concat_ws(',', CASE WHEN bool_or(contains(text, '@')) THEN 'address' END, CASE WHEN max(length(text)) > 400 THEN 'long' END, CASE WHEN count(*) > 4 THEN 'many' END, CASE WHEN NOT bool_or(role = 'system') THEN 'unsigned' END) AS signals FROM conversations GROUP BY 1")
-def c42_mail_signals(spark, sf):
-    flags = (("address", F.bool_or(F.col("text").contains("@"))), ("long", F.max(F.length("text")) > 400), ("many", F.count("*") > 4), ("unsigned", ~F.bool_or(F.col("role") == "system")))
-    s = table(spark, sf, "conversations").groupBy("conv_id").agg(*[c.alias(k) for k, c in flags])
-    return s.select("conv_id", F.concat_ws(",", *[F.when(F.col(k), k) for k, _ in flags]).alias("signals"))
-
-
 @query(f"WITH k AS (SELECT DISTINCT suffix FROM {ETLD_SQL}), m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{ADDRESS}', 1))) AS suffix FROM documents) SELECT doc_id, count(k.suffix) AS confirmed, CASE WHEN count(k.suffix) > 0 THEN 'clean,malicious' ELSE 'clean' END AS history FROM m LEFT JOIN k USING (suffix) GROUP BY 1")
 def j18_rescored_mail(spark, sf):
     """Mail is judged anew where a sender's domain is among the confirmed ones; the history grows by one entry."""
