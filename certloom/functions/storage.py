@@ -28,8 +28,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared storage with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(stored: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
-    spark = stored.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(stored.sparkSession, stored.stored_at)
