@@ -29,6 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import delete, forget
 from .common import materialise, shared_dir, slices
 
 #: Inflated bytes after which a task starts another archive.
@@ -233,7 +234,13 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", F.col("sha1").alias("digest"),
         name(F.col("sha1"), F.col("row")).alias("name"), F.when(again, F.col("first.page_id")).alias("refers_id"), F.when(again, name(F.col("sha1"), F.col("first.row"))).alias("refers_name"),
     )
-    return read_records(normalise(write_archives(out, folder), folder))
+    # what is written is deleted as soon as what is made of it is written: the payloads, then the monolithic archives
+    paths = write_archives(out, f"{folder}/raw")
+    forget(rows)
+    forget(first)
+    index = normalise(paths, folder)
+    delete(pages.sparkSession, f"{folder}/raw")
+    return read_records(index)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
