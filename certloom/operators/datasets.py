@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions.storage import materialise
 from ..tables import HOSTS, hosts, table
 from .metrics import floor_index, nearest_rank
 
@@ -40,19 +42,30 @@ def l05_campaign_disjoint_split(spark, sf):
     return hosts(spark, sf).select("page_id", (F.pmod(F.xxhash64(key, F.lit(13)), F.lit(100)) < 30).alias("test"))
 
 
-@query()
-def l07_logistic_regression(spark, sf):
-    """Standardised, class-balanced logistic regression over name features; its coefficients as rows."""
+def regression(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, coefficient, share of all absolute coefficients) of a logistic regression of ``y`` on standardised columns, classes
+    weighted to equal sums, with the penalty of one row (L07, L08). Without rows of both classes all coefficients are 0."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    from .names import c02_name_features
+    spark = rows.sparkSession
+    n, share = rows.agg(F.count("y"), F.avg("y")).first()
+    values = [0.0] * len(names)
+    if n and 0 < share < 1:
+        weighed = rows.select("y", *[F.col(c).cast("double").alias(c) for c in names]).withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+        raw = VectorAssembler(inputCols=names, outputCol="raw").transform(weighed)
+        scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
+        model = LogisticRegression(labelCol="y", weightCol="w", maxIter=200, tol=1e-9, regParam=1.0 / n, standardization=False).fit(scaled)
+        values = [float(c) for c in model.coefficients]
+    total = sum(map(abs, values)) or 1.0
+    return spark.createDataFrame([(k, c, abs(c) / total) for k, c in zip(names, values)], "feature string, coefficient double, share double")
+
+
+@query()
+def l07_logistic_regression(spark, sf):
+    """Regression over the twelve features of triage (L06-L08): names that registrants make of hosts against the hosts themselves."""
+    from .triage import FEATURES, triage
 
-    names = ["segments", "hyphens", "longest", "depth", "digit_ratio"]
-    rows = c02_name_features(spark, sf).withColumn("y", (F.col("page_id") % 3 == 0).cast("double"))
-    share = rows.agg(F.avg("y")).first()[0] or 0.5
-    rows = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / max(1e-9, 1 - share))))
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
-    model = LogisticRegression(labelCol="y", weightCol="w", maxIter=20).fit(scaled)
-    total = sum(abs(c) for c in model.coefficients) or 1.0
-    return spark.createDataFrame([(n, float(c), float(abs(c) / total)) for n, c in zip(names, model.coefficients)], "feature string, coefficient double, share double")
+    real = hosts(spark, sf).select(F.col("host").alias("name")).distinct().withColumn("real", F.lit(True))
+    named = triage(spark, sf).join(real, "name", "left").withColumn("y", F.col("real").isNull().cast("double"))
+    return regression(materialise(named.select("y", *FEATURES), "features"), list(FEATURES))

@@ -42,13 +42,34 @@ def strong_components(e: DataFrame) -> DataFrame:
     return e.select("domain").distinct().join(found, "domain", "left").select("domain", F.coalesce("component", "domain").alias("component"))
 
 
+def sharing(medium: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links (a, b) that join the same components as all pairs which share two nodes or more, from distinct (node, component).
+
+    A node that a large share of the components holds would make pairs in its square, so no pairs are formed within a node. Components of
+    one node set are joined to the least of them first. Of the rest, one with at most ``limit`` nodes gives its pairs of nodes, and
+    the holders of a pair are joined to the least of them. One with more nodes is counted against the others; there are at most rows / limit
+    of these. With the root of the rows, the default, neither part exceeds rows^1.5."""
+    often = medium.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    held = materialise(medium.join(often, "node", "left_semi"), "held")
+    name = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in (1, 2)]
+    sets = materialise(held.groupBy("component").agg(F.count("*").alias("n"), *name).filter("n > 1"), "sets")
+    firsts = sets.groupBy("n", "set_1", "set_2").agg(F.min("component").alias("a"))
+    alike = sets.join(firsts, ["n", "set_1", "set_2"]).filter("a < component").select("a", F.col("component").alias("b"))
+    own = materialise(held.join(firsts.select(F.col("a").alias("component"), "n"), "component").select("node", "component", "n"), "held")
+    limit = limit or max(16, int(own.count() ** 0.5))
+    small, large = own.filter(F.col("n") <= limit), own.filter(F.col("n") > limit).select("node", "component")
+    pairs = small.join(small.select("component", F.col("node").alias("other")), "component").filter("node < other").select("node", "other", "component")
+    least = pairs.groupBy("node", "other").agg(F.min("component").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    near = pairs.join(least, ["node", "other"]).filter("a < component").select("a", F.col("component").alias("b"))
+    met = large.join(own.select("node", F.col("component").alias("other")), "node").filter("component <> other").groupBy("component", "other").agg(F.count("*").alias("n")).filter("n > 1")
+    return alike.union(near).union(met.select(F.least("component", "other").alias("a"), F.greatest("component", "other").alias("b"))).distinct()
+
+
 def merged_components(e: DataFrame) -> DataFrame:
     """Components that share two or more nodes of medium edges become one."""
     own = materialise(strong_components(e), "components")
     medium = e.filter((F.col("weight") >= MEDIUM) & (F.col("weight") < STRONG)).join(own, "domain").select("node", "component").distinct()
-    pairs = medium.join(medium.select("node", F.col("component").alias("other")), "node").filter("component < other")
-    links = pairs.groupBy("component", "other").agg(F.count("*").alias("n")).filter("n >= 2").select(F.col("component").alias("a"), F.col("other").alias("b"))
-    merged = components(links).select(F.col("node").alias("component"), F.col("label").alias("campaign"))
+    merged = components(sharing(medium)).select(F.col("node").alias("component"), F.col("label").alias("campaign"))
     return own.join(merged, "component", "left").select("domain", F.coalesce("campaign", "component").alias("campaign"))
 
 

@@ -44,8 +44,10 @@ def coverage(dep: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def co_coverage(dep: DataFrame) -> DataFrame:
-    """(campaign, a, b, both): domains of each node pair, a <= b (A32); the node sets of a domain are short."""
-    return dep.join(dep.select("campaign", "domain", F.col("node").alias("other")), ["campaign", "domain"]).filter("node <= other").groupBy("campaign", F.col("node").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("both"))
+    """(campaign, a, b, both): domains of each node pair, a <= b (A32). Pairs come from the distinct node sets and their counts, not from the
+    domains, and without a join."""
+    at = collapse(dep).select("campaign", "nodes", "domains", F.posexplode("nodes").alias("i", "a"))
+    return at.select("campaign", "a", F.explode(F.slice("nodes", F.col("i") + 1, F.size("nodes"))).alias("b"), "domains").groupBy("campaign", "a", "b").agg(F.sum("domains").alias("both"))
 
 
 GREEDY1 = "SELECT campaign, node, gain FROM (SELECT campaign, node, count(*) AS gain, row_number() OVER (PARTITION BY campaign ORDER BY count(*) DESC, node::VARCHAR) AS n FROM {} GROUP BY 1, 2) WHERE n = 1"
@@ -124,9 +126,10 @@ def k04_top_nodes(spark, sf):
 @query(f"""WITH d AS {DEPENDENCIES}, s AS (SELECT campaign, node, count(*) AS w FROM d GROUP BY 1, 2), c AS (SELECT x.campaign, x.node AS v, y.node AS u, count(*) AS n FROM d x JOIN d y USING (campaign, domain) WHERE x.node <> y.node GROUP BY 1, 2, 3)
  SELECT DISTINCT c.campaign, c.v AS node FROM c JOIN s a ON a.campaign = c.campaign AND a.node = c.v JOIN s b ON b.campaign = c.campaign AND b.node = c.u WHERE c.n = a.w AND (b.w > a.w OR (b.w = a.w AND c.u < c.v))""")
 def j28_dominated_nodes(spark, sf):
-    dep = dependencies(spark, sf)
-    size = dep.groupBy("campaign", "node").agg(F.count("*").alias("w"))
-    common = dep.join(dep.select("campaign", "domain", F.col("node").alias("u")), ["campaign", "domain"]).filter("node <> u").groupBy("campaign", "node", "u").agg(F.count("*").alias("n"))
+    both = materialise(co_coverage(dependencies(spark, sf)), "pairs")
+    size = both.filter("a = b").select("campaign", F.col("a").alias("node"), F.col("both").alias("w"))
+    way = lambda v, u: F.struct(F.col(v).alias("node"), F.col(u).alias("u"))
+    common = both.filter("a <> b").select("campaign", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("p"), F.col("both").alias("n")).select("campaign", "p.*", "n")
     j = common.join(size, ["campaign", "node"]).filter("n = w").join(size.select("campaign", F.col("node").alias("u"), F.col("w").alias("wu")), ["campaign", "u"])
     return j.filter("wu > w or (wu = w and u < node)").select("campaign", "node").distinct()
 

@@ -23,6 +23,8 @@ FREE_ISSUERS = ("let's encrypt", "zerossl")
 WEIGHTS = {"brand_token_exact": 0.35, "skeleton_exact": 0.75, "lookalike": 0.30, "homoglyph_hit": 0.30, "tld_risk": 0.15, "keyword_count": 0.15, "shape": 0.10}
 THRESHOLD = 0.35
 SHORT, NEAR = 3, 5
+#: The features of a name, in order.
+FEATURES = ("brand_token_exact", "min_edit_distance", "homoglyph_hit", "tld_risk", "keyword_count", "hyphen_count", "max_label_len", "digit_ratio", "subdomain_depth", "entropy", "issuer_is_free_ca", "san_count")
 #: Rows a dictionary may have; it goes into every task.
 MAX_TOKENS = 20_000
 
