@@ -197,14 +197,15 @@ def variants(spark, sf) -> DataFrame:
     return h.select(F.explode(made).alias("name")).distinct()
 
 
-def _rule_names(spark, sf) -> DataFrame:
-    return with_suffix(variants(spark, sf), _table(spark, RULES, "suffix string, kind string"))
+def _rule_names(spark, names: DataFrame) -> DataFrame:
+    return with_suffix(names, _table(spark, RULES, "suffix string, kind string"))
 
 
-def triage(spark, sf) -> DataFrame:
+def triage(spark, sf, names: DataFrame | None = None) -> DataFrame:
+    """Features, score and candidate flag of each distinct (name), those of ``variants`` if none are given."""
     issuer = F.element_at(_texts(list(ISSUERS)), F.length("name") % 4 + 1)
     rules = _table(spark, RULES, "suffix string, kind string")
-    names = _rule_names(spark, sf).withColumn("issuer", issuer).withColumn("san_count", F.length("name") % 7 + 1)
+    names = _rule_names(spark, variants(spark, sf) if names is None else names).withColumn("issuer", issuer).withColumn("san_count", F.length("name") % 7 + 1)
     f = features(names, Dictionary(_table(spark, BRANDS.items(), "token string, brand string")))
     popular = hosts(spark, sf).groupBy(F.col("host").alias("name")).agg(F.count("*").alias("n")).filter("n >= 9")
     return scored(f, allowlist(popular, _table(spark, ((x,) for x in LEGITIMATE), "name string"), rules), ("brandtld",))
@@ -247,7 +248,7 @@ TRIAGE_SQL = rf"""WITH s AS {_suffixed(_VARIANTS)}, a AS (SELECT DISTINCT etld1
 @query(f"SELECT name, suffix, etld1, known AND suffix = name AS is_suffix FROM {_suffixed(_VARIANTS)}")
 def p06_suffix_rules(spark, sf):
     """Registrable domains under exact, private, wildcard and exception rules, and which names are suffixes themselves."""
-    return _rule_names(spark, sf).select("name", "suffix", "etld1", (F.col("known") & (F.col("suffix") == F.col("name"))).alias("is_suffix"))
+    return _rule_names(spark, variants(spark, sf)).select("name", "suffix", "etld1", (F.col("known") & (F.col("suffix") == F.col("name"))).alias("is_suffix"))
 
 
 @query(f"{TRIAGE_SQL} SELECT name, score, score >= 0.35 AS candidate FROM z")

@@ -60,7 +60,7 @@ def log_times(lines: DataFrame) -> DataFrame:
     wrapped = (F.col("minutes") < F.lag("minutes").over(order) - BACK_MINUTES).cast("int")
     stamped = stamped.withColumn("wrapped", F.coalesce(wrapped, F.lit(0)))
     days = F.sum("wrapped").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    at = F.unix_seconds(F.col("day0").cast("timestamp")) + days * 86_400 + F.col("minutes") * 60
+    at = F.unix_date("day0").cast("long") * 86_400 + days * 86_400 + F.col("minutes") * 60
     kind = F.when(rest.contains("openphish:"), "poll").when(rest.startswith("{"), "stats").otherwise("other")
     loose = F.when(F.col("value").startswith("reconnecting after"), "reconnect").when(F.col("value").startswith("openphish poll failed"), "poll_failed")
     bare = lines.filter(~F.col("value").rlike(STAMP)).select("log", "line", F.lit(None).cast("long").alias("at"), loose.alias("kind")).filter("kind is not null")

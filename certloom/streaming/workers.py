@@ -16,13 +16,14 @@ LADDER_MINUTES = (5, 15, 60, 240, 720, 1440)
 
 def write_capture(messages: DataFrame, path: str, checkpoint: str):
     """A stream's certificate messages as compressed JSON lines (S05); the running query."""
-    kept = messages.filter("message_type = 'certificate_update'").select("message_type", "data")
+    kept = messages.filter("_bad IS NULL AND message_type = 'certificate_update'").select("message_type", "data")
     return kept.writeStream.format("json").option("compression", "gzip").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def with_received(records: DataFrame) -> DataFrame:
-    """Our own time of arrival beside the time that upstream saw, and the delay between them in microseconds (T04). The watermark stays on ``seen``."""
-    out = records.withColumn("received", F.current_timestamp())
+def with_received(records: DataFrame, received=None) -> DataFrame:
+    """Our own time of arrival beside the time that upstream saw, and the delay between them in microseconds (T04). The watermark stays on ``seen``.
+    ``received`` is a column of recorded arrivals; without one it is the time of the micro-batch."""
+    out = records.withColumn("received", F.current_timestamp() if received is None else received)
     return out.withColumn("delay_us", F.unix_micros("received") - F.unix_micros("seen"))
 
 
@@ -49,7 +50,8 @@ def routed(candidates: DataFrame, sectors: DataFrame, organisations: DataFrame)
 
 def rechecks(attempts: DataFrame) -> DataFrame:
     """(key, tries, due, state) after the attempts (key, at, ok) of each micro-batch (T11): a failure moves a key one step up the ladder, success clears
-    its counter, and after the last step it is given up. Attempts of a batch count in order of time."""
+    its counter, and after the last step it is given up. Attempts of a batch count in order of time;
+    one key's attempts within a micro-batch are ordered in a task's memory, so a backlog should be read in batches of bounded size."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tries, last = state.get if state.exists else (0, 0)
@@ -83,7 +85,7 @@ class MessageHeaders:
 
 def write_fixture(rows: DataFrame, path: str, key: str = "key", time: str = "seen", tag: str = "source") -> DataFrame:
     """Write the earliest copy of each key as JSON lines in order of time, for replay (S17); (tag, before, after) counts."""
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(time))).filter("_n = 1").drop("_n")
-    first.orderBy(time, key).write.json(path)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(time, tag))).filter("_n = 1").drop("_n")
+    first.orderBy(time, key, tag).write.json(path)
     kept = rows.sparkSession.read.json(path).groupBy(tag).agg(F.count("*").alias("after"))
     return rows.groupBy(tag).agg(F.count("*").alias("before")).join(kept, tag, "left").select(tag, "before", F.coalesce("after", F.lit(0)).alias("after"))

@@ -35,6 +35,20 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert sum(r.certs for r in S.rates(batch).collect()) == 3
 
 
+def test_records_of_odd_messages(spark, tmp_path):
+    whole = message(1, 1000.000001, [" *.B.example. ", "localhost", "10.0.0.1", None, "b.example", *[f"n{i}.example" for i in range(230)]])
+    other = json.loads(message(2, 1001.0, ["c.example"]))
+    other["data"]["leaf_cert"] |= {"fingerprint": "f", "serial_number": "07", "not_before": 5.5}
+    lines = [whole, json.dumps(other), message(3, 1002.0, ["d.example"], "x")[:-1], "", "[]", message(4, 1003.0, ["localhost"], "y"), message(5, 1004.0, None, "z"), '{"message_type": "certificate_update"}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    rows = {r.key: r for r in S.records(S.read_messages(spark, str(tmp_path))).select("*", F.unix_micros("seen").alias("us")).collect()}
+    assert set(rows) == {"ix:u#1", "fp:f"}
+    first, second = rows["ix:u#1"], rows["fp:f"]
+    assert (first.names[:2], len(first.names), first.overflow, first.san_count, first.us) == (["b.example", "n0.example"], 200, 31, 235, 1_000_000_001)
+    assert (second.serial, second.not_before.microsecond, second.not_after, second.names) == ("07", 500_000, None, ["c.example"])
+    assert S.dead_letters(S.read_messages(spark, str(tmp_path))).count() >= 1
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("*.A.Example.com.",), ("",), ("10.0.0.1",), ("2001:db8::1",), ("localhost",)], "raw string")
     assert [r[0] for r in rows.select(normalise_name(F.col("raw"))).collect()] == ["a.example.com", None, None, None, None]
