@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.storage import forget, materialise
-from ..tables import EDGES, edges
+from ..tables import EDGES, edges, table
 
 STRONG, MEDIUM = 0.6, 0.3
 
@@ -101,12 +101,23 @@ def g05_campaigns(spark, sf):
     return campaigns(edges(spark, sf))
 
 
-@query(f"""{MERGED_SQL}, k2 AS (SELECT campaign, domain FROM d WHERE campaign IN (SELECT campaign FROM d GROUP BY 1 HAVING count(*) >= 2))
- SELECT campaign, count(DISTINCT domain) AS domains, count(DISTINCT node) AS nodes, round(avg(weight) FILTER (weight >= 0.6), 4) AS confidence FROM k2 JOIN e USING (domain) GROUP BY campaign""")
+@query(f"""{MERGED_SQL}, k2 AS (SELECT campaign, domain FROM d WHERE campaign IN (SELECT campaign FROM d GROUP BY 1 HAVING count(*) >= 2)),
+ sizes AS (SELECT campaign, count(DISTINCT domain) AS domains, count(DISTINCT node) AS nodes, round(avg(weight) FILTER (weight >= 0.6), 4) AS confidence FROM k2 JOIN e USING (domain) GROUP BY campaign),
+ seen AS (SELECT campaign, o_orderpriority AS kit, o_orderstatus AS brand FROM k2 JOIN orders ON domain = o_orderkey), kits AS (SELECT campaign, kit, count(*) AS n FROM seen GROUP BY 1, 2),
+ modal AS (SELECT campaign, min((-n, kit))[2] AS kit FROM kits GROUP BY 1), brandlist AS (SELECT campaign, string_agg(brand, ',' ORDER BY brand) AS brands FROM (SELECT DISTINCT campaign, brand FROM seen) GROUP BY 1)
+ SELECT campaign, domains, nodes, confidence, kit, brands FROM sizes LEFT JOIN modal USING (campaign) LEFT JOIN brandlist USING (campaign)""")
 def a12_campaign_summary(spark, sf):
+    """Size, nodes, mean strong weight, most frequent kit (ties to the smaller name) and sorted brands of each campaign; order priorities
+    stand for kits, order states for brands. Kits and brands are counted by value first, so one campaign is never one task's list of domains."""
     e = edges(spark, sf)
-    j = campaigns(e).join(e, "domain")
-    return j.groupBy("campaign").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("node").alias("nodes"), F.round(F.avg(F.when(F.col("weight") >= STRONG, F.col("weight"))), 4).alias("confidence"))
+    members = materialise(campaigns(e), "members")
+    joined = members.join(e, "domain")
+    size = joined.groupBy("campaign").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("node").alias("nodes"), F.round(F.avg(F.when(F.col("weight") >= STRONG, F.col("weight"))), 4).alias("confidence"))
+    seen = members.join(table(e.sparkSession, sf, "orders").select(F.col("o_orderkey").alias("domain"), F.col("o_orderpriority").alias("kit"), F.col("o_orderstatus").alias("brand")), "domain")
+    seen = seen.groupBy("campaign", "kit", "brand").agg(F.count("*").alias("n"))
+    kits = seen.groupBy("campaign", "kit").agg(F.sum("n").alias("n")).groupBy("campaign").agg(F.min(F.struct((-F.col("n")).alias("less"), "kit")).kit.alias("kit"))
+    brands = seen.groupBy("campaign").agg(F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("brands"))
+    return size.join(kits, "campaign", "left").join(brands, "campaign", "left")
 
 
 @query(f"SELECT domain, string_agg(node::VARCHAR || ':' || weight::VARCHAR, ',' ORDER BY node) AS document FROM {EDGES} GROUP BY 1")

@@ -49,11 +49,17 @@ def a02_status_counts(spark, sf):
     return table(spark, sf, "orders").agg(*[count_if(f"o_orderstatus = '{s.upper()}'").alias(s) for s in "fop"], F.count("*").alias("total"))
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS debtors, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_quantity > 45) AS suppliers, (SELECT max(event_id) FROM events) AS last_event")
+@query("""SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS filled, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending, (SELECT max(o_totalprice) FROM orders) AS dearest,
+ (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS debtors, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_quantity > 45) AS suppliers, (SELECT max(event_id) FROM events) AS last_event,
+ (SELECT count(*) FROM events WHERE event_type = 'error') AS errors, (SELECT count(DISTINCT user_id) FROM events) AS users, (SELECT count(*) FROM pages WHERE html IS NOT NULL) AS pages""")
 def a03_dashboard(spark, sf):
+    """Ten counters in one row: one aggregate for each source table, of one row each."""
     one = lambda name, *aggs: table(spark, sf, name).agg(*aggs)
-    out = one("orders", F.count("*").alias("orders")).crossJoin(one("customer", count_if("c_acctbal < 0").alias("debtors")))
-    return out.crossJoin(table(spark, sf, "lineitem").filter("l_quantity > 45").agg(F.count_distinct("l_suppkey").alias("suppliers"))).crossJoin(one("events", F.max("event_id").alias("last_event")))
+    orders = one("orders", F.count("*").alias("orders"), count_if("o_orderstatus = 'F'").alias("filled"), count_if("o_orderstatus = 'P'").alias("pending"), F.max("o_totalprice").alias("dearest"))
+    events = one("events", F.max("event_id").alias("last_event"), count_if("event_type = 'error'").alias("errors"), F.count_distinct("user_id").alias("users"))
+    suppliers = table(spark, sf, "lineitem").filter("l_quantity > 45").agg(F.count_distinct("l_suppkey").alias("suppliers"))
+    out = orders.crossJoin(one("customer", count_if("c_acctbal < 0").alias("debtors"))).crossJoin(suppliers)
+    return out.crossJoin(events).crossJoin(one("pages", F.count("html").alias("pages")))
 
 
 @query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS domains FROM lineitem GROUP BY 1")

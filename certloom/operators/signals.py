@@ -92,6 +92,16 @@ def c34_failure_causes(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", first_rule(F.col("props"), CAUSES, "other").alias("cause")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("sites"))
 
 
+@query("""WITH s AS (SELECT user_id AS site, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), t AS (SELECT * FROM s ORDER BY n DESC, site LIMIT 5)
+ SELECT (SELECT sum(n)::BIGINT FROM s) AS n, (SELECT count(*) FROM s) AS sites, (SELECT string_agg(site || ':' || n, ',' ORDER BY n DESC, site) FROM t) AS top_sites, (SELECT sum(n) - max(n) FROM s)::BIGINT AS without_top""")
+def a27_unreachable_sites(spark, sf):
+    """Failures, distinct sites, the five sites with most failures and the failures without the first of them."""
+    n = table(spark, sf, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("site")).agg(F.count("*").alias("n"))
+    top = n.orderBy(F.desc("n"), "site").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "site"))).alias("top"))
+    listed = F.array_join(F.transform("top", lambda x: F.concat_ws(":", x.site.cast("string"), (-x.less).cast("string"))), ",").alias("top_sites")
+    return n.agg(F.sum("n").alias("n"), F.count("*").alias("sites"), (F.sum("n") - F.max("n")).alias("without_top")).crossJoin(top.select(listed))
+
+
 def _bounds(cidr: str) -> tuple[int, int]:
     at, bits = cidr.split("/")
     low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(at.split(".")))

@@ -1,4 +1,4 @@
-"""File sources and sinks beside the message stream: feeds, ranked lists, counters, recorder logs, mail, exports."""
+"""File sources and sinks beside the message stream: feeds, ranked lists, counters, recorder logs, mail, exports."""
 
 from __future__ import annotations
 
@@ -49,6 +49,31 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("snapshot"), F.regexp_replace(part(1), "/+$", "").alias("url"), part(2).alias("operator"), part(3).cast("long").alias("n"))
 
 
+#: Causes of service errors in order of precedence, and the words that tell them.
+SERVICE_CAUSES = {
+    "connection closed by the server (EOF)": ("unexpected EOF",),
+    "timeout": ("Client.Timeout", "context deadline exceeded", "i/o timeout", "TLS handshake timeout"),
+    "DNS failure": ("no such host",),
+    "connection reset or refused": ("connection reset", "connection refused"),
+    "HTTP error status": (),
+}
+
+
+def read_service_log(spark: SparkSession, path: str) -> DataFrame:
+    """(operator, cause) of each error line of service logs (S13, C34): the last two labels of the log's host and the first cause that the
+    line tells, ``other`` if it tells none. A final EOF closes a connection; a status code, or 429 or 5xx standing alone, is an HTTP error."""
+    value = F.col("value")
+    host = F.lower(F.regexp_extract(value, r"Error processing [^\n]*? for 'https?://([^/']+)", 1))
+    also = {"connection closed by the server (EOF)": value.rlike(r":\s*EOF\s*$"), "HTTP error status": value.rlike(r"status code [0-9]|(?<!\w)(?:429|5[0-9]{2})(?!\w)")}
+    told = F.lit("other")
+    for cause, words in reversed(SERVICE_CAUSES.items()):
+        hit = also.get(cause, F.lit(False))
+        for w in words:
+            hit = hit | value.contains(w)
+        told = F.when(hit, cause).otherwise(told)
+    return spark.read.text(path).filter(host != "").select(F.substring_index(host, ".", -2).alias("operator"), told.alias("cause"))
+
+
 def log_times(lines: DataFrame) -> DataFrame:
     """(log, line, at, kind) of recorder lines (log, line, day0, value): ``at`` counts days where the clock wraps.
 

@@ -1,5 +1,5 @@
 """Sources, sinks and streaming jobs over the given tables: each query writes a table in a source's own format with Spark, to the shared
-folder, and reads it back through the source or stream (S01-S05, S09-S12, S14, S16, S17, S19, P01-P04, T01, T02, T04, T11, T15-T17, C23, F03, F04)."""
+folder, and reads it back through the source or stream (S01-S05, S09-S14, S16, S17, S19, P01-P04, T01, T02, T04, T11, T15-T17, C18, C23, C34, F03, F04)."""
 
 from __future__ import annotations
 
@@ -234,7 +234,7 @@ def s16_export(spark, sf):
     """Customers exported as gzip CSV and read back, with the count that the export gave."""
     rows, path = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), folder(spark, "export")
     written = files.export(rows, path)
-    return spark.read.option("header", True).schema(rows.schema).csv(path).withColumn("written", F.lit(written))
+    return spark.read.option("header", True).schema(rows.schema).csv(path).withColumn("written", F.lit(written).cast("long"))
 
 
 @query(f"SELECT page_id, 0 AS form, 'collect.' || split_part(host, '.', -1) AS site FROM {HOSTS} WHERE contains(url, 'utm_source') AND NOT contains(host, '.com')")
@@ -258,3 +258,32 @@ def f03_header_rows(spark, sf):
     raw = F.concat(F.lit("From: c"), F.col("o_custkey").cast("string"), F.lit("@example.org\nSubject: order\n  "), "o_orderpriority", F.lit("\n\nTo: body"))
     mails = table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
     return mails.lateralJoin(W.MessageHeaders(F.col("raw").outer())).select("o_orderkey", "position", "name", "value")
+
+
+SAID = "CASE event_type WHEN 'error' THEN 'read tcp: EOF' WHEN 'view' THEN 'Get: i/o timeout, status code 503' WHEN 'click' THEN 'dial: no such host' WHEN 'signup' THEN 'answer 429' ELSE 'code 5031' END"
+TOLD = "CASE event_type WHEN 'error' THEN 'connection closed by the server (EOF)' WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'DNS failure' WHEN 'signup' THEN 'HTTP error status' ELSE 'other' END"
+
+
+@query(f"SELECT 'op' || user_id || '.example' AS operator, {TOLD} AS cause, count(*) AS n FROM events GROUP BY 1, 2")
+def s13_service_log(spark, sf):
+    """Errors by operator and cause in a service log with a line for each event, among other lines."""
+    line = F.concat(F.lit("Error processing entry e"), "event_id", F.lit(" for 'https://ct.OP"), "user_id", F.lit(".example/x': "), F.expr(SAID))
+    lines = table(spark, sf, "events").select(F.explode(F.array(line, F.lit("Worker for 'https://ct.example/' started"))).alias("value"))
+    return files.read_service_log(spark, land(lines, "service")).groupBy("operator", "cause").agg(F.count("*").alias("n"))
+
+
+def derived_forms(spark, sf) -> DataFrame:
+    """``pages`` with three forms of their own before them: a rooted, an absolute and a relative action."""
+    host = F.upper(F.coalesce("host", F.lit("")))
+    made = F.concat(F.lit('<form action="/in?next=1" METHOD=Post><input type=\'password\'></form><FORM action=https://'), host, F.lit(":8080/p><input name=q></form><form action='next'>"))
+    rest = F.regexp_replace(F.coalesce("html", F.lit("")), "(?i)<form", "<div")
+    return hosts(spark, sf).join(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", "url", F.concat(made, rest).alias("html"))
+
+
+@query(rf"""WITH h AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_replace(url, '[?#].*$', '') AS base FROM {HOSTS})
+ SELECT page_id, 0 AS form, origin || '/in?next=1' AS action, 'post' AS method, true AS has_password FROM h
+ UNION ALL SELECT page_id, 1, 'https://' || upper(host) || ':8080/p', 'get', false FROM h
+ UNION ALL SELECT page_id, 2, CASE WHEN base = origin THEN origin || '/' ELSE regexp_replace(base, '[^/]*$', '') END || 'next', 'get', false FROM h""")
+def c18_form_table(spark, sf):
+    """Forms with resolved actions, methods and password inputs."""
+    return forms.forms(derived_forms(spark, sf)).select("page_id", "form", "action", "method", "has_password")
