@@ -176,7 +176,7 @@ def _run(ids: list, texts: list[bytes], base: int, tables, capacity: int) -> tup
     return pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(doc)), *map(pa.array, columns)], names=names), len(cuts) - 1
 
 
-def pack_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, run_tokens: int = RUN_TOKENS) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document."""
     path = path or vocabulary(RANKS)
     end = np.array([END_ID], "<u4").tobytes()
@@ -190,7 +190,7 @@ def pack_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text in batch.column(1).to_pylist():
                 texts.append(enc.encode(text or "") + end)
                 held += len(texts[-1]) // 4
-            if held >= RUN_TOKENS:
+            if held >= run_tokens:
                 out, n = _run(ids, texts, base, tables, capacity)
                 yield out
                 ids, texts, held, base = [], [], 0, base + n

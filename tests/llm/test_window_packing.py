@@ -76,8 +76,7 @@ def test_marked_words_give_the_same_ids(spark):
         assert enc.encode(t or "") == np.array(enc.library.encode(t or "", allowed_special="all"), "<u4").tobytes()
 
 
-def test_runs_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(w, "RUN_TOKENS", 500)
+def test_runs_are_bounded(spark):
     df = spark.createDataFrame([(k, "Some words here. " * 30) for k in range(600)], "doc_id long, text string")
-    rows = w.pack_in_order(df.coalesce(1)).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("k"), F.count("*").alias("m")).collect()
+    rows = w.pack_in_order(df.coalesce(1), run_tokens=500).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("k"), F.count("*").alias("m")).collect()
     assert all(r.n <= 1024 and r.k == r.m for r in rows) and sum(r.n for r in rows) == 600 * (30 * 4 + 2)
