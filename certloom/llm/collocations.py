@@ -39,6 +39,8 @@ MIN_COUNT, TOP, LONGEST = 30, 2000, 4
 SCALE, SHARE = 2_000_000, (80, 100)
 NO_LANGUAGE = "und"
 BLOCK_WORDS = 1 << 20
+#: Blocks' worth of words that a task holds of all languages together.
+HELD_BLOCKS = 3
 #: A tile has 2^TILE_BITS ranks on each side; it is counted densely from so many pairs on.
 TILE_BITS, DENSE = 10, 1 << 15
 
@@ -72,16 +74,16 @@ _BLOCKS_DDL = "block long, lang string, words array<string>, counts array<long>,
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[pa.Array]] = {}
-    number, size = TaskContext.get().partitionId() << 32, 0
+    sizes: dict[str, int] = {}
+    number = TaskContext.get().partitionId() << 32
 
-    def flush():
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal number
-        for lang, chunks in held.items():
-            words, counts, ids = _block(chunks)
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts]), pa.array([ids.astype("<i4").tobytes()], pa.binary())], schema=_BLOCKS)
-                number += 1
-        held.clear()
+        words, counts, ids = _block(held.pop(lang))
+        del sizes[lang]
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts]), pa.array([ids.astype("<i4").tobytes()], pa.binary())], schema=_BLOCKS)
+            number += 1
 
     for batch in slices(batches, 64):
         texts: dict[str, list[bytes]] = {}
@@ -90,11 +92,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.
         for lang, own in texts.items():
             words = pa.array(b"\n".join([*own, b""]).translate(_PLAIN).replace(b"\n", b" \n ").split(b" "), pa.binary())
             held.setdefault(lang, []).append(words)
-            size += len(words)
-        if size >= block_words:
-            yield from flush()
-            size = 0
-    yield from flush()
+            sizes[lang] = sizes.get(lang, 0) + len(words)
+            if sizes[lang] >= block_words:
+                yield from flush(lang)
+        while sum(sizes.values()) >= HELD_BLOCKS * block_words:
+            yield from flush(max(sizes, key=sizes.get))
+    for lang in list(sizes):
+        yield from flush(lang)
 
 
 def count_pairs(ids: np.ndarray, tile_bits: int = TILE_BITS, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +190,7 @@ def _next_level(blocks: DataFrame, rows: DataFrame, key: list[str], slot: str, p
     found = frequent(rows, key, min_count)
     if last:  # only the counts are needed
         return numbered(found.groupBy(*key).agg(F.first("f").alias("f")), key), None
-    found = materialise(found, f"{name}-found")
+    found = materialise(found.select("block", *dict.fromkeys([*key, slot]), "f"), f"{name}-found")
     units = numbered(found.groupBy(*key).agg(F.first("f").alias("f")), key)
     mapping = found.join(units.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct(F.col(slot).cast("long").alias("unit"), "id")).alias("found"))
     new = materialise(blocks.select("block", "ids").join(mapping, "block").mapInArrow(lambda it: _ranked(it, pairs), "block long, ids binary"), name)
