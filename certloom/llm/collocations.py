@@ -1,6 +1,6 @@
 """Phrases of two to four words whose words keep together, by tiles of pairs counted directly.
 
-*Blocks.* Each task reads its documents into blocks of about a million words of one language. A block is a sequence of numbers:
+*Blocks.* Each task reads its documents into blocks of about half a million words of one language. A block is a sequence of numbers:
 each word's place in the block's own list of words, and 0 where a piece of text ends.
 
 *Levels.* The numbers of a block are replaced by ranks: what occurs ``min_count`` times in all is numbered by descending frequency,
@@ -38,9 +38,9 @@ MIN_COUNT, TOP, LONGEST = 30, 2000, 4
 #: score = floor(SCALE * a / (l + r)); a candidate goes if SHARE[1] * f(longer) >= SHARE[0] * a.
 SCALE, SHARE = 2_000_000, (80, 100)
 NO_LANGUAGE = "und"
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Blocks' worth of words that a task holds of all languages together.
-HELD_BLOCKS = 3
+HELD_BLOCKS = 4
 #: A tile has 2^TILE_BITS ranks on each side; it is counted densely from so many pairs on.
 TILE_BITS, DENSE = 10, 1 << 15
 
@@ -192,7 +192,7 @@ def _next_level(blocks: DataFrame, rows: DataFrame, key: list[str], slot: str, p
         return numbered(found.groupBy(*key).agg(F.first("f").alias("f")), key), None
     found = materialise(found.select("block", *dict.fromkeys([*key, slot]), "f"), f"{name}-found")
     units = numbered(found.groupBy(*key).agg(F.first("f").alias("f")), key)
-    mapping = found.join(units.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct(F.col(slot).cast("long").alias("unit"), "id")).alias("found"))
+    mapping = found.join(units.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct(F.col(slot).alias("unit"), F.col("id").cast("int").alias("id"))).alias("found"))
     new = materialise(blocks.select("block", "ids").join(mapping, "block").mapInArrow(lambda it: _ranked(it, pairs), "block long, ids binary"), name)
     forget(found)
     return units, new
