@@ -10,8 +10,8 @@ addresses, pairs of all others as sorted coordinates. Spark adds the blocks' cou
 repeated on them: pairs of words that overlap in a word are phrases of three, and pairs of those are phrases of four.
 
 *Spark.* A hot word or pair gives one row for each block, however often it occurs. Nothing is broadcast whose size grows with
-the corpus: ranks come back to their blocks by joins, as far as the block holds them. Ranks are numbered by ranges of frequency, not in one task. Each level
-is a stored table; what the next one does not need is deleted.
+the corpus: ranks come back to their blocks by number, as far as the block holds them. Ranks are given within each hash partition of the units and
+interleaved, not in one task. Each level is a stored table; what the next one does not need is deleted.
 
 *Scores.* Each candidate carries the counts of all its beginnings and ends, so cuts need no further joins. Sums and products are decimals. A
 longer phrase that passes 80 % of a candidate's count implies one of just one word more that does, so only those are looked at.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,39 +162,45 @@ def _ranked(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([_collapsed(new).astype("<i4").tobytes()], pa.binary())], names=["block", "ids"])
 
 
-def numbered(units: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``id``: the rank of each row by descending ``f``, from 1 on, ties by ``key``. Rows are sorted by ranges; a table of one row
-    for each range says where it starts."""
-    spark = units.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.desc("f"), *key]
-    stored = materialise(units.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "ranges")
-    stored = stored.withColumn("range", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1))
-    before, starts = 1, []
-    for r in stored.groupBy("range").count().orderBy("range").collect():  # one row for each range
-        starts.append((r["range"], before))
-        before += r["count"]
-    if before > 1 << 31:
-        raise ValueError("more than 2^31 frequent units")
-    first = F.broadcast(spark.createDataFrame(starts, "range long, start long"))
-    return stored.join(first, "range").withColumn("id", F.col("start") + F.col("place")).drop("range", "place", "start")
-
-
-def frequent(rows: DataFrame, key: list[str], min_count: int) -> DataFrame:
-    """The rows (block, ..., n) of units that occur ``min_count`` times in all, with that count ``f``."""
+def _with_ids(batches: Iterator[pa.RecordBatch], key: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+    """Numbers the units of one partition that is ordered by descending frequency: the k-th of partition p is k * parts + p + 1."""
+    own, last, rank = TaskContext.get().partitionId(), None, -1
+    if own >= parts:
+        raise ValueError("more partitions than were asked for")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in map(batch.column, key):
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        first, new_last = (tuple(batch.column(c)[i].as_py() for c in key) for i in (0, batch.num_rows - 1))
+        new[0], last = first != last, new_last
+        ranks = rank + np.cumsum(new)
+        rank = int(ranks[-1])
+        if rank * parts + own + 1 >= 1 << 31:
+            raise ValueError("more than 2^31 frequent units")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((ranks * parts + own + 1).astype(np.int32))], names=[*batch.schema.names, "id"])
+
+
+def frequent(rows: DataFrame, key: list[str], slot: str, min_count: int) -> DataFrame:
+    """(block, key, slot, f, id) of the units that occur ``min_count`` times in all. Units are dealt to partitions by hash and ranked by frequency
+    within each; the partitions' ranks are interleaved, so that small ids are frequent units, and no rank needs all units in one place."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = F.sum("n").over(Window.partitionBy(*key))
-    return rows.withColumn("f", total).filter(F.col("f") >= min_count)
+    counted = rows.repartition(parts, *key).withColumn("f", total).filter(F.col("f") >= min_count)
+    kept = counted.select("block", *dict.fromkeys([*key, slot]), "f").sortWithinPartitions(F.desc("f"), *key)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(lambda it: _with_ids(it, key, parts), ddl + ", id int")
 
 
 def _next_level(blocks: DataFrame, rows: DataFrame, key: list[str], slot: str, pairs: bool, min_count: int, name: str, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(the level's units with their ranks, the blocks in those ranks, stored)."""
-    found = frequent(rows, key, min_count)
-    if last:  # only the counts are needed
-        return numbered(found.groupBy(*key).agg(F.first("f").alias("f")), key), None
-    found = materialise(found.select("block", *dict.fromkeys([*key, slot]), "f"), f"{name}-found")
-    units = numbered(found.groupBy(*key).agg(F.first("f").alias("f")), key)
-    mapping = found.join(units.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct(F.col(slot).alias("unit"), F.col("id").cast("int").alias("id"))).alias("found"))
-    new = materialise(blocks.select("block", "ids").join(mapping, "block").mapInArrow(lambda it: _ranked(it, pairs), "block long, ids binary"), name)
+    """(the level's units with their ids, stored; the blocks in those ids, stored, but for the last level)."""
+    found = materialise(frequent(rows, key, slot, min_count), f"{name}-found")
+    units = materialise(found.groupBy(*key, "id").agg(F.first("f").alias("f")), f"{name}-units")
+    new = None
+    if not last:
+        mapping = found.groupBy("block").agg(F.collect_list(F.struct(F.col(slot).alias("unit"), "id")).alias("found"))
+        new = materialise(blocks.select("block", "ids").join(mapping, "block").mapInArrow(lambda it: _ranked(it, pairs), "block long, ids binary"), name)
     forget(found)
     return units, new
 
