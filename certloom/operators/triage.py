@@ -1,14 +1,13 @@
 """Triage of names: suffix rules, brand dictionary, the twelve features, rule score with its reasons.
 
-The brand dictionary and the suffix rules are tables of bounded size that every name meets, so they become literals of one expression
-each (a pattern of alternatives, arrays, a map of skeletons); names are scored once each, in one pass, and joined with nothing but the allowlist."""
+The brand dictionary is an index of keys: the first letters of tokens, their skeletons, and what is left of them after up to two deletions. A name
+is looked up by the same keys of its own in one equi-join, and only what shares a key is compared, so the work for a name does not grow with the
+dictionary. The index is broadcast up to a checked number of keys; beyond that it is shuffled."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,8 +24,10 @@ THRESHOLD = 0.35
 SHORT, NEAR = 3, 5
 #: The features of a name, in order.
 FEATURES = ("brand_token_exact", "min_edit_distance", "homoglyph_hit", "tld_risk", "keyword_count", "hyphen_count", "max_label_len", "digit_ratio", "subdomain_depth", "entropy", "issuer_is_free_ca", "san_count")
-#: Rows a dictionary may have; it goes into every task.
-MAX_TOKENS = 20_000
+#: Letters of a token by which it is found inside a name.
+GRAM = 4
+#: Keys up to which the index of a dictionary goes to every task.
+BROADCAST_KEYS = 1_000_000
 
 
 @F.pandas_udf(StringType())
@@ -62,86 +63,137 @@ def with_suffix(names: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("suffix", last(size)).withColumn("etld1", F.when(F.col("length") == F.size("labels"), F.col("name")).otherwise(last(size + 1))).withColumn("known", F.col("length").isNotNull()).drop("length")
 
 
-def edits(s, t):
-    """Damerau-Levenshtein distance up to 2; 3 for all beyond (C11)."""
+def edits(s, t, most=None):
+    """Damerau-Levenshtein distance up to 2; 3 for all beyond, or beyond ``most`` (C11)."""
     swaps = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.lit(1)), x.substr(i, F.lit(1)), x.substr(i + 2, F.length(x))))
     plain = F.levenshtein(s, t)
-    one = (plain == 1) | F.exists(swaps(s), lambda x: x == t)
-    two = (plain == 2) | F.exists(swaps(s), lambda x: F.levenshtein(x, t) <= 1) | F.exists(swaps(t), lambda y: F.levenshtein(s, y) <= 1) | F.arrays_overlap(swaps(s), swaps(t))
-    return F.when(s == t, 0).when(one, 1).when(two, 2).otherwise(3)
+    one = (plain == 1) | (plain == 2) & F.exists(swaps(s), lambda x: x == t)
+    # a swap is at most two plain edits
+    two = (plain == 2) | (plain <= 4) & (F.exists(swaps(s), lambda x: F.levenshtein(x, t) <= 1) | F.exists(swaps(t), lambda y: F.levenshtein(s, y) <= 1) | F.arrays_overlap(swaps(s), swaps(t)))
+    return F.when(s == t, 0).when(one, 1).when(two if most is None else (most > 1) & two, 2).otherwise(3)
+
+
+def deletions(s, most):
+    """A text, and what is left of it after one deletion, or after one and two where ``most`` is 2. Texts at a distance of k share one that takes at most k
+    from either; a swap of neighbours counts as one."""
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))
+    once = one(s)
+    twice = F.when(most == 2, F.flatten(F.transform(F.array_distinct(once), one))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(s), once, twice))
 
 
-def alternatives(words: list[str]) -> str:
-    """Longest first, so the leftmost match is the most specific one; nothing matches where there are none."""
-    return "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))) or "(?!)"
+def _ascii(c):
+    return ~c.rlike(r"[^\x00-\x7F]")
 
 
 class Dictionary:
-    """Brand tokens as literals. ``tokens`` is (token, brand), in order of ``token``; a token of two brands is an error."""
+    """Brand tokens and the keys by which names find them. ``tokens`` is (token, brand); a token of two brands is an error.
 
-    def __init__(self, tokens: DataFrame):
-        rows = tokens.select("token", "brand", skeleton(F.col("token")).alias("skeleton")).orderBy("token").limit(MAX_TOKENS + 1).collect()
-        if len(rows) > MAX_TOKENS or len({r["token"] for r in rows}) < len(rows):
-            raise ValueError(f"more than {MAX_TOKENS} tokens, or a token of two brands")
-        self.tokens, self.brand = [r["token"] for r in rows], {r["token"]: r["brand"] for r in rows}
-        self.skeletons: dict[str, str] = {}
-        for r in rows:
-            self.skeletons.setdefault(r["skeleton"], r["token"])
+    Keys are a letter and a text: ``g`` first letters of a token of more than SHORT, ``e`` a whole shorter one, ``d`` rests of one of NEAR or more after
+    deletions, ``k`` a skeleton, ``h`` first letters of a skeleton, ``x`` the skeleton of a short one. Of tokens with one skeleton the first counts."""
 
-    def of(self, keep) -> list[str]:
-        return [t for t in self.tokens if keep(len(t))]
+    def __init__(self, tokens: DataFrame):
+        size = F.length("token")
+        first = tokens.select("token", "brand", skeleton(F.col("token")).alias("skeleton"))
+        first = first.withColumn("own", F.min("token").over(Window.partitionBy("skeleton")) == F.col("token"))
+        most = F.when(size >= 8, 2).otherwise(1)
+        key = lambda kind, text: F.array(F.concat(F.lit(kind), text))
+        none = F.array().cast("array<string>")
+        keys = F.concat(
+            F.when(size > SHORT, F.concat(key("g", F.left("token", F.lit(GRAM))))).otherwise(key("e", F.col("token"))),
+            F.when(size >= NEAR, F.transform(deletions(F.col("token"), most), lambda t: F.concat(F.lit("d"), t))).otherwise(none),
+            F.when(F.col("own"), F.concat(key("k", F.col("skeleton")), F.when(size > SHORT, key("h", F.left("skeleton", F.lit(GRAM)))).otherwise(key("x", F.col("skeleton"))))).otherwise(none),
+        )
+        index = first.select("token", "brand", "skeleton", F.explode(keys).alias("key"))
+        grams = F.collect_set(F.when(size > SHORT, F.least(F.length("skeleton"), F.lit(GRAM))))  # at most GRAM numbers
+        known = first.agg(F.count("*").alias("n"), F.count_distinct("token").alias("distinct"), F.max(size).alias("longest"), F.sum(3 + size + F.when(most == 2, size * size / 2).otherwise(0)).alias("keys"), grams.alias("grams")).first()
+        if known["n"] > known["distinct"]:
+            raise ValueError("a token of two brands")
+        self.longest, self.grams = known["longest"] or 0, sorted(known["grams"])
+        self.index = F.broadcast(index) if (known["keys"] or 0) <= BROADCAST_KEYS else index
 
 
 def _texts(words):
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def _map(pairs: dict[str, str]):
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else F.create_map(F.lit(""), F.lit(None).cast("string"))
+def _split(c):
+    return F.filter(F.split(c, "[._-]+"), lambda x: x != "")
+
+
+def _edges(segments):
+    """Segments, and what they are without digits at their ends."""
+    return F.array_distinct(F.filter(F.concat(segments, F.transform(segments, lambda x: F.regexp_replace(x, "^[0-9]+|[0-9]+$", ""))), lambda x: x != ""))
+
+
+def _probes(words: Dictionary):
+    """(key, at, text) of a name: the keys by which it may find a token, where they stand and what they are made of; and one empty key."""
+    probe = lambda kind, text, at, of: F.struct(F.concat(F.lit(kind), text).alias("key"), at.cast("int").alias("at"), of.alias("text"))
+    nothing, none = F.lit(None).cast("string"), F.array().cast("array<struct<key string, at int, text string>>")
+
+    def inside(kind, c, size):
+        return F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: probe(kind, c.substr(i, F.lit(size)), i, nothing))).otherwise(none)
+
+    def whole(kind, texts, of=lambda x: x):
+        return F.transform(texts, lambda x, i: probe(kind, of(x), i, x))
+
+    def near(s, i):
+        most = F.when(F.length(s) >= 8, 2).otherwise(1)
+        fits = F.length(s).between(NEAR - 1, words.longest + 2)
+        return F.when(fits, F.transform(deletions(s, most), lambda t: probe("d", t, i, s))).otherwise(none)
+
+    body, changed = F.col("body"), F.col("skeleton") != F.col("body")
+    hidden = F.when(changed, F.concat(*[inside("h", F.col("skeleton"), g) for g in words.grams], whole("k", F.col("segments"), lambda x: skeleton(x, False)))).otherwise(none)
+    shorts = F.when(~_ascii(body), whole("x", F.filter(_edges(_split("skeleton")), lambda x: F.length(x) <= SHORT))).otherwise(none)
+    return F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("at"), nothing.alias("text"))), inside("g", body, GRAM), whole("e", F.filter("edges", lambda x: F.length(x) <= SHORT)), F.flatten(F.transform("segments", near)), hidden, shorts)
+
+
+def matches(names: DataFrame, words: Dictionary) -> DataFrame:
+    """Names (``name``, ``body``, ``segments``, ``edges``, ``skeleton`` and whatever else) with the tokens they hold, found by keys and then compared."""
+    kept = names.columns
+    rows = names.withColumn("probe", F.explode(_probes(words))).select(*kept, "probe.key", "probe.at", "probe.text").join(words.index.withColumnRenamed("skeleton", "sk"), "key", "left")
+    kind, token, text, body, size = F.left("key", F.lit(1)), F.col("token"), F.col("text"), F.col("body"), F.length("token")
+    limit = F.when((F.length(text) >= size) & (size >= 8), 2).otherwise(1)
+    rows = rows.withColumn("d", F.when((kind == "d") & (F.abs(F.length(text) - size) <= 2), edits(text, token, limit)))
+    right = (
+        F.when(kind == "g", body.substr(F.col("at"), size) == token).when(kind == "e", text == token).when(kind == "d", (F.col("d") > 0) & (F.col("d") <= limit))
+        .when(kind == "k", (text != token) & (~_ascii(text) | (size >= NEAR))).when(kind == "h", F.col("skeleton").substr(F.col("at"), F.length("sk")) == F.col("sk")).when(kind == "x", ~F.array_contains("edges", token))
+    )
+    rows = rows.filter((F.col("key") == "") | F.coalesce(right & token.isNotNull(), F.lit(False)))
+    of = lambda k, *columns: F.when(kind == k, F.struct(*columns))
+    found = rows.groupBy("name").agg(
+        F.first(F.when(F.col("key") == "", F.struct(*kept)), ignorenulls=True).alias("row"),
+        F.min(of("g", "at", (-size).alias("less"), "token", "brand")).alias("inside"), F.collect_set(F.when(kind == "g", token)).alias("exact"), F.min(of("e", "token", "brand")).alias("brief"),
+        F.min(of("k", "at", "token", "brand")).alias("tricked"), F.collect_set(of("d", "d", "at", "token", "brand", "text")).alias("near"),
+        F.collect_set(of("h", "at", (-F.length("sk")).alias("less"), "token", "brand", F.contains(body, token).alias("open"))).alias("hidden"), F.min(of("x", "token", "brand")).alias("shorts"),
+    )
+    return found.select("row.*", *[c for c in found.columns if c not in ("name", "row")])
 
 
 def features(names: DataFrame, words: Dictionary) -> DataFrame:
-    """Names with suffixes (``with_suffix``), ``issuer`` and ``san_count``, and their features."""
+    """Distinct names with suffixes (``with_suffix``), ``issuer`` and ``san_count``, and their features."""
     f = names.withColumn("tld", F.element_at(F.split("suffix", r"\."), -1))
     f = f.withColumn("body", F.when(F.col("suffix") == F.col("name"), F.col("name")).otherwise(F.expr("substring(name, 1, length(name) - length(suffix) - 1)")))
-    split = lambda c: F.filter(F.split(c, "[._-]+"), lambda x: x != "")
-    edges = lambda segments: F.array_distinct(F.filter(F.concat(segments, F.transform(segments, lambda x: F.regexp_replace(x, "^[0-9]+|[0-9]+$", ""))), lambda x: x != ""))
-    f = f.withColumn("segments", split("body")).withColumn("skeleton", skeleton(F.col("body")))
-    long = alternatives(words.of(lambda n: n > SHORT))
-    inside = F.nullif(F.regexp_extract("body", long, 0), F.lit("")) if long != "(?!)" else F.lit(None).cast("string")
-    f = f.withColumn("matched", F.coalesce(inside, F.array_min(F.array_intersect(edges(F.col("segments")), _texts(words.of(lambda n: n <= SHORT))))))
-    ascii_ = lambda c: ~c.rlike(r"[^\x00-\x7F]")
-    # a whole segment that only looks like a token
-    def alike(s):
-        t = F.try_element_at(_map(words.skeletons), skeleton(s, False))
-        return F.when((s != t) & (~ascii_(s) | (F.length(t) >= NEAR)), t)
-
-    tricked = F.get(F.array_compact(F.transform("segments", alike)), F.lit(0))
-    f = f.withColumn("skeleton_exact", F.when((F.col("skeleton") != F.col("body")) & F.col("matched").isNull(), tricked))
-    # lengths first: most segments have no token near theirs
-    tokens = _texts(words.of(lambda n: n >= NEAR))
-
-    def near(s, at):
-        close = F.filter(tokens, lambda t: (F.abs(F.length(t) - F.length(s)) <= 2))
-        limit = lambda t: F.when((F.length(s) >= F.length(t)) & (F.length(t) >= 8), 2).otherwise(1)
-        hits = F.filter(F.transform(close, lambda t: F.struct(edits(s, t).alias("d"), at.alias("at"), t.alias("token"), limit(t).alias("most"))), lambda h: (h.d > 0) & (h.d <= h.most))
-        return F.when((F.length(s) >= NEAR - 1) & ~s.rlike(long), F.array_min(hits))
-
-    best = F.array_min(F.array_compact(F.transform("segments", near)))
-    f = f.withColumn("near", F.when(F.col("skeleton_exact").isNull(), best))
-    f = f.withColumn("lookalike", F.col("near.token"))
-    seen = alternatives([k for k, t in words.skeletons.items() if len(t) > SHORT])
-    hidden = F.transform(F.regexp_extract_all("skeleton", F.lit(seen), F.lit(0)), lambda m: F.try_element_at(_map(words.skeletons), m))
-    hidden = F.get(F.filter(hidden, lambda t: t.isNotNull() & ~F.contains(F.col("body"), t)), F.lit(0))
-    brief = {k: t for k, t in words.skeletons.items() if len(t) <= SHORT}
-    shorts = F.transform(F.array_intersect(edges(split("skeleton")), _texts(list(brief))), lambda m: F.try_element_at(_map(brief), m))
-    shorts = F.when(~ascii_(F.col("body")), F.array_min(F.array_except(shorts, edges(F.col("segments")))))
-    f = f.withColumn("homoglyph", F.when((F.col("skeleton") != F.col("body")) & F.col("skeleton_exact").isNull(), F.coalesce(hidden, shorts)))
+    f = f.withColumn("segments", _split("body")).withColumn("edges", _edges(F.col("segments"))).withColumn("skeleton", skeleton(F.col("body")))
+    f = matches(f, words)
+    hit = lambda c: F.struct(c["token"].alias("token"), c["brand"].alias("brand"))
+    f = f.withColumn("match", F.when(F.col("inside").isNotNull(), hit(F.col("inside"))).when(F.col("brief").isNotNull(), hit(F.col("brief"))))
+    changed = F.col("skeleton") != F.col("body")
+    f = f.withColumn("trick", F.when(changed & F.col("match").isNull() & F.col("tricked").isNotNull(), hit(F.col("tricked"))))
+    # a segment that holds a whole token is no lookalike of another
+    best = F.array_min(F.filter("near", lambda h: ~F.exists("exact", lambda t: F.contains(h["text"], t))))
+    f = f.withColumn("near", F.when(F.col("trick").isNull(), best))
+    # hidden tokens from left to right, the longest first, each letter once
+    start = F.struct(F.lit(0).alias("end"), F.lit(None).cast("struct<token string, brand string>").alias("hit"))
+    step = lambda x, h: F.when(h["at"] < x["end"], x).otherwise(F.struct((h["at"] - h["less"]).alias("end"), F.when(x["hit"].isNotNull() | h["open"], x["hit"]).otherwise(hit(h)).alias("hit")))
+    hidden = F.aggregate(F.array_sort("hidden"), start, step)["hit"]
+    f = f.withColumn("hide", F.when(changed & F.col("trick").isNull(), F.coalesce(hidden, F.when(F.col("shorts").isNotNull(), hit(F.col("shorts"))))))
+    f = f.withColumns({"matched": F.col("match.token"), "skeleton_exact": F.col("trick.token"), "lookalike": F.col("near.token"), "homoglyph": F.col("hide.token")})
     label = F.when(F.col("etld1") == F.col("suffix"), F.col("etld1")).otherwise(F.expr("substring(etld1, 1, length(etld1) - length(suffix) - 1)"))
     letters = F.filter(F.split(label, ""), lambda c: c != "")
     share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters)
     entropy = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
-    brand = F.try_element_at(_map(words.brand), F.coalesce("matched", "skeleton_exact", "lookalike", "homoglyph"))
+    brand = F.coalesce("match.brand", "trick.brand", "near.brand", "hide.brand")
     return f.select(
         "name", "etld1", "suffix", "tld", "known", "matched", "skeleton_exact", "lookalike", "homoglyph", brand.alias("brand"), F.col("matched").isNotNull().alias("brand_token_exact"),
         F.when(F.col("matched").isNotNull(), 0).otherwise(F.coalesce("near.d", F.lit(99))).alias("min_edit_distance"), F.col("homoglyph").isNotNull().alias("homoglyph_hit"), F.col("tld").isin(*RISKY).alias("tld_risk"),
@@ -193,8 +245,8 @@ def variants(spark, sf) -> DataFrame:
     """Distinct names made from each host of ``pages``: itself, and what registrants make of its longest label."""
     h = hosts(spark, sf).filter("host like '%.%'").select("host", F.regexp_extract("host", "([a-z-]+)[.]example", 1).alias("w")).distinct()
     w = F.col("w")
-    made = F.array(F.col("host"), F.concat(F.translate(w, "io", "10"), F.lit("-login.top")), F.concat(w.substr(F.lit(2), F.lit(1)), w.substr(F.lit(1), F.lit(1)), w.substr(F.lit(3), F.lit(99)), F.lit(".kyc-update.com")), F.concat(F.translate(w, "oea", "оеа"), F.lit("1-verify.xyz")), F.concat(F.lit("the9."), w, F.lit("s-x-y-z-account.net")), F.concat(F.lit("www"), F.lit("."), F.expr("substring(w, 2)"), F.lit("ab.org")))
-    return h.select(F.explode(made).alias("name")).distinct()
+    made = F.array(F.col("host"), F.concat(F.translate(w, "io", "10"), F.lit("-login.top")), F.concat(w.substr(F.lit(2), F.lit(1)), w.substr(F.lit(1), F.lit(1)), w.substr(F.lit(3), F.lit(99)), F.lit(".kyc-update.com")), F.concat(F.translate(w, "oea", "оеа"), F.lit("1-verify.xyz")), F.concat(F.lit("the9."), w, F.lit("s-x-y-z-account.net")), F.concat(F.lit("www"), F.lit("."), F.expr("substring(w, 2)"), F.lit("ab.org")), F.concat(F.lit("xn--he-kyc-4nf2kf."), w, F.lit(".com")))
+    return h.select(F.explode(made).alias("name")).select(decoded(F.col("name")).alias("name")).distinct()
 
 
 def _rule_names(spark, names: DataFrame) -> DataFrame:
@@ -205,7 +257,8 @@ def triage(spark, sf, names: DataFrame | None = None) -> DataFrame:
     """Features, score and candidate flag of each distinct (name), those of ``variants`` if none are given."""
     issuer = F.element_at(_texts(list(ISSUERS)), F.length("name") % 4 + 1)
     rules = _table(spark, RULES, "suffix string, kind string")
-    names = _rule_names(spark, variants(spark, sf) if names is None else names).withColumn("issuer", issuer).withColumn("san_count", F.length("name") % 7 + 1)
+    names = (variants(spark, sf) if names is None else names).select(decoded(F.col("name")).alias("name")).distinct()
+    names = _rule_names(spark, names).withColumn("issuer", issuer).withColumn("san_count", F.length("name") % 7 + 1)
     f = features(names, Dictionary(_table(spark, BRANDS.items(), "token string, brand string")))
     popular = hosts(spark, sf).groupBy(F.col("host").alias("name")).agg(F.count("*").alias("n")).filter("n >= 9")
     return scored(f, allowlist(popular, _table(spark, ((x,) for x in LEGITIMATE), "name string"), rules), ("brandtld",))
@@ -213,7 +266,7 @@ def triage(spark, sf, names: DataFrame | None = None) -> DataFrame:
 
 _lit = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _VARIANTS = f"""(WITH h AS (SELECT DISTINCT host, regexp_extract(host, '([a-z-]+)[.]example', 1) AS w FROM {HOSTS} WHERE host LIKE '%.%')
- SELECT DISTINCT unnest([host, translate(w, 'io', '10') || '-login.top', substring(w, 2, 1) || substring(w, 1, 1) || substring(w, 3) || '.kyc-update.com', translate(w, 'oea', 'оеа') || '1-verify.xyz', 'the9.' || w || 's-x-y-z-account.net', 'www.' || substring(w, 2) || 'ab.org']) AS name FROM h)"""
+ SELECT DISTINCT unnest([host, translate(w, 'io', '10') || '-login.top', substring(w, 2, 1) || substring(w, 1, 1) || substring(w, 3) || '.kyc-update.com', translate(w, 'oea', 'оеа') || '1-verify.xyz', 'the9.' || w || 's-x-y-z-account.net', 'www.' || substring(w, 2) || 'ab.org', 'сheар-kyc.' || w || '.com']) AS name FROM h)"""
 _RULES = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in RULES) + ") r(rule, kind)"
 
 

@@ -101,3 +101,60 @@ def test_independent_signals(spark):
     cases = [([("a", ["x"]), ("b", ["x"])], 1), ([("a", ["x"]), ("b", ["y"])], 2), ([("a", ["x"]), ("a", ["y"])], 1), ([("a", ["x"]), ("a", ["z"]), ("b", ["x"])], 2), ([("a", ["x", "y"]), ("b", ["y"]), ("c", ["z"])], 2), ([("a", []), ("b", []), ("c", [])], 3), ([], 0)]
     df = spark.createDataFrame([(k, [s for s in own]) for k, (own, _) in enumerate(cases)], "k int, s array<struct<name string, artifacts array<string>>>")
     assert [r.n for r in df.select("k", exfil.independent(F.col("s")).alias("n")).orderBy("k").collect()] == [n for _, n in cases]
+
+
+def osa(s, t):
+    d = {(i, 0): i for i in range(len(s) + 1)} | {(0, j): j for j in range(len(t) + 1)}
+    for i in range(1, len(s) + 1):
+        for j in range(1, len(t) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (s[i - 1] != t[j - 1]))
+            if i > 1 and j > 1 and s[i - 1] == t[j - 2] and s[i - 2] == t[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(s), len(t)]
+
+
+@pytest.mark.parametrize("keys", [1_000_000, 0])
+def test_index_against_every_token(spark, monkeypatch, keys):
+    """Near and contained tokens found by keys are those found by trying every token, with the index broadcast and not."""
+    import random
+    import re
+
+    monkeypatch.setattr(T, "BROADCAST_KEYS", keys)
+    rng = random.Random(8)
+    tokens = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(2, 11))) for _ in range(150)})
+    names = set()
+    while len(names) < 300:
+        word = list(rng.choice(tokens))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(word) + 1)
+            word[k : k + rng.randrange(2)] = rng.choice(["", "f", "a", "b"])
+            if len(word) > 2 and rng.random() < 0.4:
+                k = rng.randrange(len(word) - 1)
+                word[k], word[k + 1] = word[k + 1], word[k]
+        names.add("".join(word) + rng.choice(["", "-f", "9.fgh", "-" + rng.choice(tokens)]) + ".com")
+    names = {n for n in names if not n.startswith((".", "-"))}
+    df = spark.createDataFrame([(n, None, 1) for n in names], "name string, issuer string, san_count int")
+    rows = T.features(T.with_suffix(df, spark.createDataFrame([("com", "exact")], "suffix string, kind string")), T.Dictionary(spark.createDataFrame([(t, t.upper()) for t in tokens], "token string, brand string"))).collect()
+    assert len(rows) == len(names)
+    long = re.compile("|".join(sorted((t for t in tokens if len(t) > 3), key=lambda t: (-len(t), t))))
+    for r in rows:
+        body = r.name[:-4]
+        segments = [s for s in re.split("[._-]+", body) if s]
+        m = long.search(body)
+        short = {x for s in segments for x in (s, s.strip("0123456789"))} & {t for t in tokens if len(t) <= 3}
+        assert r.matched == (m[0] if m else min(short, default=None)), r.name
+        near = []
+        for at, s in enumerate(segments):
+            if len(s) >= 4 and not long.search(s):
+                for t in tokens:
+                    if len(t) >= 5 and 0 < osa(s, t) <= (2 if len(s) >= len(t) >= 8 else 1):
+                        near.append((osa(s, t), at, t))
+        if r.skeleton_exact is None:
+            assert r.lookalike == (min(near)[2] if near else None), r.name
+        assert r.brand == ((r.matched or r.skeleton_exact or r.lookalike or r.homoglyph or "").upper() or None)
+    assert sum(r.lookalike is not None for r in rows) > 30 and sum(r.matched is not None for r in rows) > 50
+
+
+def test_two_brands_of_one_token(spark):
+    with pytest.raises(ValueError):
+        T.Dictionary(spark.createDataFrame([("abc", "A"), ("abc", "B")], "token string, brand string"))
