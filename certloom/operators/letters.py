@@ -1,11 +1,18 @@
 """Whole e-mails: headers, hops, links, claimed brands, the twelve signals and the verdict.
 
-A raw message is parsed by expressions alone; signals join the few domains of each message with suffixes, confirmed domains and candidates."""
+A raw message is parsed by expressions; only encoded ones (several parts, base64 or quoted-printable bodies, encoded words in names) carry a value through
+the Arrow functions that decode them. Signals join the few domains of each message with suffixes, confirmed domains and candidates."""
 
 from __future__ import annotations
 
+from email import message_from_bytes
+from email.errors import HeaderParseError
+from email.header import decode_header
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..catalog import query
 from ..tables import table
@@ -25,17 +32,62 @@ def domain_of(address):
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(address, r"@([^@\s<>]+?)[>.\s]*$", 1)), r"\.+$", ""), F.lit(""))
 
 
+def _as_text(content: bytes, charset: str | None) -> str:
+    try:
+        return content.decode(charset or "utf-8", "replace")
+    except (LookupError, ValueError):  # a character set that does not exist
+        return content.decode("utf-8", "replace")
+
+
+def text_parts(raw: str) -> str:
+    """What the text parts of a message say, decoded, one after another; parts within parts count, other media do not."""
+    said, waiting = [], [message_from_bytes(raw.encode("utf-8", "replace"))]
+    while waiting:
+        part = waiting.pop()
+        if part.is_multipart():
+            waiting += reversed(part.get_payload())
+        elif part.get_content_type().startswith("text/"):
+            said.append(_as_text(part.get_payload(decode=True) or b"", part.get_content_charset()))
+    return "\n".join(said)
+
+
+def decoded_words(header: str) -> str:
+    """A header with its encoded words as they read; as it stands where they are malformed."""
+    try:
+        return "".join(x if isinstance(x, str) else _as_text(x, charset) for x, charset in decode_header(header))
+    except (HeaderParseError, ValueError):
+        return header
+
+
+@F.pandas_udf(StringType())
+def _text_parts(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: None if x is None else text_parts(x))
+
+
+@F.pandas_udf(StringType())
+def _decoded_words(header: pd.Series) -> pd.Series:
+    return header.map(lambda x: None if x is None else decoded_words(x))
+
+
 def parsed(mails: DataFrame, raw_col: str = "raw", *keep: str) -> DataFrame:
     """Fields of raw messages. Folded lines are joined, names of headers compared without case; a missing header is recorded in ``absent`` and
     gives null. Hops come oldest first. Null messages have no header at all."""
     raw = F.coalesce(F.regexp_replace(F.col(raw_col), "\r\n", "\n"), F.lit(""))
     head = F.regexp_replace(F.regexp_extract(raw, r"(?s)^(.*?)(?:\n\n|$(?!\n))", 1), r"\n[ \t]+", " ")
     lines = F.filter(F.split(head, "\n"), lambda x: x.contains(":"))
-    m = mails.select(*keep, raw.alias("raw"), F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"))).alias("headers"))
-    m = m.withColumn("body", F.regexp_extract("raw", r"(?s)\n\n(.*)$", 1))
+    m = mails.select(*keep, raw.alias("raw"), head.alias("head"), F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"))).alias("headers"))
+    head = F.col("head")
+    media = F.regexp_extract(F.lower(head), r"(?m)^content-type:\s*([^;\s]+)", 1)
+    coded = F.lower(head).rlike(r"(?m)^content-transfer-encoding:\s*(?:base64|quoted-printable)") | media.rlike("^(?:multipart|message)/")
+    m = m.withColumn("coded", coded).withColumn("other", (media != "") & ~F.startswith(media, F.lit("text/")))
+    plain = F.when(~F.col("other"), F.regexp_extract("raw", r"(?s)\n\n(.*)$", 1)).otherwise("")
+    m = m.withColumn("body", F.when(F.col("coded"), _text_parts(F.when(F.col("coded"), F.col("raw")))).otherwise(plain))
     every = lambda name: F.transform(F.filter("headers", lambda h: h["name"] == name), lambda h: h["value"])
     one = lambda name: F.get(every(name), F.lit(0))
-    display = F.nullif(F.trim(F.translate(F.regexp_extract(one("from"), r"^([^<]*)<", 1), '"', "")), F.lit(""))
+    m = m.withColumn("display", F.translate(F.regexp_extract(one("from"), r"^([^<]*)<", 1), '"', ""))
+    worded = F.contains("display", F.lit("=?"))
+    m = m.withColumn("display", F.when(worded, _decoded_words(F.when(worded, F.col("display")))).otherwise(F.col("display")))
+    display = F.nullif(F.trim("display"), F.lit(""))
     names = F.transform("headers", lambda h: h["name"])
     absent = F.filter(F.array(*map(F.lit, TRACKED)), lambda t: ~F.array_contains(names, F.lower(t)))
     hop = lambda v: F.struct(F.nullif(F.regexp_extract(v, r"(?i)\bfrom\s+([^\s;]+)", 1), F.lit("")).alias("from_host"), F.nullif(F.regexp_extract(v, r"(?i)\bby\s+([^\s;]+)", 1), F.lit("")).alias("by_host"), F.nullif(F.regexp_extract(v, r"[\[(]([0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9a-fA-F]*:[0-9a-fA-F:.]+)[\])]", 1), F.lit("")).alias("ip"), F.try_to_timestamp(F.regexp_extract(v, r";\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1), F.lit("d MMM yyyy HH:mm:ss Z")).alias("at"))
@@ -114,11 +166,23 @@ def written(spark, sf) -> DataFrame:
     line = lambda test, *xs: F.when(test, text(*xs)).otherwise("")
     at = lambda minute: text("Received: from mx", F.lit(minute[0]), ".example.net (mx [192.0.2.", F.lit(minute[0]), "]) by in.example.net;\r\n Mon, 6 Oct 2025 10:", F.lit(minute[1]), ":00 +0000\r\n")
     hops = F.when(k % 13 == 0, text(at(("2", "01")), at(("1", "09")))).otherwise(text(at(("2", "09")), at(("1", "01"))))
+    body = text("Hello, see ", F.when(k % 6 == 0, "https://bad.example.com/x?y=1.").otherwise("https://plain.org/a, then https://plain.org/a and (https://plain.org/b)!"), "\r\n")
+    name = F.trim(F.translate(pick(DISPLAYS, k % 3), '"', ""))
+    shown = F.when((of(5) % 2 == 1) & (name != ""), text("=?utf-8?B?", F.base64(name.cast("binary")), "?= ")).otherwise(pick(DISPLAYS, k % 3))
+    quoted = F.replace(F.replace(body, F.lit("="), F.lit("=3D")), F.lit("https://"), F.lit("https:=\r\n//"))
+    packed = F.base64(body.cast("binary"))
+    decoy = F.base64(F.lit("https://bad.example.com/decoy").cast("binary"))
+    part = lambda kind, how, x: text("--b1\r\nContent-Type: ", kind, "\r\nContent-Transfer-Encoding: ", how, "\r\n\r\n", x, "\r\n")
+    coded = (
+        F.when(of(7) % 4 == 1, text("Content-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n", packed))
+        .when(of(7) % 4 == 2, text("Content-Type: text/plain;\r\n charset=no-such-set\r\nContent-Transfer-Encoding: Quoted-Printable\r\n\r\n", quoted))
+        .when(of(7) % 4 == 3, text('Content-Type: multipart/mixed; boundary="b1"\r\n\r\n', part("application/octet-stream", "base64", decoy), part("text/plain; charset=iso-8859-1", "quoted-printable", quoted), "--b1--\r\n"))
+        .otherwise(text("\r\n", body))
+    )
     raw = text(
         line(k % 11 != 0, "Authentication-Results: mx; spf=", pick(("pass", "fail", "softfail", "none"), of(2) % 4), "; dkim=", pick(("pass", "fail"), k % 2), "; dmarc=", pick(("pass", "fail", "none"), of(5) % 3), "\r\n"), hops,
-        "From: ", pick(DISPLAYS, k % 3), "<care@", pick(DOMAINS, k % 4), ">\r\n", line(of(16) % 2 == 0, "Reply-To: x@", pick(DOMAINS, of(4) % 4), "\r\n"),
-        "Return-Path: <b@", pick(DOMAINS, of(3) % 4), ">\r\nMessage-ID:\r\n <id1@", F.when(k % 7 == 0, "plain.org").otherwise(pick(DOMAINS, k % 4)), ">\r\n\r\nHello, see ",
-        F.when(k % 6 == 0, "https://bad.example.com/x?y=1.").otherwise("https://plain.org/a, then https://plain.org/a and (https://plain.org/b)!"), "\r\n",
+        "From: ", shown, "<care@", pick(DOMAINS, k % 4), ">\r\n", line(of(16) % 2 == 0, "Reply-To: x@", pick(DOMAINS, of(4) % 4), "\r\n"),
+        "Return-Path: <b@", pick(DOMAINS, of(3) % 4), ">\r\nMessage-ID:\r\n <id1@", F.when(k % 7 == 0, "plain.org").otherwise(pick(DOMAINS, k % 4)), ">\r\n", coded,
     )
     return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
 

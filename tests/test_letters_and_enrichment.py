@@ -47,3 +47,30 @@ def test_edges_of_odd_records(spark):
     df = spark.createDataFrame([(1, None, None, None, None, "", None, None), (2, ["1.1.1.1"], ["a.net", "a.net"], 13335, "CA", None, "k", "f")], "id int, ip_addresses array<string>, nameservers array<string>, asn long, cert_issuer string, registrar string, kit_hash string, favicon_hash string")
     got = {(r.id, r.kind, r.value, r.weight) for r in E.edges_of(df, "id").collect()}
     assert got == {(2, "nameserver", "a.net", 0.6), (2, "cert_issuer", "CA", 0.15), (2, "kit_hash", "k", 1.0), (2, "favicon_hash", "f", 0.85)}
+
+
+def test_encoded_mails(spark):
+    from base64 import b64encode
+
+    from certloom.operators import letters
+
+    b64 = lambda x, c="utf-8": b64encode(x.encode(c)).decode()
+    html = '<a href="https://evil.example.com/pay">x</a>'
+    mails = {
+        "base64": f"From: =?utf-8?B?{b64('State Bänk')}?= <a@b.com>\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: base64\n\n{b64(html)}",
+        "quoted": "From: =?iso-8859-1?Q?State_B=E4nk?= <a@b.com>\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\nsee https://evil.exam=\r\nple.com/pay?a=3D1",
+        "nested": 'From: "=?utf-8?Q?State?= =?utf-8?Q?_Bank?=" <a@b.com>\nContent-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: multipart/alternative; boundary=i\n\n--i\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\n\n'
+        + b64("https://one.org/a, https://two.org") + "\n--i--\n--o\nContent-Type: application/pdf\nContent-Transfer-Encoding: base64\n\n" + b64("https://pdf.org") + "\n--o\nContent-Type: text/html; charset=utf-16\nContent-Transfer-Encoding: base64\n\n" + b64("https://three.org", "utf-16") + "\n--o--\n",
+        "broken": "From: =?utf-8?B?###?= <a@b.com>\nContent-Type: text/plain; charset=nonsense\nContent-Transfer-Encoding: base64\n\n!!!not base64",
+        "plain": "From: State <a@b.com>\n\nhttps://p.org.",
+        "media": "From: State <a@b.com>\nContent-Type: image/png\n\nhttps://p.org.",
+        "null": None,
+    }
+    df = spark.createDataFrame(list(mails.items()), "k string, raw string")
+    got = {r.k: (r.display, r.links) for r in letters.parsed(df, "raw", "k").collect()}
+    assert got["base64"] == ("State Bänk", ["https://evil.example.com/pay"])
+    assert got["quoted"] == ("State Bänk", ["https://evil.example.com/pay?a=1"])
+    assert got["nested"] == ("State Bank", ["https://one.org/a", "https://two.org", "https://three.org"])
+    assert got["broken"][1] == [] and got["plain"] == ("State", ["https://p.org"]) and got["media"] == ("State", []) and got["null"] == (None, [])
+    brand = letters.parsed(df, "raw", "k").filter("k = 'nested'").select(letters.claimed_brand(F.col("display"), {"statebank": "State Bank"}).alias("b")).first()
+    assert brand.b == "State Bank"
