@@ -12,6 +12,7 @@ from ..catalog import query
 from ..functions.storage import shared_dir
 from ..operators import forms, triage
 from ..streaming import stream as S
+from ..streaming import timers as T
 from ..streaming import workers as W
 from ..tables import HOSTS, MESSAGES, hosts, messages, table
 from . import files
@@ -169,6 +170,32 @@ def t11_rechecks(spark, sf):
     return rows.groupBy("key").agg(F.max_by(F.struct("tries", "due", "state"), "batch").alias("s")).select("key", "s.*")
 
 
+_DUE = f"""WITH m AS (SELECT cert, us, operator = 'purchase' AS ok FROM {MESSAGES}), s AS (SELECT cert, max(us) AS last, max(us) FILTER (ok) AS good FROM m GROUP BY 1),
+ n AS (SELECT cert, any_value(last) AS last, count(*) FILTER (us > coalesce(good, -1)) AS fails FROM m JOIN s USING (cert) GROUP BY 1),
+ d AS (SELECT cert::VARCHAR AS key, least(fails, 6)::INT AS tries, last + {LADDER}[fails]::BIGINT * 60000000 AS due FROM n WHERE fails BETWEEN 1 AND 6)"""
+
+
+@query(f"{_DUE} SELECT key, tries, due FROM d WHERE due <= (SELECT max(us) FROM m)")
+def t11_due_rechecks(spark, sf):
+    """Re-checks that become due while the stream goes on, without another attempt of their key (F04): timers fire them."""
+    path = folder(spark, "attempts")
+    at = F.timestamp_micros("us").alias("time")
+    messages(spark, sf).select(F.col("cert").cast("string").alias("key"), at, F.col("us").alias("at"), (F.col("operator") == "purchase").alias("ok")).write.parquet(path)
+    with T.state_store(spark):
+        rows = updates(T.due_rechecks(spark.readStream.schema("key string, time timestamp, at long, ok boolean").parquet(path)), "due")
+    return rows.filter("state = 'due'").select("key", "tries", "due")
+
+
+@query(f"""WITH s AS (SELECT cert::VARCHAR AS source, max(us) AS last_us FROM {MESSAGES} GROUP BY 1)
+ SELECT source, last_us, 'up' AS state FROM s UNION ALL SELECT source, last_us, 'down' FROM s WHERE last_us + {T.SILENCE_SECONDS} * 1000000 <= (SELECT max(us) FROM {MESSAGES})""")
+def t09_silent_sources(spark, sf):
+    """Certificates as sources: up when they are heard of, down once the others' time has passed their silence."""
+    path = folder(spark, "heartbeats")
+    messages(spark, sf).select(F.col("cert").cast("string").alias("source"), F.timestamp_micros("us").alias("time"), F.col("us").alias("at")).write.parquet(path)
+    with T.state_store(spark):
+        return updates(T.silent_sources(spark.readStream.schema("source string, time timestamp, at long").parquet(path)), "silent").select("source", "last_us", "state")
+
+
 @query("""WITH o AS (SELECT n_regionkey AS sector, min((s_acctbal, s_suppkey)) AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY 1)
  SELECT c_custkey AS name, x[2] AS organisation FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON n_regionkey = sector""")
 def t17_routed_candidates(spark, sf):
