@@ -107,9 +107,9 @@ def p12_log_range(spark, sf):
     return table(spark, sf, "events").filter("ts > timestamp_ntz'2024-01-10 00:00:00' and ts <= timestamp_ntz'2024-01-11 00:00:00' and event_type = 'error'").select("event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j07_anti_join(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N')")
