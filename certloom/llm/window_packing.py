@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -49,6 +50,8 @@ LONG = 64
 
 #: A private-use character, put where words are cut; texts that hold it go to the library whole.
 MARK = "\ue000"
+#: White space of ASCII texts that is not a single space or line break.
+ODD_ASCII = (*(a + b for a in " \n" for b in " \n"), *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
 class Words(dict):
@@ -60,7 +63,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.limit:
             self.clear()
-        self[word] = out = np.array(self.encode(word), "<u4").tobytes()
+        self[word] = out = array("I", self.encode(word)).tobytes()
         return out
 
 
@@ -71,8 +74,12 @@ class MarkedBpe(ByteBpe):
         super().__init__(path)
         self.known = Words(self.library.encode_ordinary)
 
+    def plain(self, text: str) -> bool:
+        """Whether a text's white space is single spaces and line breaks only; most ASCII texts are told by substrings alone."""
+        return not any(x in text for x in ODD_ASCII) if text.isascii() else not self.odd.search(text)
+
     def encode(self, text: str) -> bytes:
-        if MARK in text or SPECIAL in text or self.odd.search(text):
+        if MARK in text or SPECIAL in text or not self.plain(text):
             return np.array(self.library.encode(text, allowed_special="all"), "<u4").tobytes()
         if not text:
             return b""
