@@ -13,6 +13,7 @@ from ..functions.storage import shared_dir
 from ..operators import forms, triage
 from ..streaming import stream as S
 from ..streaming import timers as T
+from ..streaming import verdicts as V
 from ..streaming import workers as W
 from ..tables import HOSTS, MESSAGES, hosts, messages, table
 from . import files
@@ -196,6 +197,23 @@ def t09_silent_sources(spark, sf):
         return updates(T.silent_sources(spark.readStream.schema("source string, time timestamp, at long").parquet(path)), "silent").select("source", "last_us", "state")
 
 
+@query("""WITH s AS (SELECT 'd' || s_suppkey % 100 || '.com' AS site, min(s_suppkey)::BIGINT AS at FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+ SELECT o_orderkey AS mail, CASE (a.site IS NOT NULL)::INT + (b.site IS NOT NULL)::INT WHEN 2 THEN 'malicious' WHEN 1 THEN 'suspicious' ELSE 'clean' END AS verdict, least(a.at, b.at) AS at
+ FROM orders LEFT JOIN s a ON a.site = 'd' || o_custkey % 50 || '.com' LEFT JOIN s b ON b.site = 'd' || o_orderkey % 70 || '.com'""")
+def t14_late_verdicts(spark, sf):
+    """Stored mails of orders after suppliers' domains are confirmed by a stream: the verdict, and when it changed."""
+    name = lambda n: F.concat(F.lit("d"), n, F.lit(".com"))
+    none = lambda kind: F.array().cast(kind)
+    base = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("long").alias("mail"), name(F.col("o_custkey") % 50).alias("sender"), F.array(name(F.col("o_orderkey") % 70)).alias("links"),
+        none("array<string>").alias("signals"), F.lit("clean").alias("verdict"), none(V.HISTORY.replace(": ", ":")).alias("history"),
+    )
+    path, out = folder(spark, "confirmed"), folder(spark, "mails")
+    table(spark, sf, "supplier").filter("s_acctbal > 5000").select(name(F.col("s_suppkey") % 100).alias("site"), F.col("s_suppkey").cast("long").alias("at")).write.parquet(path)
+    V.rejudge(spark.readStream.schema("site string, at long").parquet(path), base, out, folder(spark, "progress")).awaitTermination()
+    return V.current(base, out).select("mail", "verdict", F.get("history", F.lit(0)).getField("at").alias("at"))
+
+
 @query("""WITH o AS (SELECT n_regionkey AS sector, min((s_acctbal, s_suppkey)) AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY 1)
  SELECT c_custkey AS name, x[2] AS organisation FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON n_regionkey = sector""")
 def t17_routed_candidates(spark, sf):
