@@ -23,3 +23,4 @@ def query(oracle: str | None = None):
 for _name in ("capture", "metrics", "relational", "names", "pages", "graph", "plans", "evidence", "mail", "datasets", "signals", "lookups", "forms", "triage", "exfil", "letters", "enrichment"):
     import_module(f"certloom.operators.{_name}")
 import_module("certloom.sources.landed")
+import_module("certloom.sources.followed")

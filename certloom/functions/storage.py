@@ -37,3 +37,13 @@ def delete(spark: SparkSession, folder: str) -> None:
 def forget(stored: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     delete(stored.sparkSession, stored.stored_at)
+
+
+def finished(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder whose writing jobs were completed; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    found = [s.getPath() for s in system.listStatus(path) if s.isDirectory()]
+    return sorted(p.getName() for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions.ranks import running
 from ..tables import MESSAGES, count_if, messages, table
 
 
@@ -109,10 +110,9 @@ def a16_threshold_sweep(spark, sf):
 @query(f"""WITH r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM {SCORED})
  SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 9) AS auc FROM r""")
 def a17_auc(spark, sf):
-    """Rank sums from one row for each distinct score, so the running count is over scores and not rows."""
+    """Rank sums from one row for each distinct score, ranked by ranges."""
     by = scored(spark, sf).groupBy("score").agg(count_if("y = 1").alias("p"), F.count("*").alias("n"))
-    r = by.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = r.agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("m"))
+    s = running(by, ["score"], "n").agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("m"))
     return s.select(F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("m")), 9).alias("auc"))
 
 
