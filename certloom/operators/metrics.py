@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.ranks import running
+from ..functions.storage import materialise
 from ..tables import MESSAGES, count_if, messages, table
 
 
-#: Ranges of values that a group is counted in before one of them is ordered.
-RANGES = 4096
+#: Ranges of about equally many distinct values that a group is counted in before one of them is ordered; a power of two.
+RANGES = 256
+
+
+def _bounds(value) -> Column:
+    """Upper bounds of all ranges but the last, from a sketch of the values; none if no value is a number."""
+    sketch = F.kll_sketch_agg_double(value.cast("double"))
+    at = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, at))
+
+
+def _ranged(rows: DataFrame, bounds: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the number of bounds below the value, halving the array at each step; 0 where there are no bounds."""
+    out, step = rows.withColumn(name, F.lit(0)), RANGES // 2
+    while step:
+        bound = F.get(F.col(bounds), F.col(name) + step - 1)
+        out, step = out.withColumn(name, F.col(name) + F.when(bound < F.col(value).cast("double"), step).otherwise(0)), step // 2
+    return out
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict) -> DataFrame:
     """(keys, n, largest, and a column for each of ``places``): the values at 1-based places, each a function of the column n.
 
-    No group is ordered as a whole. Equal values are counted before the shuffle; a group is counted in RANGES ranges of equal width, running
-    counts over the ranges say which one holds a place, and only the distinct values of that range are ordered."""
+    No group is ordered as a whole. Equal values are counted before the shuffle; a sketch of a group's distinct values gives RANGES ranges of about equally many,
+    however the values are spread, running counts over the ranges say which one holds a place, and only the distinct values of that range are ordered."""
     own = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    extent = own.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("largest"))
-    width = F.col("largest") - F.col("low")
-    cell = F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("v") - F.col("low")) / width * RANGES))).otherwise(0).cast("int")
-    celled = own.join(extent, keys).withColumn("cell", cell)
+    extent = materialise(own.groupBy(*keys).agg(F.sum("c").alias("n"), F.max("v").alias("largest"), _bounds(F.col("v")).alias("bounds")), "bounds")
+    celled = _ranged(own.join(extent.select(*keys, "bounds"), keys), "bounds", "v", "cell").drop("bounds")
     run = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows a group
     cells = celled.groupBy(*keys, "cell").agg(F.sum("c").alias("m")).withColumn("upto", F.sum("m").over(run))
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("place")) for k, f in places.items()])).alias("p")

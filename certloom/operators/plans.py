@@ -50,6 +50,77 @@ def co_coverage(dep: DataFrame) -> DataFrame:
     return at.select("campaign", "a", F.explode(F.slice("nodes", F.col("i") + 1, F.size("nodes"))).alias("b"), "domains").groupBy("campaign", "a", "b").agg(F.sum("domains").alias("both"))
 
 
+def within_reach(dep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(campaign, killed) of the best pair with the campaign's heaviest node, and the dependencies of the nodes of any better pair, with their weights.
+
+    A pair kills at most the sum of its nodes' weights. One that beats that floor holds two nodes that each weigh more than the floor less the
+    heaviest; the others form no pairs. Campaigns of one node have no pair."""
+    weight = dep.groupBy("campaign", "node").agg(F.count("*").alias("w"))
+    lead = weight.groupBy("campaign").agg(F.max_by("node", F.struct("w", "node")).alias("lead"), F.max("w").alias("most"))
+    led = dep.join(lead, "campaign").filter("node = lead").select("campaign", "domain")
+    common = dep.join(led, ["campaign", "domain"]).groupBy("campaign", "node").agg(F.count("*").alias("both"))
+    weighed = weight.join(lead, "campaign")
+    own = weighed.filter("node <> lead").join(common, ["campaign", "node"], "left")
+    floor = materialise(own.groupBy("campaign").agg(F.max(F.col("most") + F.col("w") - F.coalesce("both", F.lit(0))).alias("killed")), "floor")
+    kept = weighed.join(floor, "campaign").filter("w + most > killed").select("campaign", "node", "w")
+    return floor, materialise(dep.join(kept, ["campaign", "node"]).select("campaign", "domain", "node", "w"), "within")
+
+
+def reached_pairs(floor: DataFrame, near: DataFrame) -> DataFrame:
+    """(campaign, a, b, sum, both) of the pairs that share a domain and whose weights sum to more than the floor; equal node sets are counted first."""
+    sets = near.groupBy("campaign", "domain").agg(F.sort_array(F.collect_set(F.struct("w", "node"))).alias("nodes"))
+    sets = sets.groupBy("campaign", "nodes").agg(F.count("*").alias("domains")).join(floor, "campaign")
+    at = sets.select("*", F.posexplode("nodes").alias("i", "x"))
+    pairs = at.select("campaign", "killed", "domains", "x", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("y")).filter("x.w + y.w > killed")
+    return pairs.groupBy("campaign", F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.expr("x.w + y.w").alias("sum")).agg(F.sum("domains").alias("both"))
+
+
+def best_pairs(dep: DataFrame) -> DataFrame:
+    """(campaign, killed): what the best two nodes of each campaign kill together.
+
+    Only pairs within reach of the floor are looked at. Those that share no domain are best taken as the heaviest two, so only pairs that share one
+    are formed: the best of those, and for each node its heaviest partner outside its own pairs among the campaign's leaders."""
+    floor, near = within_reach(dep)
+    shared = materialise(reached_pairs(floor, near), "pairs")
+    joint = shared.select("campaign", (F.col("sum") - F.col("both")).alias("killed"))
+    weight = near.select("campaign", "node", "w").distinct()
+    # a disjoint pair beats all others only if it holds no better replacement: try each node with its first partner by weight that it shares nothing with
+    degree = shared.select("campaign", F.explode(F.array("a", "b")).alias("node")).groupBy("campaign", "node").agg(F.count("*").alias("degree"))
+    most = degree.groupBy("campaign").agg((F.max("degree") + 2).alias("depth"))
+    top = weight.withColumn("n", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("w"), "node"))).join(most, "campaign", "left").filter(F.col("n") <= F.coalesce("depth", F.lit(2)))
+    partners = top.select("campaign", F.col("node").alias("other"), F.col("w").alias("w_other")).join(floor, "campaign")
+    pairs = weight.join(partners, "campaign").filter("node <> other and w + w_other > killed")
+    linked = shared.select("campaign", F.col("a").alias("node"), F.col("b").alias("other")).union(shared.select("campaign", "b", "a"))
+    apart = pairs.join(linked, ["campaign", "node", "other"], "left_anti").select("campaign", (F.col("w") + F.col("w_other")).alias("killed"))
+    return floor.union(joint).union(apart).groupBy("campaign").agg(F.max("killed").alias("killed"))
+
+
+def dominated(dep: DataFrame) -> DataFrame:
+    """(campaign, node): nodes whose domains another node all has, and more of them or, for equal sets, a smaller id.
+
+    Equal sets are found by count and hashes and held against their smallest node domain by domain. Of the rest, a node is paired only with those
+    that share its two rarest domains (its only one, if it has one), and each such pair is checked on all domains."""
+    mark = F.xxhash64("domain")
+    nodes = dep.groupBy("campaign", "node").agg(F.count("*").alias("w"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("h"), F.bit_xor(mark).alias("x"))
+    first = nodes.groupBy("campaign", "w", "h", "x").agg(F.min("node").alias("first"))
+    twins = materialise(nodes.join(first, ["campaign", "w", "h", "x"]).select("campaign", "node", "first", "w"), "twins")
+    equal = _holding(dep, twins.filter("node <> first").select("campaign", "node", F.col("first").alias("u"), "w"))
+    sets = materialise(dep.join(twins.join(equal, ["campaign", "node"], "left_anti").select("campaign", "node", "w"), ["campaign", "node"]).select("campaign", "node", "domain", "w"), "sets")
+    degree = sets.groupBy("campaign", "domain").agg(F.count("*").alias("degree"))
+    order = Window.partitionBy("campaign", "node").orderBy("degree", "domain")
+    rare = sets.join(degree, ["campaign", "domain"]).withColumn("n", F.row_number().over(order)).filter("n <= 2")
+    other = sets.select("campaign", "domain", F.col("node").alias("u"), F.col("w").alias("wu"))
+    pairs = rare.join(other, ["campaign", "domain"]).filter("wu > w").groupBy("campaign", "node", "u", "w").agg(F.count("*").alias("n"))
+    return equal.union(_holding(sets, pairs.filter("n = least(w, 2)").select("campaign", "node", "u", "w"))).distinct()
+
+
+def _holding(dep: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(campaign, node) of the pairs (campaign, node, u, w) in which ``u`` has all of the node's ``w`` domains."""
+    own = pairs.join(dep.select("campaign", "node", "domain"), ["campaign", "node"])
+    met = own.join(dep.select("campaign", F.col("node").alias("u"), "domain"), ["campaign", "u", "domain"])
+    return met.groupBy("campaign", "node", "u", "w").agg(F.count("*").alias("n")).filter("n = w").select("campaign", "node")
+
+
 GREEDY1 = "SELECT campaign, node, gain FROM (SELECT campaign, node, count(*) AS gain, row_number() OVER (PARTITION BY campaign ORDER BY count(*) DESC, node::VARCHAR) AS n FROM {} GROUP BY 1, 2) WHERE n = 1"
 GREEDY2 = f"WITH d AS {DEPENDENCIES}, p1 AS ({GREEDY1.format('d')}), l1 AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d x JOIN p1 USING (campaign, node) WHERE x.campaign = d.campaign AND x.domain = d.domain)), p2 AS ({GREEDY1.format('l1')})"
 
@@ -93,22 +164,7 @@ def a32_co_coverage(spark, sf):
  p AS (SELECT x.campaign, x.node AS a, y.node AS b, x.w + y.w - coalesce(c.n, 0) AS killed FROM w x JOIN w y ON x.campaign = y.campaign AND x.node < y.node LEFT JOIN c ON c.campaign = x.campaign AND c.a = x.node AND c.b = y.node)
  SELECT campaign, max(killed) AS killed FROM p GROUP BY 1""")
 def i06_exact_pairs(spark, sf):
-    """Pairs that share no domain are best taken as the heaviest two nodes, so only pairs that share one are formed:
-    the best of those, and for each node its heaviest partner outside its own pairs among the campaign's leaders."""
-    dep = dependencies(spark, sf)
-    both = materialise(co_coverage(dep), "pairs")
-    weight = both.filter("a = b").select("campaign", F.col("a").alias("node"), F.col("both").alias("w"))
-    shared = both.filter("a <> b")
-    side = lambda c: weight.select("campaign", F.col("node").alias(c), F.col("w").alias(f"w_{c}"))
-    joint = shared.join(side("a"), ["campaign", "a"]).join(side("b"), ["campaign", "b"]).select("campaign", (F.col("w_a") + F.col("w_b") - F.col("both")).alias("killed"))
-    # a disjoint pair beats all others only if it holds no better replacement: try each node with its first partner by weight that it shares nothing with
-    degree = shared.select("campaign", F.explode(F.array("a", "b")).alias("node")).groupBy("campaign", "node").agg(F.count("*").alias("degree"))
-    most = degree.groupBy("campaign").agg((F.max("degree") + 2).alias("depth"))
-    top = weight.withColumn("n", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("w"), "node"))).join(most, "campaign", "left").filter(F.col("n") <= F.coalesce("depth", F.lit(2)))
-    pairs = weight.filter("w > 0").join(top.select("campaign", F.col("node").alias("other"), F.col("w").alias("w_other")), "campaign").filter("node <> other")
-    linked = shared.select("campaign", F.col("a").alias("node"), F.col("b").alias("other")).union(shared.select("campaign", "b", "a"))
-    apart = pairs.join(linked, ["campaign", "node", "other"], "left_anti").select("campaign", (F.col("w") + F.col("w_other")).alias("killed"))
-    return joint.union(apart).groupBy("campaign").agg(F.max("killed").alias("killed"))
+    return best_pairs(materialise(dependencies(spark, sf), "dependencies"))
 
 
 @query(f"{GREEDY2}, t AS (SELECT campaign, node FROM p1 UNION ALL SELECT campaign, node FROM p2) SELECT campaign, count(DISTINCT domain) FILTER (EXISTS (SELECT 1 FROM t WHERE t.campaign = d.campaign AND t.node = d.node)) AS killed, count(DISTINCT domain) AS total, round(100 * count(DISTINCT domain) FILTER (EXISTS (SELECT 1 FROM t WHERE t.campaign = d.campaign AND t.node = d.node)) / count(DISTINCT domain), 6) AS pct FROM d GROUP BY 1")
@@ -126,12 +182,7 @@ def k04_top_nodes(spark, sf):
 @query(f"""WITH d AS {DEPENDENCIES}, s AS (SELECT campaign, node, count(*) AS w FROM d GROUP BY 1, 2), c AS (SELECT x.campaign, x.node AS v, y.node AS u, count(*) AS n FROM d x JOIN d y USING (campaign, domain) WHERE x.node <> y.node GROUP BY 1, 2, 3)
  SELECT DISTINCT c.campaign, c.v AS node FROM c JOIN s a ON a.campaign = c.campaign AND a.node = c.v JOIN s b ON b.campaign = c.campaign AND b.node = c.u WHERE c.n = a.w AND (b.w > a.w OR (b.w = a.w AND c.u < c.v))""")
 def j28_dominated_nodes(spark, sf):
-    both = materialise(co_coverage(dependencies(spark, sf)), "pairs")
-    size = both.filter("a = b").select("campaign", F.col("a").alias("node"), F.col("both").alias("w"))
-    way = lambda v, u: F.struct(F.col(v).alias("node"), F.col(u).alias("u"))
-    common = both.filter("a <> b").select("campaign", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("p"), F.col("both").alias("n")).select("campaign", "p.*", "n")
-    j = common.join(size, ["campaign", "node"]).filter("n = w").join(size.select("campaign", F.col("node").alias("u"), F.col("w").alias("wu")), ["campaign", "u"])
-    return j.filter("wu > w or (wu = w and u < node)").select("campaign", "node").distinct()
+    return dominated(materialise(dependencies(spark, sf), "dependencies"))
 
 
 @query("SELECT p_size AS campaign, count(*) AS uncoverable FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) GROUP BY 1")

@@ -34,6 +34,20 @@ def test_percentiles_of_ties_and_extremes(spark):
     assert metrics.percentiles(df.limit(0), ["k"], "v", {"a": metrics.half_up(0.5)}).count() == 0
 
 
+def test_ranges_of_skewed_values(spark):
+    """Values spread over many orders of magnitude, with heavy outliers, fall into ranges of about equal size."""
+    values = spark.range(200_000).select(F.expr("exp(6 * randn(5))").alias("v")).union(spark.createDataFrame([(1e300,), (-1e300,), (float("inf"),)], "v double"))
+    ends = values.agg(metrics._bounds(F.col("v")).alias("bounds"))
+    sizes = [r["count"] for r in metrics._ranged(values.crossJoin(ends), "bounds", "v", "cell").groupBy("cell").count().collect()]
+    assert len(sizes) > metrics.RANGES * 0.7 and max(sizes) < 200_000 / metrics.RANGES * 8
+    own = sorted(r.v for r in values.collect())
+    got = metrics.percentiles(values.withColumn("k", F.lit(1)), ["k"], "v", {f"p{q}": metrics.floor_index(q / 100) for q in (1, 33, 50, 99)}).first()
+    assert [got[f"p{q}"] for q in (1, 33, 50, 99)] == [own[int(q / 100 * (len(own) - 1))] for q in (1, 33, 50, 99)]
+    odd = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("b", float("nan")), ("c", float("-inf")), ("c", 0.0)], "k string, v double")
+    got = {r.k: (str(r.low), str(r.high)) for r in metrics.percentiles(odd, ["k"], "v", {"low": lambda n: F.lit(1), "high": lambda n: n}).collect()}
+    assert got == {"a": ("1.0", "nan"), "b": ("nan", "nan"), "c": ("-inf", "0.0")}
+
+
 def test_segments_across_days(spark):
     day, gap = 1000, 300
     times = [10, 20, 400, 900, 1100, 2050, 2060, 2999, 3001, 3200, 3490, 4100, 9000, 9100, 9100]
