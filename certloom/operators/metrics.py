@@ -13,6 +13,8 @@ from ..tables import MESSAGES, count_if, messages, table
 
 #: Ranges of about equally many distinct values that a group is counted in before one of them is ordered; a power of two.
 RANGES = 256
+#: Distinct values of a group that one task orders.
+SMALL = 100_000
 
 
 def _bounds(value) -> Column:
@@ -31,14 +33,34 @@ def _ranged(rows: DataFrame, bounds: str, value: str, name: str) -> DataFrame:
     return out
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict, small: int = SMALL) -> DataFrame:
     """(keys, n, largest, and a column for each of ``places``): the values at 1-based places, each a function of the column n.
 
-    No group is ordered as a whole. Equal values are counted before the shuffle; a sketch of a group's distinct values gives RANGES ranges of about equally many,
-    however the values are spread, running counts over the ranges say which one holds a place, and only the distinct values of that range are ordered."""
+    Equal values are counted before the shuffle, and groups of at most ``small`` distinct values are ordered as they are. Of larger ones a sketch gives RANGES
+    ranges of about equally many distinct values, however they are spread; running counts over the ranges say which one holds a place, and only that range is
+    ordered. The bounds are stored, as a sketch made again may differ."""
     own = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    extent = materialise(own.groupBy(*keys).agg(F.sum("c").alias("n"), F.max("v").alias("largest"), _bounds(F.col("v")).alias("bounds")), "bounds")
-    celled = _ranged(own.join(extent.select(*keys, "bounds"), keys), "bounds", "v", "cell").drop("bounds")
+    large = own.groupBy(*keys).agg(F.count("*").alias("distinct")).filter(F.col("distinct") > small).select(*keys)
+    bounds = materialise(own.join(large, keys, "left_semi").groupBy(*keys).agg(_bounds(F.col("v")).alias("bounds")), "bounds")
+    if bounds.isEmpty():
+        return _ordered(own, keys, places)
+    out = _by_ranges(own.join(bounds, keys), keys, places)
+    return _ordered(own.join(bounds, keys, "left_anti"), keys, places).unionByName(out)
+
+
+def _ordered(own: DataFrame, keys: list[str], places: dict) -> DataFrame:
+    """``percentiles`` of groups that one task can order each, from their distinct values ``v`` and counts ``c``."""
+    group = Window.partitionBy(*keys)
+    rows = own.withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(group))
+    at = {k: f(F.col("n")).cast("long") for k, f in places.items()}
+    found = [F.max(F.when((at[k] <= F.col("upto")) & (at[k] > F.col("upto") - F.col("c")), F.col("v"))).alias(k) for k in places]
+    return rows.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys, "n").agg(F.max("v").alias("largest"), *found)
+
+
+def _by_ranges(own: DataFrame, keys: list[str], places: dict) -> DataFrame:
+    """``percentiles`` of groups with the bounds of their ranges."""
+    extent = own.groupBy(*keys).agg(F.sum("c").alias("n"), F.max("v").alias("largest"))
+    celled = _ranged(own, "bounds", "v", "cell").drop("bounds")
     run = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows a group
     cells = celled.groupBy(*keys, "cell").agg(F.sum("c").alias("m")).withColumn("upto", F.sum("m").over(run))
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("place")) for k, f in places.items()])).alias("p")

@@ -21,17 +21,18 @@ def test_no_single_partition_over_rows(spark, name):
             assert "HashAggregate(keys=[day" in "".join(lines[k : k + 4]) or "HashAggregate(keys=[day" in "".join(lines[k - 6 : k + 6]), lines[k - 3 : k + 5]
 
 
-def test_percentiles_of_ties_and_extremes(spark):
+@pytest.mark.parametrize("small", [0, 2, metrics.SMALL])
+def test_percentiles_of_ties_and_extremes(spark, small):
     rng = random.Random(3)
     groups = {"ties": [5.0] * 900 + [7.0], "one": [3.0], "wide": [rng.gauss(0, 1) for _ in range(500)] + [1e12], "few": [1.0, 2.0]}
     rows = [(k, v) for k, own in groups.items() for v in own] + [("ties", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r for r in metrics.percentiles(df, ["k"], "v", {"a": metrics.half_up(0.25), "b": metrics.half_even(0.5), "c": metrics.floor_index(0.99)}).collect()}
+    got = {r.k: r for r in metrics.percentiles(df, ["k"], "v", {"a": metrics.half_up(0.25), "b": metrics.half_even(0.5), "c": metrics.floor_index(0.99)}, small).collect()}
     assert set(got) == set(groups)
     for k, own in groups.items():
         s, n = sorted(own), len(own)
         assert (got[k].a, got[k].b, got[k].c, got[k].n, got[k].largest) == (s[int(0.25 * (n - 1) + 0.5)], s[round(0.5 * (n - 1))], s[int(0.99 * (n - 1))], n, s[-1])
-    assert metrics.percentiles(df.limit(0), ["k"], "v", {"a": metrics.half_up(0.5)}).count() == 0
+    assert metrics.percentiles(df.limit(0), ["k"], "v", {"a": metrics.half_up(0.5)}, small).count() == 0
 
 
 def test_ranges_of_skewed_values(spark):
@@ -44,7 +45,7 @@ def test_ranges_of_skewed_values(spark):
     got = metrics.percentiles(values.withColumn("k", F.lit(1)), ["k"], "v", {f"p{q}": metrics.floor_index(q / 100) for q in (1, 33, 50, 99)}).first()
     assert [got[f"p{q}"] for q in (1, 33, 50, 99)] == [own[int(q / 100 * (len(own) - 1))] for q in (1, 33, 50, 99)]
     odd = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("b", float("nan")), ("c", float("-inf")), ("c", 0.0)], "k string, v double")
-    got = {r.k: (str(r.low), str(r.high)) for r in metrics.percentiles(odd, ["k"], "v", {"low": lambda n: F.lit(1), "high": lambda n: n}).collect()}
+    got = {r.k: (str(r.low), str(r.high)) for r in metrics.percentiles(odd, ["k"], "v", {"low": lambda n: F.lit(1), "high": lambda n: n}, small=0).collect()}
     assert got == {"a": ("1.0", "nan"), "b": ("nan", "nan"), "c": ("-inf", "0.0")}
 
 
