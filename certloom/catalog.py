@@ -20,7 +20,7 @@ def query(oracle: str | None = None):
     return add
 
 
-for _name in ("capture", "metrics", "relational", "names", "pages", "graph", "plans", "evidence", "mail", "datasets", "signals", "lookups", "forms", "triage", "exfil", "letters", "enrichment"):
+for _name in ("capture", "metrics", "relational", "names", "pages", "graph", "plans", "evidence", "mail", "datasets", "signals", "lookups", "forms", "triage", "exfil", "letters", "enrichment", "diagnosis"):
     import_module(f"certloom.operators.{_name}")
 import_module("certloom.sources.landed")
 import_module("certloom.sources.followed")

@@ -159,7 +159,8 @@ DOMAINS = ("tionsh.com", "tionhs-login.top", "plain.org", "bad.example.com")
 DISPLAYS = ('"Tionsh Care" ', "Plain Shop ", "")
 
 
-def written(spark, sf) -> DataFrame:
+def written(keys: DataFrame) -> DataFrame:
+    """A message (o_orderkey, raw) for each (o_orderkey)."""
     k, text = F.col("o_orderkey"), lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n + 1).cast("int"))
     of = lambda n: F.floor(k / n)
@@ -184,7 +185,7 @@ def written(spark, sf) -> DataFrame:
         "From: ", shown, "<care@", pick(DOMAINS, k % 4), ">\r\n", line(of(16) % 2 == 0, "Reply-To: x@", pick(DOMAINS, of(4) % 4), "\r\n"),
         "Return-Path: <b@", pick(DOMAINS, of(3) % 4), ">\r\nMessage-ID:\r\n <id1@", F.when(k % 7 == 0, "plain.org").otherwise(pick(DOMAINS, k % 4)), ">\r\n", coded,
     )
-    return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
+    return keys.select("o_orderkey", raw.alias("raw"))
 
 
 _pick = lambda xs, n: "[" + ", ".join("'{}'".format(x.replace("'", "''")) for x in xs) + f"][({n})::INT + 1]"
@@ -195,7 +196,8 @@ _SIGNALS = f"""(SELECT k, list_sort(list_filter([CASE WHEN dmarc = 'fail' AND f
  CASE WHEN dkim = 'fail' THEN 'dkim_fail' END, CASE WHEN b <> f AND dmarc <> 'pass' THEN 'return_path_mismatch' END, CASE WHEN m <> f AND dmarc <> 'pass' THEN 'message_id_mismatch' END, CASE WHEN k % 13 = 0 THEN 'received_anomaly' END, CASE WHEN k % 11 = 0 THEN 'auth_results_missing' END], lambda x: x IS NOT NULL)) AS s FROM {_MAIL})"""
 
 
-def mail_signals(spark, sf) -> DataFrame:
+def mail_signals(spark, sf, mails: DataFrame | None = None) -> DataFrame:
+    """Signals of parsed mails, those of all orders if none are given."""
     rules = _table(spark, RULES, "suffix string, kind string")
     legitimate = _table(spark, [("Tionsh", "tionsh.com")], "brand string, site string")
 
@@ -204,7 +206,8 @@ def mail_signals(spark, sf) -> DataFrame:
         none = _table(spark, [], "name string")
         return scored(f, allowlist(none, legitimate.select(F.col("site").alias("name")), rules)).filter("candidate")
 
-    return signals(parsed(written(spark, sf), "raw", "o_orderkey"), "o_orderkey", BRANDS, legitimate, _table(spark, [("bad.example.com",)], "site string"), candidates, rules)
+    mails = parsed(written(table(spark, sf, "orders")), "raw", "o_orderkey") if mails is None else mails
+    return signals(mails, "o_orderkey", BRANDS, legitimate, _table(spark, [("bad.example.com",)], "site string"), candidates, rules)
 
 
 @query(f"SELECT k AS o_orderkey, array_to_string(s, ',') AS signals FROM {_SIGNALS}")
@@ -221,21 +224,21 @@ def c43_mail_verdict(spark, sf):
 @query("SELECT o_orderkey, hop, 'mx' || (hop + 1) || '.example.net' AS from_host, 'in.example.net' AS by_host, '192.0.2.' || (hop + 1) AS ip, CASE WHEN (o_orderkey % 13 = 0) = (hop = 0) THEN 9 ELSE 1 END AS minute FROM orders, (VALUES (0), (1)) h(hop)")
 def c37_reversed_hops(spark, sf):
     """Hops of each message, oldest first, with hosts, address and time."""
-    m = parsed(written(spark, sf), "raw", "o_orderkey").select("o_orderkey", F.posexplode("hops").alias("hop", "h"))
+    m = parsed(written(table(spark, sf, "orders")), "raw", "o_orderkey").select("o_orderkey", F.posexplode("hops").alias("hop", "h"))
     return m.select("o_orderkey", "hop", "h.from_host", "h.by_host", "h.ip", F.minute("h.at").alias("minute"))
 
 
 @query(f"SELECT k AS o_orderkey, concat_ws(',', CASE WHEN r IS NULL THEN 'Reply-To' END, CASE WHEN spf = 'absent' THEN 'Authentication-Results' END, 'DKIM-Signature') AS absent FROM {_MAIL}")
 def c40_absent_headers(spark, sf):
-    return parsed(written(spark, sf), "raw", "o_orderkey").select("o_orderkey", F.array_join("absent", ",").alias("absent"))
+    return parsed(written(table(spark, sf, "orders")), "raw", "o_orderkey").select("o_orderkey", F.array_join("absent", ",").alias("absent"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'https://bad.example.com/x?y=1' ELSE 'https://plain.org/a https://plain.org/b)' END AS links, CASE WHEN o_orderkey % 6 = 0 THEN 'bad.example.com' ELSE 'plain.org' END AS hosts FROM orders")
 def c39_links(spark, sf):
     """Distinct links in order, without closing punctuation, and their hosts."""
-    return parsed(written(spark, sf), "raw", "o_orderkey").select("o_orderkey", F.array_join("links", " ").alias("links"), F.array_join("link_hosts", " ").alias("hosts"))
+    return parsed(written(table(spark, sf, "orders")), "raw", "o_orderkey").select("o_orderkey", F.array_join("links", " ").alias("links"), F.array_join("link_hosts", " ").alias("hosts"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Tionsh' END AS brand FROM orders")
 def c41_claimed_brand(spark, sf):
-    return parsed(written(spark, sf), "raw", "o_orderkey").select("o_orderkey", claimed_brand(F.col("display"), BRANDS).alias("brand"))
+    return parsed(written(table(spark, sf, "orders")), "raw", "o_orderkey").select("o_orderkey", claimed_brand(F.col("display"), BRANDS).alias("brand"))

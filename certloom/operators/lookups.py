@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.storage import materialise
+from ..functions.storage import forget, materialise, shared_dir
 from ..tables import DEPENDENCIES, EDGES, HOSTS, MESSAGES, count_if, dependencies, edges, hosts, messages, table
 from .evidence import merkle_roots
 from .graph import MERGED_SQL, campaigns, merged_components, strong_components
@@ -138,18 +140,25 @@ def g07_membership_stamps(spark, sf):
 def reuse_identity(clusters: DataFrame, prior: DataFrame) -> DataFrame:
     """(cluster, identity): each cluster takes the most common prior campaign of its domains that no larger cluster took;
     ties go to the lesser id, clusters without one keep null (G06). Rounds: every open cluster proposes its best free id,
-    the largest proposer wins it; each round settles at least one id, in practice all but a few at once."""
+    the largest proposer wins it; each round settles at least one id, in practice all but a few at once. What a round settles is one folder
+    of a table, so the plan does not grow with the rounds."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     votes = clusters.join(prior, "domain").groupBy("cluster", "campaign").agg(F.count("*").alias("votes"))
-    open_ = materialise(votes.join(size, "cluster"), "votes")
-    settled = None
+    session = clusters.sparkSession
+    folder = f"{shared_dir(session)}/tables/identity-{uuid.uuid4().hex}"
+    open_, n = materialise(votes.join(size, "cluster"), "votes"), 0
     while not open_.isEmpty():
         best = open_.groupBy("cluster", "size").agg(F.min(F.struct((-F.col("votes")).alias("v"), "campaign")).campaign.alias("campaign"))
-        won = materialise(best.groupBy("campaign").agg(F.min(F.struct((-F.col("size")).alias("s"), "cluster")).cluster.alias("cluster")), "identity")
-        settled = won if settled is None else settled.union(won)
-        open_ = materialise(open_.join(won.select("cluster"), "cluster", "left_anti").join(won.select("campaign"), "campaign", "left_anti"), "votes")
+        best.groupBy("campaign").agg(F.min(F.struct((-F.col("size")).alias("s"), "cluster")).cluster.alias("cluster")).write.parquet(f"{folder}/round={n}")
+        won = session.read.parquet(f"{folder}/round={n}")
+        rest = materialise(open_.join(won.select("cluster"), "cluster", "left_anti").join(won.select("campaign"), "campaign", "left_anti"), "votes")
+        forget(open_)
+        open_, n = rest, n + 1
     kept = size.select("cluster")
-    return kept.withColumn("identity", F.lit(None).cast("long")) if settled is None else kept.join(settled.withColumnRenamed("campaign", "identity"), "cluster", "left").select("cluster", "identity")
+    if not n:
+        return kept.withColumn("identity", F.lit(None).cast("long"))
+    settled = session.read.parquet(folder).select("cluster", F.col("campaign").alias("identity"))
+    return kept.join(settled, "cluster", "left").select("cluster", "identity")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -20,6 +21,5 @@ def c38_address_domains(spark, sf):
 
 @query("SELECT DISTINCT conv_id FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS prev FROM conversations) WHERE prev > turn")
 def w11_out_of_order_hops(spark, sf):
-    hops = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("text").alias("at"), "turn"))), lambda x: x.turn).alias("t"))
-    late = F.exists(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.element_at("t", i) > F.element_at("t", i + 1))
-    return hops.filter((F.size("t") > 1) & late).select("conv_id")
+    hops = table(spark, sf, "conversations").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id").orderBy(F.length("text"), "turn")).alias("before"))
+    return hops.filter("before > turn").select("conv_id").distinct()

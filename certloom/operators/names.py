@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..catalog import query
 from ..tables import HOSTS, hosts
@@ -15,10 +19,42 @@ TOKENS = ("tionsh", "tionble", "blogs", "exmaple", "andble", "ingha", "the", "es
 
 
 def normalise_name(raw):
-    """Lower case without spaces, leading ``*.`` and final dot; null for addresses, single labels and empties."""
-    n = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), r"\.+$", ""), r"^(\*\.)+", "")
-    address = n.rlike(r"^[0-9.]+$") | n.contains(":")
-    return F.when((n != "") & ~address & n.contains("."), n)
+    """Lower case without white space around, final dots and leading ``*.``; null for addresses of version 4, single labels and empties. Encoded labels
+    and addresses of version 6 are left to ``read_names`` (P03)."""
+    n = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(raw, r"^\s+|\s+$", "")), r"\.+$", ""), r"^(\*\.)+", "")
+    part = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    return F.when(n.contains(".") & ~n.rlike(rf"^{part}(?:\.{part}){{3}}$"), n)
+
+
+def read_label(x: str) -> str:
+    """A punycode label as it reads; others, and those that cannot be decoded, unchanged."""
+    try:
+        return x.encode("ascii").decode("idna") if x.startswith("xn--") else x
+    except (UnicodeError, ValueError):
+        return x
+
+
+def _read(n: str | None) -> str | None:
+    if n and ":" in n:
+        try:
+            ipaddress.ip_address(n)
+            return None
+        except ValueError:
+            pass
+    return n and ".".join(map(read_label, n.split(".")))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _read_names(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda names: None if names is None else [_read(n) for n in names])
+
+
+def read_names(raw):
+    """A list of names, each normalised and with its labels as they read; null for those that are none, addresses of either version included.
+    Only lists with an encoded label or a colon go through Python."""
+    names = F.transform(raw, normalise_name)
+    odd = F.exists(names, lambda n: F.coalesce(n.contains("xn--") | n.contains(":"), F.lit(False)))
+    return F.when(odd, _read_names(F.when(odd, names))).otherwise(names)
 
 
 def etld1(names: DataFrame, suffixes: DataFrame, name: str = "host") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from ..catalog import query
 from ..tables import HOSTS, hosts
-from .names import KEYWORDS, RISKY
+from .names import KEYWORDS, RISKY, read_label
 from .signals import _skeleton_sql, skeleton
 
 #: Beginnings of issuers of free certificates.
@@ -32,13 +32,7 @@ BROADCAST_KEYS = 1_000_000
 
 @F.pandas_udf(StringType())
 def _decoded(names: pd.Series) -> pd.Series:
-    def label(x: str) -> str:
-        try:
-            return x.encode("ascii").decode("idna") if x.startswith("xn--") else x
-        except (UnicodeError, ValueError):
-            return x
-
-    return names.map(lambda n: None if n is None else ".".join(map(label, n.split("."))))
+    return names.map(lambda n: None if n is None else ".".join(map(read_label, n.split("."))))
 
 
 def decoded(raw):

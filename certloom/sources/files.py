@@ -93,8 +93,11 @@ def log_times(lines: DataFrame) -> DataFrame:
 
 
 def read_mails(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:
-    """Mails of a folder with the labels of their file names (S18); a label row is (file, label)."""
-    mails = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("raw"))
+    """Mails of a folder with the labels of their file names (S18); a label row is (file, label). Where mails were written by Spark, each in a folder
+    ``file=<name>``, that names them. A mail without a label is left out."""
+    last = F.element_at(F.split("path", "/"), -1)
+    name = F.coalesce(F.nullif(F.regexp_extract("path", "/file=([^/]+)/[^/]+$", 1), F.lit("")), last)
+    mails = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name.alias("file"), F.col("content").cast("string").alias("raw"))
     return mails.join(labels, "file")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.storage import shared_dir
-from ..operators import forms, triage
+from ..functions.storage import materialise, shared_dir
+from ..operators import forms, letters, triage
 from ..streaming import stream as S
 from ..streaming import timers as T
 from ..streaming import verdicts as V
@@ -317,6 +317,28 @@ def s13_service_log(spark, sf):
     return files.read_service_log(spark, land(lines, "service")).groupBy("operator", "cause").agg(F.count("*").alias("n"))
 
 
+#: Signals that rest on sites confirmed before the mail came.
+CONFIRMED = ("link_domain_confirmed", "sender_domain_confirmed")
+_SAMPLES = letters._SIGNALS.replace("SELECT o_orderkey AS k FROM orders", "SELECT s_suppkey AS k FROM supplier")
+
+
+@query(f"""WITH m AS (SELECT CASE WHEN k % 2 = 0 THEN 'phishing' ELSE 'legit' END AS truth, unnest([('cold', list_filter(s, lambda x: x NOT IN {CONFIRMED})), ('warm', s)]) AS c FROM {_SAMPLES} WHERE k % 17 > 0)
+ SELECT c[1] AS state, truth, CASE WHEN len(list_filter(c[2], lambda x: x IN {letters.STRONG})) >= 2 THEN 'malicious' WHEN len(c[2]) > 0 THEN 'suspicious' ELSE 'clean' END AS verdict, count(*) AS n FROM m GROUP BY ALL""")
+def s18_labelled_mails(spark, sf):
+    """Verdicts by label over a folder with a mail of each supplier, with and without the sites that were confirmed before."""
+    keys = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("o_orderkey"))
+    name = F.concat(F.lit("m"), F.col("o_orderkey").cast("string"), F.lit(".eml"))
+    path = folder(spark, "mails")
+    letters.written(keys).select(name.alias("file"), F.col("raw").alias("value")).write.partitionBy("file").text(path)
+    truth = F.when(F.col("o_orderkey") % 2 == 0, "phishing").otherwise("legit")
+    labels = keys.filter(F.col("o_orderkey") % 17 > 0).select(name.alias("file"), truth.alias("truth"), "o_orderkey")
+    mails = materialise(letters.parsed(files.read_mails(spark, path, labels), "raw", "o_orderkey"), "mails")  # small files are opened once
+    judged = letters.mail_signals(spark, sf, mails).join(labels.select("o_orderkey", "truth"), "o_orderkey")
+    states = F.array(F.struct(F.lit("cold").alias("state"), F.array_except("signals", F.array(*map(F.lit, CONFIRMED))).alias("found")), F.struct(F.lit("warm").alias("state"), F.col("signals").alias("found")))
+    rows = judged.select("truth", F.inline(states))
+    return rows.groupBy("state", "truth", letters.verdict(F.col("found")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
 def derived_forms(spark, sf) -> DataFrame:
     """``pages`` with three forms of their own before them: a rooted, an absolute and a relative action."""
     host = F.upper(F.coalesce("host", F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.names import normalise_name
+from ..operators.names import read_names
 
 MESSAGE = """message_type string, data struct<seen: double, cert_index: bigint, source: struct<name: string, url: string>,
  leaf_cert: struct<sha256: string, fingerprint: string, serial_number: string, not_before: double, not_after: double, all_domains: array<string>, issuer: struct<O: string>>>"""
@@ -29,10 +29,10 @@ def records(messages: DataFrame) -> DataFrame:
     """Certificate records of the usable messages (P01-P04): normalised names in first-seen order, at most MAX_NAMES, overflow counted.
 
     The fingerprint is the first non-empty one of sha256 and fingerprint; records without any are keyed by log and index. Messages without a
-    usable name give none. Punycode stays as it is; ``triage.decoded`` reads it."""
+    usable name give none. Encoded labels are kept as they read."""
     leaf = F.col("data.leaf_cert")
     raw = F.coalesce(leaf.all_domains, F.array().cast("array<string>"))
-    names = F.array_distinct(F.filter(F.transform(raw, normalise_name), lambda n: n.isNotNull()))
+    names = F.array_distinct(F.array_compact(read_names(raw)))
     fingerprint = F.coalesce(F.nullif(leaf.sha256, F.lit("")), F.nullif(leaf.fingerprint, F.lit("")))
     key = F.coalesce(F.concat(F.lit("fp:"), fingerprint), F.concat(F.lit("ix:"), F.col("data.source.url"), F.lit("#"), F.col("data.cert_index").cast("string")))
     at = lambda c: F.timestamp_micros(F.round(c * 1_000_000).cast("long"))
