@@ -26,7 +26,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import delete, forget
@@ -40,10 +40,22 @@ LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Schemes of Hadoop's connectors, and how pyarrow names the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme that Spark itself resolves it by, so that tasks never take one without a scheme for a local one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    """The file system of a qualified URI and the path in it. Credentials are those of the machine; a scheme that pyarrow does not know is an error."""
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -220,7 +232,7 @@ def read_records(index: DataFrame) -> DataFrame:
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Archive ``pages``, normalise the archives and read them back (see ``read_records``)."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(pages.sparkSession, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("row"))

@@ -3,6 +3,9 @@ import gzip
 import hashlib
 import json
 
+import pyarrow as pa
+import pyarrow.fs
+import pytest
 from pyspark.sql import functions as F
 
 from certloom.llm import warc
@@ -41,6 +44,27 @@ def test_normaliser_members_and_index(tmp_path):
     assert [json.loads(x)["offset"] for x in (tmp_path / "b.gz.index.jsonl").read_text().splitlines()] == [e["offset"] for e in entries]
 
 
+def test_folders_are_resolved_as_spark_does(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert warc.qualified(spark, f"{tmp_path}/x") == f"file:{tmp_path}/x" and warc.qualified(spark, f"file://{tmp_path}") == f"file:{tmp_path}"
+    conf.set("fs.defaultFS", "viewfs://c/")
+    conf.set("fs.viewfs.mounttable.c.link./data", f"file://{tmp_path}")
+    try:
+        assert warc.qualified(spark, "/data/x") == "viewfs://c/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    with pytest.raises(pa.ArrowInvalid):
+        warc.file_system("nosuch://c/data/x")
+
+
+def test_object_store_schemes():
+    for scheme in ("s3a", "s3"):
+        fs, path = warc.file_system(f"{scheme}://k:p@bucket/a/b?region=eu-west-1")
+        assert isinstance(fs, pyarrow.fs.S3FileSystem) and path == "bucket/a/b"
+    assert warc.file_system("file:/a/b")[1] == warc.file_system("file:///a/b")[1] == "/a/b"
+
+
 def test_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in warc.op4_warc(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)
