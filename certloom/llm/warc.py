@@ -25,11 +25,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import delete, forget
+from ..functions.storage import SCHEMES, delete, file_system, forget, qualified  # noqa: F401
 from .common import materialise, shared_dir, slices
 
 #: Inflated bytes after which a task starts another archive.
@@ -40,24 +39,6 @@ LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-#: Schemes of Hadoop's connectors, and how pyarrow names the same stores.
-SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """A folder with the scheme that Spark itself resolves it by, so that tasks never take one without a scheme for a local one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a qualified URI and the path in it. Credentials are those of the machine; a scheme that pyarrow does not know is an error."""
-    scheme, colon, rest = uri.partition(":")
-    if scheme == "file":
-        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

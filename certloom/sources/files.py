@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import file_system, qualified
+from ..tables import dealt
+
 #: The counter line, the recorder's stamp, the share of an hour a clock may run back without a new day.
 COUNTER = r'certs_by_log_total\{url="([^"]+)",operator="([^"]+)"\} (\d+)'
 STAMP = r"^\[(\d\d):(\d\d)\] (.*)$"
@@ -92,13 +100,65 @@ def log_times(lines: DataFrame) -> DataFrame:
     return stamped.select("log", "line", at.cast("long").alias("at"), kind.alias("kind")).unionByName(bare)
 
 
+#: Mails that a task reads or writes between two batches, and those that one task reads.
+MAILS_AT_ONCE, MAILS_A_TASK = 256, 2_000
+
+
+def write_mails(mails: DataFrame, folder: str) -> None:
+    """Write each of (file, raw) as a file of that name, in a folder for each task. A task that is tried again replaces its files."""
+    base = qualified(mails.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(base)
+        own, n = f"{path}/part-{TaskContext.get().partitionId():05d}", 0
+        fs.create_dir(own, recursive=True)
+        for batch in batches:
+            for file, raw in zip(batch.column("file").to_pylist(), batch.column("raw").cast(pa.binary()).to_pylist()):
+                with fs.open_output_stream(f"{own}/{file}", compression=None) as out:
+                    out.write(raw or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    mails.select("file", "raw").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _listed(batches: Iterator[pa.RecordBatch], base: str, deep: bool) -> Iterator[pa.RecordBatch]:
+    """(path, folder) of what is in a folder (of all below it, if ``deep``); hidden names and those that Spark writes for itself are left out."""
+    fs, _ = file_system(base)
+    for batch in batches:
+        for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist()):
+            found = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=deep)) if folder else fs.get_file_info([path])
+            seen = [(i.path, i.type == pyarrow.fs.FileType.Directory) for i in found if not i.path[len(path) :].lstrip("/").startswith(("_", ".")) and "/_" not in i.path[len(path) :] and "/." not in i.path[len(path) :]]
+            for at in range(0, len(seen), 10_000):
+                part = seen[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([d for _, d in part], pa.bool_())], names=["path", "folder"])
+
+
 def read_mails(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:
     """Mails of a folder with the labels of their file names (S18); a label row is (file, label). Where mails were written by Spark, each in a folder
-    ``file=<name>``, that names them. A mail without a label is left out."""
+    ``file=<name>``, that names them. A mail without a label is left out, and its file is not opened. Folders are listed by tasks, those in the given one each by its own."""
+    base = qualified(spark, path)
+    top = file_system(base)[1]
+    first = spark.createDataFrame([(top, True)], "path string, folder boolean").mapInArrow(lambda it: _listed(it, base, False), "path string, folder boolean")
+    below = first.repartition("path").mapInArrow(lambda it: _listed(it, base, True), "path string, folder boolean").filter("not folder")
     last = F.element_at(F.split("path", "/"), -1)
     name = F.coalesce(F.nullif(F.regexp_extract("path", "/file=([^/]+)/[^/]+$", 1), F.lit("")), last)
-    mails = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name.alias("file"), F.col("content").cast("string").alias("raw"))
-    return mails.join(labels, "file")
+    named = below.select("path", name.alias("file")).join(labels, "file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(base)
+        for batch in batches:
+            for at in range(0, batch.num_rows, MAILS_AT_ONCE):
+                part, read = batch.slice(at, MAILS_AT_ONCE), []
+                for p in part.column("path").to_pylist():
+                    with fs.open_input_stream(p, compression=None) as source:
+                        read.append(source.read().decode("utf-8", "replace"))
+                columns = [c for c in part.schema.names if c != "path"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, columns), pa.array(read, pa.string())], names=[*columns, "raw"])
+
+    kept = [c for c in named.columns if c != "path"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name in kept)
+    return dealt(named, "path", rows=MAILS_A_TASK).mapInArrow(run, schema + ", raw string").select("file", "raw", *[c for c in kept if c != "file"])
 
 
 def export(df: DataFrame, path: str) -> int:

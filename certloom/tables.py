@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of small columns that one task takes where much is made of each.
+TASK_ROWS = 50_000
+
 MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({} as timestamp_ntz))"
 
 
@@ -12,6 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str, rows: int = TASK_ROWS) -> DataFrame:
+    """The same rows by hash in partitions of about ``rows`` each, and at least one for each core; a number that is given is not reduced afterwards."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *by)
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as certificate messages: cert, operator, log index, capture run (hour), time in microseconds, score."""
     us = F.expr(MICROS.format("ts"))

@@ -80,3 +80,16 @@ def test_ids_and_tokens(spark):
     assert len(ids) == len({r.id for r in ids}) == 2
     brands = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["y"]), ("c", None)], "name string, tokens array<string>")
     assert [tuple(r) for r in O.duplicate_tokens(brands).collect()] == [("y", 2)]
+
+
+def test_mails_of_folders(spark, tmp_path):
+    """Mails written by tasks are dealt to folders and read back as they are; those without a label are not opened."""
+    rows = [(f"m{k}.eml", f"From: {k}\r\n\r\né {k}") for k in range(50)]
+    S.write_mails(spark.createDataFrame(rows, "file string, raw string").repartition(4, "file"), str(tmp_path / "m"))
+    (tmp_path / "m" / "file=odd.eml").mkdir()
+    (tmp_path / "m" / "file=odd.eml" / "part-0.txt").write_text("odd")
+    (tmp_path / "m" / "_SUCCESS").write_text("")
+    assert len(list((tmp_path / "m").glob("part-*"))) > 1
+    labels = spark.createDataFrame([(f, k) for k, (f, _) in enumerate(rows[:40])] + [("odd.eml", 99), ("none.eml", 100)], "file string, label int")
+    got = sorted((r.label, r.file, r.raw) for r in S.read_mails(spark, str(tmp_path / "m"), labels).collect())
+    assert got == [(k, f, x) for k, (f, x) in enumerate(rows[:40])] + [(99, "odd.eml", "odd")]
