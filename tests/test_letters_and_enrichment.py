@@ -74,3 +74,30 @@ def test_encoded_mails(spark):
     assert got["broken"][1] == [] and got["plain"] == ("State", ["https://p.org"]) and got["media"] == ("State", []) and got["null"] == (None, [])
     brand = letters.parsed(df, "raw", "k").filter("k = 'nested'").select(letters.claimed_brand(F.col("display"), {"statebank": "State Bank"}).alias("b")).first()
     assert brand.b == "State Bank"
+
+
+def test_ordinary_messages_read_as_the_email_package_reads_them():
+    """Cut at marks or walked part by part, the text is the same."""
+    part = lambda kind, how, x: f"--b\nContent-Type: {kind}\nContent-Transfer-Encoding: {how}\n\n{x}\n"
+    bodies = ["aGVs\nbG8=\n", "aGVsbG8", "aGVsbG8=aGk=", "!!", "", "a=3Db =\nc\n", "=", "=zz", "x\n\ny", "--b\n", "--b--", " trailing \t\n"]
+    raws = [f"From: a\nContent-Type: {k}\nContent-Transfer-Encoding: {e}\nX: y\n\n{b}" for k in ("text/plain", "TEXT/html; charset=no-such", "image/png", "odd", "text/plain;\n charset=iso-8859-1", "message/rfc822") for e in ("base64", "Quoted-Printable", "7bit", "x-uue", "base64 ") for b in bodies]
+    for sub in ('boundary="b"', "boundary=b", "boundary=b; charset=x", ""):
+        for kind in ("mixed", "digest", "alternative"):
+            for inner in bodies:
+                for tail in ("--b--\n", "--b--", "--b-- \nafter", ""):
+                    raws.append(f"A: 1\nContent-Type: multipart/{kind}; {sub}\n\npre\n" + part("text/plain", "quoted-printable", inner) + part("image/png", "base64", inner) + part("text/html", "base64", inner) + tail)
+    raws += ["Content-Type : text/plain\n\nx", " x\n\ny", "A: 1\nno colon\n\nx", "From me\nA: 1\n\nx", "A: 1\nContent-Type: multipart/mixed; boundary=b\n\n--b\n\nno head\n--b\nA: 1\n\nx\n--b--\n", "A: 1\nContent-Type: multipart/mixed; boundary=b\n\n--b\n--b\nA: 1\n\nx\n--b--", "A: é\n\né", "A: 1\n\nx\ry", "A: 1\n\nx\x0cy", "", "\n\n", "A: 1"]
+    regular = 0
+    for raw in raws:
+        assert L.text_parts(raw) == "\n".join(L._walked(raw.encode("utf-8", "replace"))), raw
+        regular += L._regular(raw) is not None
+    assert regular > 200
+
+
+def test_messages_are_parsed_once(spark):
+    """Absent headers are not read again for each tracked one, and signals of messages without any domain or with a null one are told."""
+    raws = [(1, "From: x <a@tionhs-login.top>\nReply-To: b@plain.org\n\nsee https://bad.example.com/x"), (2, None), (3, "Subject: s\n\nhttps://sub.bad.example.com/ https://plain.org/")]
+    got = {r.o_orderkey: r.signals for r in L.mail_signals(spark, "", L.parsed(spark.createDataFrame(raws, "o_orderkey long, raw string"), "raw", "o_orderkey")).collect()}
+    assert got == {1: ["auth_results_missing", "link_domain_confirmed", "lookalike_sender_domain", "reply_to_mismatch"], 2: [], 3: ["link_domain_confirmed"]}
+    plan = L.parsed(spark.createDataFrame(raws, "o_orderkey long, raw string"), "raw", "o_orderkey").select("absent")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 1
