@@ -134,7 +134,7 @@ def g07_membership_stamps(spark, sf):
     """A stamp moves only where the campaign changes from the prior one."""
     e = edges(spark, sf)
     prior = strong_components(e).withColumnRenamed("component", "prior")
-    return merged_components(e).join(prior, "domain", "left").select("domain", "campaign", (~F.col("campaign").eqNullSafe(F.col("prior"))).alias("moved"))
+    return merged_components(e).join(prior.hint("merge"), "domain", "left").select("domain", "campaign", (~F.col("campaign").eqNullSafe(F.col("prior"))).alias("moved"))
 
 
 def reuse_identity(clusters: DataFrame, prior: DataFrame) -> DataFrame:
@@ -143,22 +143,22 @@ def reuse_identity(clusters: DataFrame, prior: DataFrame) -> DataFrame:
     the largest proposer wins it; each round settles at least one id, in practice all but a few at once. What a round settles is one folder
     of a table, so the plan does not grow with the rounds."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    votes = clusters.join(prior, "domain").groupBy("cluster", "campaign").agg(F.count("*").alias("votes"))
+    votes = clusters.join(prior.hint("merge"), "domain").groupBy("cluster", "campaign").agg(F.count("*").alias("votes"))
     session = clusters.sparkSession
     folder = f"{shared_dir(session)}/tables/identity-{uuid.uuid4().hex}"
-    open_, n = materialise(votes.join(size, "cluster"), "votes"), 0
+    open_, n = materialise(votes.join(size.hint("merge"), "cluster"), "votes"), 0
     while not open_.isEmpty():
         best = open_.groupBy("cluster", "size").agg(F.min(F.struct((-F.col("votes")).alias("v"), "campaign")).campaign.alias("campaign"))
         best.groupBy("campaign").agg(F.min(F.struct((-F.col("size")).alias("s"), "cluster")).cluster.alias("cluster")).write.parquet(f"{folder}/round={n}")
         won = session.read.parquet(f"{folder}/round={n}")
-        rest = materialise(open_.join(won.select("cluster"), "cluster", "left_anti").join(won.select("campaign"), "campaign", "left_anti"), "votes")
+        rest = materialise(open_.join(won.select("cluster").hint("merge"), "cluster", "left_anti").join(won.select("campaign").hint("merge"), "campaign", "left_anti"), "votes")
         forget(open_)
         open_, n = rest, n + 1
     kept = size.select("cluster")
     if not n:
         return kept.withColumn("identity", F.lit(None).cast("long"))
     settled = session.read.parquet(folder).select("cluster", F.col("campaign").alias("identity"))
-    return kept.join(settled, "cluster", "left").select("cluster", "identity")
+    return kept.join(settled.hint("merge"), "cluster", "left").select("cluster", "identity")
 
 
 @query()

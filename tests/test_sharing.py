@@ -50,3 +50,13 @@ def test_co_coverage(spark):
     rows = spark.createDataFrame([(c, d, n) for (c, d), own in dep.items() for n in own], "campaign int, domain int, node int")
     want = Counter((c, a, b) for (c, _), own in dep.items() for a, b in combinations_with_replacement(sorted(own), 2))
     assert {(r.campaign, r.a, r.b): r.both for r in co_coverage(rows).collect()} == dict(want)
+
+
+def test_rounds_send_nothing_to_the_driver(spark):
+    """Joins of the graph's rounds are merges also where a side is small."""
+    from certloom.operators import graph
+
+    e = spark.createDataFrame([(1, 5, 0.85), (2, 5, 0.85), (3, 6, 0.15)], "domain long, node long, weight double")
+    found = graph.strong_components(e)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
