@@ -3,22 +3,27 @@
 *Blocks.* Each task reads its documents into blocks of about half a million words of one language. A block is a sequence of numbers:
 each word's place in the block's own list of words, and 0 where a piece of text ends.
 
-*Levels.* The numbers of a block are replaced by ranks: what occurs ``min_count`` times in all is numbered by descending frequency,
-everything else becomes 0, since no frequent phrase holds a rare part. Neighbouring ranks form pairs. A pair (left, right) lies
-in the tile (left // 1024, right // 1024); a tile with many pairs of a block is counted by one dense bincount over its 1024 x 1024
-addresses, pairs of all others as sorted coordinates. Spark adds the blocks' counts. Frequent pairs are ranked anew and the step is
-repeated on them: pairs of words that overlap in a word are phrases of three, and pairs of those are phrases of four.
+*Words.* The numbers of a block are replaced by ranks: what occurs ``min_count`` times in all is numbered by descending frequency,
+everything else becomes 0, since no frequent phrase holds a rare part.
 
-*Spark.* A hot word or pair gives one row for each block, however often it occurs. Nothing is broadcast whose size grows with
-the corpus: ranks come back to their blocks by number, as far as the block holds them. Ranks are given within each hash partition of the units and
-interleaved, not in one task. Each level is a stored table; what the next one does not need is deleted.
+*Levels.* Neighbouring ranks form pairs. A pair (left, right) lies in the tile (left // 1024, right // 1024); a tile with many pairs of a block
+is counted by one dense bincount over its 1024 x 1024 addresses, pairs of all others as sorted coordinates. Spark adds the blocks' counts.
+Then each block ranks its frequent pairs anew and the step is repeated on them: pairs of words that overlap in a word are phrases of three,
+and pairs of those are phrases of four. Ranks of phrases hold in one block only; what leaves it is named by the ranks of its words.
+
+*Seen.* Which phrases are frequent comes back to all blocks as a table of bits of one fixed size, not as a row for each block and phrase.
+A rare phrase whose place in it is taken goes on to the next level, where its true count drops what holds it; a frequent one is never lost.
+
+*Spark.* A hot word or pair gives one row for each block, however often it occurs, and one for each task after Spark's own partial sums. Nothing is
+broadcast whose size grows with the corpus: ranks of words come back to their blocks by number, as far as the block holds them. Ranks are given within each
+hash partition of the words and interleaved, not in one task. Each level is a stored table; what the next one does not need is deleted.
 
 *Scores.* Each candidate carries the counts of all its beginnings and ends, so cuts need no further joins. Sums and products are decimals. A
 longer phrase that passes 80 % of a candidate's count implies one of just one word more that does, so only those are looked at.
 
 Defined cases: null text counts as empty, null lang as ``und``; repeated rows count each; a document without words gives nothing; very long texts are read
 whole; an empty table gives no rows; other columns are not read, whatever their names. Words may hold any character but space, tab and
-those at which pieces end; only A to Z are lower-cased. There can be 2^31 frequent units in a level; more raise an error.
+those at which pieces end; only A to Z are lower-cased. There can be 2^31 frequent words; more raise an error.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import forget
@@ -44,6 +49,10 @@ BLOCK_WORDS = 1 << 19
 HELD_BLOCKS = 4
 #: A tile has 2^TILE_BITS ranks on each side; it is counted densely from so many pairs on.
 TILE_BITS, DENSE = 10, 1 << 15
+#: Bits of the table of frequent phrases, a prime (16 MB).
+PLACES = (1 << 27) - 39
+#: A phrase's place is the sum of its words' ranks times these, the last word times the last; sums stay below 2^60.
+WEIGHTS = (93_563_167, 71_324_449, 119_850_377, 58_217_903)
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -132,38 +141,61 @@ def _ids(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(b.as_buffer(), "<i4")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], tile_bits: int, dense: int) -> Iterator[pa.RecordBatch]:
+def _place(words: list) -> object:
+    """Where a phrase lies in the table of bits, before the division: of numbers, arrays or columns."""
+    return sum(w * WEIGHTS[k - len(words)] for k, w in enumerate(words))
+
+
+def phrase_counts(ids: np.ndarray, size: int, seen: np.ndarray | None, places: int, tile_bits: int = TILE_BITS, dense: int = DENSE) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the phrases' words, an array for each place in the phrase; how often each comes) of a block's phrases of ``size`` words whose parts of one word less are all seen."""
+    part = size - 1
+    if part == 1:
+        keys, counts = count_pairs(ids, tile_bits, dense)
+        return [keys >> 32, keys & 0xFFFFFFFF], counts
+    words = [ids[k : len(ids) - part + 1 + k].astype(np.int64) for k in range(part)]
+    at = np.flatnonzero(np.logical_and.reduce([w > 0 for w in words]))
+    words = [w[at] for w in words]
+    place = _place(words) % places
+    known = seen[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+    at, words = at[known], [w[known] for w in words]
+    code = words[0]
+    for w in words[1:]:
+        _, first, code, n = np.unique(code << 32 | w, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(1, len(order) + 1)
+    ranks = np.zeros(max(len(ids) - part + 1, 0), np.int32)
+    ranks[at] = rank[code]
+    keys, counts = count_pairs(ranks, tile_bits, dense)
+    left, right = first[order[(keys >> 32) - 1]], first[order[(keys & 0xFFFFFFFF) - 1]]
+    return [w[left] for w in words] + [words[-1][right]], counts
+
+
+def _counted(batches: Iterator[pa.RecordBatch], size: int, seen: Broadcast | None, places: int, tile_bits: int, dense: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
-        keys, counts = count_pairs(next(_ids(batch.column("ids"))), tile_bits, dense)
-        block = np.full(len(keys), batch.column("block")[0].as_py())
-        for at in range(0, len(keys), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(block[part]), pa.array(keys[part]), pa.array(counts[part])], names=["block", "unit", "n"])
+        words, counts = phrase_counts(next(_ids(batch.column("ids"))), size, seen and seen.value, places, tile_bits, dense)
+        a, b, c, d = [np.zeros(len(counts), np.int64)] * (LONGEST - size) + words
+        high, low = a << 32 | b, c << 32 | d
+        for at in range(0, len(counts), 100_000):
+            own = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(high[own]), pa.array(low[own]), pa.array(counts[own])], names=["high", "low", "n"])
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks with the ranks of their units: of the words by their place in the block, of pairs by the pair."""
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the ranks of their words, found by the word's place in the block."""
     for batch in slices(batches, 1):
         ids = next(_ids(batch.column("ids")))
         found = batch.column("found")[0]
         if not found.is_valid:
             continue
-        unit, rank = (found.values.field(k).to_numpy() for k in (0, 1))
-        if pairs:
-            order = np.argsort(unit)
-            unit, rank = unit[order], rank[order]
-            key = ids[:-1].astype(np.int64) << 32 | ids[1:]
-            k = np.minimum(np.searchsorted(unit, key), len(unit) - 1)
-            new = np.where((unit[k] == key) & (ids[:-1] > 0) & (ids[1:] > 0), rank[k], 0)
-        else:
-            table = np.zeros(max(int(ids.max(initial=0)), int(unit.max())) + 1, np.int64)
-            table[unit] = rank
-            new = table[ids]
-        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([_collapsed(new).astype("<i4").tobytes()], pa.binary())], names=["block", "ids"])
+        slot, rank = (found.values.field(k).to_numpy() for k in (0, 1))
+        table = np.zeros(max(int(ids.max(initial=0)), int(slot.max())) + 1, np.int64)
+        table[slot] = rank
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([_collapsed(table[ids]).astype("<i4").tobytes()], pa.binary())], names=["block", "ids"])
 
 
 def _with_ids(batches: Iterator[pa.RecordBatch], key: list[str], parts: int) -> Iterator[pa.RecordBatch]:
-    """Numbers the units of one partition that is ordered by descending frequency: the k-th of partition p is k * parts + p + 1."""
+    """Numbers the words of one partition that is ordered by descending frequency: the k-th of partition p is k * parts + p + 1."""
     own, last, rank = TaskContext.get().partitionId(), None, -1
     if own >= parts:
         raise ValueError("more partitions than were asked for")
@@ -178,38 +210,53 @@ def _with_ids(batches: Iterator[pa.RecordBatch], key: list[str], parts: int) ->
         ranks = rank + np.cumsum(new)
         rank = int(ranks[-1])
         if rank * parts + own + 1 >= 1 << 31:
-            raise ValueError("more than 2^31 frequent units")
+            raise ValueError("more than 2^31 frequent words")
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((ranks * parts + own + 1).astype(np.int32))], names=[*batch.schema.names, "id"])
 
 
-def frequent(rows: DataFrame, key: list[str], slot: str, min_count: int) -> DataFrame:
-    """(block, key, slot, f, id) of the units that occur ``min_count`` times in all. Units are dealt to partitions by hash and ranked by frequency
-    within each; the partitions' ranks are interleaved, so that small ids are frequent units, and no rank needs all units in one place."""
+def frequent(rows: DataFrame, key: list[str], min_count: int) -> DataFrame:
+    """(block, key, slot, f, id) of the words that occur ``min_count`` times in all. Words are dealt to partitions by hash and ranked by frequency
+    within each; the partitions' ranks are interleaved, so that small ids are frequent words, and no rank needs all words in one place."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = F.sum("n").over(Window.partitionBy(*key))
     counted = rows.repartition(parts, *key).withColumn("f", total).filter(F.col("f") >= min_count)
-    kept = counted.select("block", *dict.fromkeys([*key, slot]), "f").sortWithinPartitions(F.desc("f"), *key)
+    kept = counted.select("block", *key, "slot", "f").sortWithinPartitions(F.desc("f"), *key)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(lambda it: _with_ids(it, key, parts), ddl + ", id int")
 
 
-def _next_level(blocks: DataFrame, rows: DataFrame, key: list[str], slot: str, pairs: bool, min_count: int, name: str, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(the level's units with their ids, stored; the blocks in those ids, stored, but for the last level)."""
-    found = materialise(frequent(rows, key, slot, min_count), f"{name}-found")
-    units = materialise(found.groupBy(*key, "id").agg(F.first("f").alias("f")), f"{name}-units")
-    new = None
-    if not last:
-        mapping = found.groupBy("block").agg(F.collect_list(F.struct(F.col(slot).alias("unit"), "id")).alias("found"))
-        new = materialise(blocks.select("block", "ids").join(mapping, "block").mapInArrow(lambda it: _ranked(it, pairs), "block long, ids binary"), name)
+def _words(blocks: DataFrame, rows: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """(the frequent words with their ids, stored; the blocks in those ids, stored)."""
+    found = materialise(frequent(rows, ["lang", "word"], min_count), "ranks-found")
+    units = materialise(found.groupBy("lang", "word", "id").agg(F.first("f").alias("f")), "ranks-units")
+    mapping = found.groupBy("block").agg(F.collect_list(F.struct(F.col("slot").alias("unit"), "id")).alias("found"))
+    new = materialise(blocks.select("block", "ids").join(mapping, "block").mapInArrow(_ranked, "block long, ids binary"), "ranks")
     forget(found)
     return units, new
 
 
-def _phrases(units: DataFrame, parts: DataFrame) -> DataFrame:
-    """Units of pairs with what they are made of, from the units of the level before."""
+def _members(size: int) -> list[Column]:
+    """The ranks of a counted phrase's words."""
+    return [half for c in ("high", "low") for half in (F.shiftright(c, 32), F.col(c).bitwiseAND(0xFFFFFFFF))][LONGEST - size :]
+
+
+def _seen(units: DataFrame, size: int, places: int) -> Broadcast:
+    """The table of bits with the places of all units set; its size does not depend on them."""
+    place = F.pmod(_place(_members(size)), F.lit(places)) + 1  # Spark's bitmaps begin at 1
+    maps = units.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    length = len(maps[0].bits) if maps else 1
+    table = np.zeros(max([places // 8 + 1, *(m.number * length for m in maps)]), np.uint8)
+    for m in maps:
+        table[(m.number - 1) * length : m.number * length] = np.frombuffer(m.bits, np.uint8)
+    return units.sparkSession.sparkContext.broadcast(table)
+
+
+def _phrases(units: DataFrame, size: int, parts: DataFrame) -> DataFrame:
+    """Counted phrases with what they are made of, from the level before; an id is the list of the words' ranks."""
     left = parts.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "heads")
     right = parts.select(F.col("id").alias("right"), F.col("last"), "tails")
-    both = units.withColumn("left", F.shiftright("unit", 32)).withColumn("right", F.col("unit").bitwiseAND(0xFFFFFFFF)).join(left, "left").join(right, "right")
+    named = units.select(F.array(_members(size)).alias("id"), F.array(_members(size)[:-1]).alias("left"), F.array(_members(size)[1:]).alias("right"), "f")
+    both = named.join(left, "left").join(right, "right")
     one = F.array("f")
     return both.select("id", "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", F.concat("heads", one).alias("heads"), F.concat("tails", one).alias("tails"))
 
@@ -225,22 +272,25 @@ def _scored(level: DataFrame, longer: DataFrame | None) -> DataFrame:
     return level.withColumn("cut", F.expr(cut)).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP, block_words: int = BLOCK_WORDS, tile_bits: int = TILE_BITS, dense: int = DENSE) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP, block_words: int = BLOCK_WORDS, tile_bits: int = TILE_BITS, dense: int = DENSE, places: int = PLACES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's first ``top`` phrases."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
     blocks = materialise(rows.mapInArrow(lambda it: _blocks(it, block_words), _BLOCKS_DDL), "blocks")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("slot", "w")).select("block", "lang", (F.col("slot") + 1).alias("slot"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     totals = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    units, ids = _next_level(blocks, words, ["lang", "word"], "slot", False, min_count, "ranks-1", False)
+    units, ids = _words(blocks, words, min_count)
     forget(blocks)
     counts = F.array("f")
-    levels = [units.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", counts.alias("heads"), counts.alias("tails"))]
+    levels = [units.select(F.array(F.col("id").cast("long")).alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", counts.alias("heads"), counts.alias("tails"))]
+    seen = None
     for size in range(2, LONGEST + 1):
-        pairs = ids.mapInArrow(lambda it: _pairs(it, tile_bits, dense), "block long, unit long, n long")
-        units, new = _next_level(ids, pairs, ["unit"], "unit", True, min_count, f"ranks-{size}", size == LONGEST)
-        forget(ids)
-        ids = new
-        levels.append(materialise(_phrases(units, levels[-1]), f"level-{size}"))
+        counted = ids.mapInArrow(lambda it: _counted(it, size, seen, places, tile_bits, dense), "high long, low long, n long")
+        units = materialise(counted.groupBy("high", "low").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), f"units-{size}")
+        if seen:
+            seen.destroy()
+        seen = _seen(units, size, places) if size < LONGEST else None
+        levels.append(materialise(_phrases(units, size, levels[-1]), f"level-{size}"))
+    forget(ids)
     scored = None
     for level, longer in zip(levels[1:], [*levels[2:], None]):
         own = _scored(level, longer)

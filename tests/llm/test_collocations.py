@@ -95,3 +95,47 @@ def test_scores_pass_64_bits(spark):
     longer = spark.createDataFrame([(1, 2, 80)], "left long, right long, f long")
     got = [tuple(r) for r in c._scored(level, longer).collect()]
     assert got == [("en", "x y", big, big + 7, big + 3, 2_000_000 * big // (2 * big + 10))]
+
+
+def test_tables_of_phrases_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """What is frequent is stored once, however many blocks hold it; the words' ranks alone come back to each block."""
+    stored = {}
+
+    def counted(df, name):
+        stored[name] = (out := kept(df, name)).count()
+        return out
+
+    kept = c.materialise
+    monkeypatch.setattr(c, "materialise", counted)
+    rows = made(random.Random(5), 300)
+    sizes = []
+    for copies in (1, 4):
+        stored.clear()
+        assert rows_of(c.collocations(spark.createDataFrame(rows * copies, "lang string, text string"), min_count=5 * copies, block_words=300)) == brute(rows * copies, 5 * copies)
+        sizes.append(dict(stored))
+    phrases = [name for name in sizes[0] if re.search("-[2-4]", name)]
+    assert len(phrases) >= 6 and [sizes[1][name] for name in phrases] == [sizes[0][name] for name in phrases]
+
+
+@pytest.mark.parametrize("places", [7, 1009])
+def test_places_that_are_taken_lose_and_add_nothing(spark, places):
+    rows = made(random.Random(6))
+    got = rows_of(c.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=4, block_words=2000, places=places))
+    assert got == brute(rows, 4) and len(got) > 10
+
+
+def test_bits_of_the_seen(spark):
+    rng = np.random.default_rng(2)
+    ids = np.r_[rng.integers(0, 30, 4000), 2**31 - 1, 2**31 - 2, 2**31 - 1, 2**31 - 2].astype(np.int32)
+    for size in (3, 4):
+        part = list(zip(*(ids[k:].tolist() for k in range(size - 1))))
+        known = sorted({p for p in part if all(p) and sum(p) % 3})
+        padded = [[0] * (5 - size) + list(p) for p in known]
+        units = spark.createDataFrame([(w[0] << 32 | w[1], w[2] << 32 | w[3]) for w in padded], "high long, low long")
+        seen = c._seen(units, size - 1, c.PLACES).value
+        words, counts = c.phrase_counts(ids, size, seen, c.PLACES)
+        places = {c._place(p) % c.PLACES for p in known}
+        assert np.unpackbits(seen, bitorder="little").nonzero()[0].tolist() == sorted(places)
+        passes = lambda p: all(p) and c._place(p) % c.PLACES in places
+        want = Counter(tuple(map(int, ids[k : k + size])) for k in range(len(ids) - size + 1) if passes(part[k]) and passes(part[k + 1]))
+        assert dict(zip(zip(*(w.tolist() for w in words)), counts.tolist())) == want and len(want) > 100
