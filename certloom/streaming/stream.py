@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.names import read_names
 
-MESSAGE = """message_type string, data struct<seen: double, cert_index: bigint, source: struct<name: string, url: string>,
+MESSAGE = """message_type string, received double, data struct<seen: double, cert_index: bigint, source: struct<name: string, url: string>,
  leaf_cert: struct<sha256: string, fingerprint: string, serial_number: string, not_before: double, not_after: double, all_domains: array<string>, issuer: struct<O: string>>>"""
 #: Names that a record keeps; further ones are counted.
 MAX_NAMES = 200
@@ -22,14 +22,14 @@ def read_messages(spark: SparkSession, path: str, stream: bool = False, files: i
     modes = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     lines = reader.text(path).filter(F.trim("value") != "")
     parsed = lines.select(F.from_json("value", MESSAGE + ", _bad string", modes).alias("m"), F.col("_metadata.file_path").alias("run"))
-    return parsed.select("m.message_type", "m.data", "m._bad", "run")
+    return parsed.select("m.message_type", "m.received", "m.data", "m._bad", "run")
 
 
 def records(messages: DataFrame) -> DataFrame:
     """Certificate records of the usable messages (P01-P04): normalised names in first-seen order, at most MAX_NAMES, overflow counted.
 
     The fingerprint is the first non-empty one of sha256 and fingerprint; records without any are keyed by log and index. Messages without a
-    usable name give none. Encoded labels are kept as they read."""
+    usable name give none. Encoded labels are kept as they read. ``received`` is our own time of arrival, where the capture has it."""
     leaf = F.col("data.leaf_cert")
     raw = F.coalesce(leaf.all_domains, F.array().cast("array<string>"))
     names = F.array_distinct(F.array_compact(read_names(raw)))
@@ -40,9 +40,10 @@ def records(messages: DataFrame) -> DataFrame:
     out = usable.select(
         key.alias("key"), names.alias("all"), at(F.col("data.seen")).alias("seen"), F.col("data.source.name").alias("source"), leaf.issuer.O.alias("issuer"),
         leaf.serial_number.alias("serial"), at(leaf.not_before).alias("not_before"), at(leaf.not_after).alias("not_after"), F.size(raw).alias("san_count"),
+        at(F.col("received")).alias("received"),
     )
     kept = [F.slice("all", 1, MAX_NAMES).alias("names"), F.greatest(F.size("all") - MAX_NAMES, F.lit(0)).alias("overflow")]
-    return out.filter(F.size("all") > 0).select("key", *kept, "seen", "source", "issuer", "serial", "not_before", "not_after", "san_count")
+    return out.filter(F.size("all") > 0).select("key", *kept, "seen", "source", "issuer", "serial", "not_before", "not_after", "san_count", "received")
 
 
 def deduplicate(rows: DataFrame, delay: str = "90 minutes") -> DataFrame:

@@ -27,6 +27,22 @@ def test_capture_scoring_and_fixture(spark, tmp_path):
     assert [tuple(r) for r in counts] == [("log", 3, 2)]
 
 
+def test_delays_of_messages_seen_at_one_time(spark, tmp_path):
+    """Copies of events with other keys and values have the times of the first ones."""
+    import duckdb
+
+    from certloom import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    copies = events.withColumns({"event_id": F.col("event_id") + 1_000_000, "user_id": F.col("user_id") + 1000, "value": F.col("value") + 7.25})
+    events.union(copies).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select source, n, least_us, most_us from ({catalog.ORACLES['t04_delays']})").fetchall()
+    got = catalog.QUERIES["t04_delays"](spark, str(tmp_path)).select("source", "n", "least_us", "most_us").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_rechecks_climb_the_ladder(spark, tmp_path):
     folder = tmp_path / "attempts"
     folder.mkdir()
