@@ -3,6 +3,7 @@ import random
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from certloom.llm import audio as A
@@ -144,3 +145,52 @@ def test_one_id_of_two_recordings(spark):
     assert len(fives) == 2 and fives == nines and {g for _, g in fives} == {keys[7][1], keys[8][1]}
     match = {r.id: {m.match_key for m in r.matches} for r in got if r.id in (7, 8)}
     assert not match[7] & match[8] and match[7] | match[8] == {k for k, _ in fives}
+
+
+def brute_links(codes, opened):
+    """{(a, b): (least differing bits with their offset, longest passage with its offset)} of all pairs at all offsets."""
+    out = {}
+    for a in codes:
+        for b in codes:
+            if a > b and (opened[a] or opened[b]):
+                scored = [(o, s) for o in range(-len(codes[b]), len(codes[a])) if A.good(s := A.score(codes[a], codes[b], o))]
+                near = [(s[1], o) for o, s in scored if s[1] <= A.BIT_ERRORS]
+                long = [(-s[2], o) for o, s in scored if s[3] <= A.BIT_ERRORS]
+                if scored:
+                    out[a, b] = (min(near, default=None), min(long, default=None))
+    return out
+
+
+@pytest.mark.parametrize("rows", [3, A.BLOCK_ROWS])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, rows):
+    """Copies with some words changed, pieces of them, a passage in others, silence, a repeating tune: every pair is measured."""
+    monkeypatch.setattr(A, "BLOCK_ROWS", rows)
+    rng = random.Random(17)
+    song = lambda n: [f"t{rng.randrange(500)}" for _ in range(n)]
+    changed = lambda words, share: [w if rng.random() > share else f"x{rng.randrange(500)}" for w in words]
+    base, other = song(110), song(60)
+    texts = [changed(base, 0.02) for _ in range(9)] + [song(20) + changed(base, 0.01)[:70] for _ in range(4)] + [song(50) + base[30:75] + song(60) for _ in range(4)]
+    # ends of one are the start of the other, and a long passage lies elsewhere
+    texts += [other + song(40) + base[:34], base[:34] + song(30) + other] + [["a"] * 60, ["a"] * 45 + song(30), ["b", "c", "d"] * 30, ["c", "d", "b"] * 25]
+    rng.shuffle(texts)
+    codes = {i: A.fingerprint(A.decode_wav(A.render(" ".join(t)))) for i, t in enumerate(texts)}
+    opened = {i: i % 3 > 0 for i in codes}
+    heads = spark.createDataFrame([(i, c.view(np.int32).tolist(), opened[i]) for i, c in codes.items()], "class_id long, codes array<int>, open boolean")
+    want, near, long = brute_links(codes, opened), {}, {}
+    for r in A.linked(heads).collect():
+        assert A.score(codes[r.a], codes[r.b], r.offset) == (r.votes, r.bit_errors, r.passage, r.passage_errors)
+        if r.bit_errors <= A.BIT_ERRORS:
+            near[r.a, r.b] = min(near.get((r.a, r.b), (1.0, 0)), (r.bit_errors, r.offset))
+        if r.passage_errors <= A.BIT_ERRORS:
+            long[r.a, r.b] = min(long.get((r.a, r.b), (0, 0)), (-r.passage, r.offset))
+    assert near == {k: n for k, (n, _) in want.items() if n} and long == {k: p for k, (_, p) in want.items() if p}
+    assert any(n and p and n[1] != p[1] for n, p in want.values()) and any(p and not n for n, p in want.values())
+    # what the recordings are told
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r for r in A.align(A.fingerprints(A.render_column(df, "id", "text"), "id", "media")).collect()}
+    want = brute_links(codes, dict.fromkeys(codes, True))
+    for i, r in got.items():
+        links = {b: n for (a, b), (n, _) in want.items() if a == i and n}
+        assert {m.match_id: (m.bit_errors, m.offset) for m in r.matches or []} == links
+        assert (r.bit_errors, r.match_id) == min(((n[0], b) for b, n in links.items()), default=(None, None))
+        assert (-(r.passage_codes or 0), r.passage_id) == min(((p[0], b) for (a, b), (_, p) in want.items() if a == i and p), default=(0, None))
